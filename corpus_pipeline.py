@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equity_jobs.llm import langid, pieces, queries, simhash
+from equity_jobs.llm import langid, mixing, pieces, queries, secret_scan, simhash
 from equity_jobs.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,9 +18,30 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates (operator 8) the document with the smallest id."""
-    first = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keeps of each group of near-duplicates (operator 8) the document with the smallest id; repeated
+    rows go, documents without an id stay."""
+    docs = docs.select(COLUMNS)
+    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces every secret in every text (operator 10); n_chars follows the text."""
+    docs = docs.select(COLUMNS)
+    return secret_scan.redact(docs, secret_scan.learn(written(secret_scan.scan(docs), "secret-candidates")))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or removes documents so that the domains' tokens meet their targets (operator 5).
+
+    Documents most likely of a clean domain stay at least once; those of the toxic domain,
+    whose target is nothing, go as their rate falls to nothing. Documents without an id stay.
+    """
+    docs = docs.select(COLUMNS)
+    mixed, domains = mixing.mix(docs, mixing.domain_of(table(spark, sf_dir, "labels")), queries.MIX_TARGETS, queries.MIX_KEPT)
+    often = mixing.copies(mixed, domains, queries.MIX_KEPT).dropDuplicates(["doc_id"])
+    taken = docs.join(often, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
+    return taken.select(*COLUMNS, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +49,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pieces.round_trip(docs, queries.model_path())
 
 
-STAGES = [("language ID", language_stage), ("SimHash near-dedup", near_duplicate_stage), ("SentencePiece", encoding_stage)]
+STAGES = [("language ID", language_stage), ("SimHash near-dedup", near_duplicate_stage), ("secret scans", secrets_stage), ("mixing to target weights", mixing_stage), ("SentencePiece", encoding_stage)]
 
 #: DuckDB cannot express the stages' models; the tests hold run() against a brute-force version.
 ORACLE_SQL = None

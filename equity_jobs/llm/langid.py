@@ -25,6 +25,7 @@ BLOCK = 512  # symbols in a block; phrases end at the end of a block
 LANES = 8192  # blocks walked at once
 LETTER = re.compile(r"[^\W\d_]")
 UNIFORM_BITS = float(np.log2(26))
+SURE = 200  # characters from which a text may be rejected by its bits
 
 
 @dataclass(frozen=True)
@@ -191,8 +192,9 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     Null texts and texts without a letter are "und" with score 0 and infinite bits. score
     is the runner-up's share of bits, so 0.5 is a tie, which goes to the language that
     sorts first. Repeats and null ids stay; other columns are not read, unless keep: then
-    all columns stay and only rows pass whose language was found at no more than
-    bits_limit bits, by default what letters drawn at random would take.
+    all columns stay and only rows pass whose language was found, in texts of SURE
+    characters and more at no more than bits_limit bits, by default what letters drawn at
+    random would take.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # bounded by languages x chars_per_language
@@ -204,7 +206,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 batch = whole.slice(start, 1000)
                 langs, scores, rates = predict(sent.value, batch.column(text_col).to_pylist())
                 if keep:
-                    yield batch.filter(pa.array([lang != "und" and rate <= bits_limit for lang, rate in zip(langs, rates, strict=True)]))
+                    sizes = [len(t or "") for t in batch.column(text_col).to_pylist()]
+                    yield batch.filter(pa.array([lang != "und" and (rate <= bits_limit or n < SURE) for lang, rate, n in zip(langs, rates, sizes, strict=True)], pa.bool_()))
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=[id_col, "lang_pred", "score", "bits"])
 

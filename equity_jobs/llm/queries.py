@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equity_jobs.llm import langid, pieces, simhash, urlrules, warc
+from equity_jobs.llm import imatch, langid, mixing, pieces, pii, secret_scan, simhash, urlrules, warc
 from equity_jobs.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
@@ -28,10 +28,28 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), model_path())
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(table(spark, sf_dir, "pages"), urlrules.rules_frame(spark, URL_RULES))
 
 
+def _listed(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _count(kind: str, spans: Column) -> Column:
+    return F.size(F.filter(spans["kind"], F.lit(kind).__eq__)).cast("bigint").alias(f"n_{kind}")
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select("doc_id", "spans", base.alias("base")).select("doc_id", *(_count(k, F.col("base")) for k in pii.KINDS), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -42,6 +60,24 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+MIX_TARGETS = {"high": 0.8, "low": 0.2, "toxic": 0.0}
+MIX_KEPT = ["high", "low"]
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    mixed, domains = mixing.mix(docs, mixing.domain_of(labels), MIX_TARGETS, MIX_KEPT)
+    posteriors = [F.round(F.get("p", i), 6).alias(f"p_{d}") for i, d in enumerate(domains)]
+    return mixed.select("doc_id", F.col("tokens").cast("bigint").alias("tokens"), *posteriors, F.round("rate", 6).alias("rate"))
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] != "format")
+    counts = [_count(k, F.col("spans")) for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+
+
 OP4_SQL = """
 WITH parts AS (
   SELECT page_id,
@@ -72,8 +108,12 @@ FROM bits
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_imatch": op3_imatch,
     "op4_url_filters": op4_url_filters,
+    "op5_mixing": op5_mixing,
+    "op6_personal_data": op6_personal_data,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
+    "op10_secret_scans": op10_secret_scans,
 }
 ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op4_url_filters": OP4_SQL}
