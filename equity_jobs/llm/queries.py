@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equity_jobs.llm import imatch, langid, mixing, pieces, pii, secret_scan, simhash, urlrules, warc
+from equity_jobs.llm import covertree, imatch, langid, mixing, pieces, pii, secret_scan, simhash, urlrules, warc
 from equity_jobs.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
@@ -71,6 +71,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("tokens").cast("bigint").alias("tokens"), *posteriors, F.round("rate", 6).alias("rate"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "format")
@@ -105,6 +109,15 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'r
 FROM bits
 """
 
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_sentencepiece": op2_sentencepiece,
@@ -114,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_personal_data": op6_personal_data,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_secret_scans": op10_secret_scans,
 }
-ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op4_url_filters": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op4_url_filters": OP4_SQL, "op9_exact_top_k": OP9_SQL}
