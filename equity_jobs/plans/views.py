@@ -67,13 +67,11 @@ VIEWS = {
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     # yearly figures as published: the original, and for every third company a later restatement
     "yearly": """
-        SELECT l_suppkey AS company, year(l_shipdate) AS period_year, sum(CASE WHEN l_linenumber <= 4 THEN CAST(l_extendedprice AS DECIMAL(18, 2)) END) AS revenue0, sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS revenue1,
-               sum(CASE WHEN l_linenumber <= 4 THEN CAST(l_extendedprice * l_discount AS DECIMAL(18, 2)) END) AS profit0, sum(CAST(l_extendedprice * l_discount AS DECIMAL(18, 2))) AS profit1,
-               sum(CASE WHEN l_linenumber <= 4 THEN CAST(l_extendedprice * (l_tax - 0.03) AS DECIMAL(18, 2)) END) AS cash0, sum(CAST(l_extendedprice * (l_tax - 0.03) AS DECIMAL(18, 2))) AS cash1
-        FROM {lineitem} WHERE NOT (l_suppkey % 10 = 3 AND year(l_shipdate) = 1998) GROUP BY l_suppkey, year(l_shipdate)""",
+        SELECT l_suppkey AS company, CAST(year(l_shipdate) AS INT) AS period_year, sum(CASE WHEN l_linenumber <= 4 THEN cents END) / 100e0 AS revenue0, sum(cents) / 100e0 AS revenue1, sum(CASE WHEN l_linenumber <= 4 THEN cents * disc END) / 10000e0 AS profit0, sum(cents * disc) / 10000e0 AS profit1,
+               sum(CASE WHEN l_linenumber <= 4 THEN cents * (tax - 3) END) / 10000e0 AS cash0, sum(cents * (tax - 3)) / 10000e0 AS cash1
+        FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(round(l_discount * 100) AS BIGINT) AS disc, CAST(round(l_tax * 100) AS BIGINT) AS tax FROM {lineitem}) WHERE NOT (l_suppkey % 10 = 3 AND year(l_shipdate) = 1998) GROUP BY l_suppkey, CAST(year(l_shipdate) AS INT)""",
     "vintages": """
-        SELECT company, period_year, report_year, published_date, accounting_basis, CAST(revenue AS DOUBLE) AS revenue, CAST(profit AS DOUBLE) AS net_profit, CAST(cash AS DOUBLE) AS operating_cash_flow,
-               2 * CAST(revenue AS DOUBLE) AS total_assets, 2 * CAST(revenue AS DOUBLE) * (company % 10) / 10e0 AS total_liabilities
+        SELECT company, period_year, report_year, published_date, accounting_basis, revenue, profit AS net_profit, cash AS operating_cash_flow, 2 * revenue AS total_assets, 2 * revenue * (company % 10) / 10e0 AS total_liabilities
         FROM (SELECT company, period_year, period_year AS report_year, make_date(period_year + 1, 3, 31) AS published_date, 'original' AS accounting_basis, revenue0 AS revenue, profit0 AS profit, cash0 AS cash FROM {yearly} WHERE revenue0 > 0
               UNION ALL SELECT company, period_year, period_year + 1, make_date(period_year + 2, 4, 15), 'restated', revenue1, profit1, cash1 FROM {yearly} WHERE company % 3 = 0)""",
     "peers": """
