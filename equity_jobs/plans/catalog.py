@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from equity_jobs.plans import market, research
+from equity_jobs.plans import market, reports, research
 
 FLAGSHIP = "tk3_research_queue"
-PARTS = [market, research]
+PARTS = [market, research, reports]
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL = {name: text for part in PARTS for name, text in part.ORACLE_SQL.items()}
