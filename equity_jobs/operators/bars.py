@@ -6,14 +6,21 @@ exchange and one sort for them. Baselines exclude the session they are compared
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from equity_jobs.functions.ranks import with_prior_percentiles
 from equity_jobs.functions.rules import finite, keep_one, price_limit
 
 KEY = ["instrument_id", "trade_date"]
-SESSION = Window.partitionBy("instrument_id").orderBy("trade_date")
-NEWEST = Window.partitionBy("instrument_id").orderBy(F.desc("trade_date"))
+
+
+def by_session() -> WindowSpec:
+    return Window.partitionBy("instrument_id").orderBy("trade_date")
+
+
+def newest_first() -> WindowSpec:
+    return Window.partitionBy("instrument_id").orderBy(F.desc("trade_date"))
 
 
 def validate_bars(raw: DataFrame) -> DataFrame:
@@ -41,28 +48,20 @@ def fill_turnover(bars: DataFrame, supplement: DataFrame, source: str = "supplem
 
 def moving_average(column: str, size: int) -> Column:
     """WN1: null until the window is full."""
-    window = SESSION.rowsBetween(1 - size, 0)
+    window = by_session().rowsBetween(1 - size, 0)
     return F.when(F.count(column).over(window) == size, F.avg(column).over(window))
 
 
 def volume_ratio(size: int = 20) -> Column:
     """WN2: volume over the exact median of the sessions before it, once there are enough and it is positive."""
-    window = SESSION.rowsBetween(-size, -1)
+    window = by_session().rowsBetween(-size, -1)
     median = F.percentile("volume", 0.5).over(window)
     return F.when((F.count("volume").over(window) == size) & (median > 0), F.col("volume") / median)
 
 
-def prior_percentile(column: str, size: int = 250, least: int = 20) -> tuple[Column, Column]:
-    """WN3: mid-rank among the non-null values of the rows before, and how many there are."""
-    prior = F.collect_list(column).over(SESSION.rowsBetween(-size, -1))
-    twice = F.aggregate(prior, F.lit(0), lambda n, v: n + F.when(v < F.col(column), 2).when(v == F.col(column), 1).otherwise(0))
-    count = F.size(prior)
-    return F.when((count >= least) & F.col(column).isNotNull(), twice / 2.0 / count), count
-
-
 def daily_return() -> tuple[Column, Column]:
     """WN4: the provider's change in percent if there is one, else close over the last close; and which it is."""
-    before = F.lag("close").over(SESSION)
+    before = F.lag("close").over(by_session())
     value = F.coalesce(F.col("pct_change") / 100, F.col("close") / before - 1)
     return value, F.when(F.col("pct_change").isNotNull(), "provider").when(before.isNotNull(), "close")
 
@@ -70,22 +69,20 @@ def daily_return() -> tuple[Column, Column]:
 def features(bars: DataFrame) -> DataFrame:
     """WN1-WN5 and the session numbers of validated bars."""
     change, basis = daily_return()
-    volume_rank, _ = prior_percentile("volume")
-    turnover_rank, sessions = prior_percentile("turnover")
-    return bars.withColumns(
+    windowed = bars.withColumns(
         {
-            "session": F.row_number().over(SESSION), "sessions_back": F.row_number().over(NEWEST), "daily_return": change, "return_basis": basis,
+            "session": F.row_number().over(by_session()), "sessions_back": F.row_number().over(newest_first()), "daily_return": change, "return_basis": basis,
             "ma5": moving_average("close", 5), "ma20": moving_average("close", 20), "ma60": moving_average("close", 60), "volume_ratio": volume_ratio(),
-            "volume_percentile": volume_rank, "turnover_percentile": turnover_rank, "turnover_sessions": sessions,
-            "drawdown": F.col("close") / F.max("close").over(SESSION.rowsBetween(Window.unboundedPreceding, 0)) - 1,
+            "drawdown": F.col("close") / F.max("close").over(by_session().rowsBetween(Window.unboundedPreceding, 0)) - 1,
         }
     )
+    return with_prior_percentiles(windowed, ["volume", "turnover"])
 
 
 def market_metrics(bars: DataFrame, steps: tuple[int, ...] = (20, 60, 250)) -> DataFrame:
     """AG1: latest close and change, returns over steps sessions, yearly volatility, deepest drawdown and count per instrument."""
-    before = F.lag("close").over(SESSION)
-    marked = bars.withColumns({"_ret": F.col("close") / before - 1, "_down": F.col("close") / F.max("close").over(SESSION.rowsBetween(Window.unboundedPreceding, 0)) - 1, "_back": F.row_number().over(NEWEST)})
+    before = F.lag("close").over(by_session())
+    marked = bars.withColumns({"_ret": F.col("close") / before - 1, "_down": F.col("close") / F.max("close").over(by_session().rowsBetween(Window.unboundedPreceding, 0)) - 1, "_back": F.row_number().over(newest_first())})
     at = lambda k: F.max(F.when(F.col("_back") == k + 1, F.col("close")))
     past = [F.when(at(k) != 0, at(0) / at(k) - 1).alias(f"return_{k}") for k in steps]
     vol = F.when(F.count("_ret") >= 2, F.stddev_samp("_ret") * F.sqrt(F.lit(250.0)))
@@ -116,7 +113,7 @@ def activity_events(featured: DataFrame, identity: DataFrame, lookback: int = 25
     limit_up = F.coalesce("limit_up", F.lit(False))
     labels = F.concat_ws(" + ", F.when(limit_up, "涨停候选"), F.when(high_volume, "明显放量"), F.when(high_turnover, "普通换手率高位"))
     fired = rows.withColumns({"limit_up": limit_up, "high_volume": high_volume, "high_turnover": high_turnover, "event_type": labels}).where("event_type <> ''")
-    return fired if top is None else fired.withColumn("place", F.row_number().over(NEWEST)).where(F.col("place") <= top)
+    return fired if top is None else fired.withColumn("place", F.row_number().over(newest_first())).where(F.col("place") <= top)
 
 
 def recent_history(featured: DataFrame, lookback: int = 60) -> DataFrame:

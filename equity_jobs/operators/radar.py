@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from equity_jobs.functions.rules import allowed_url
 
-LEVEL = F.create_map(F.lit("高"), F.lit(3), F.lit("中"), F.lit(2), F.lit("低"), F.lit(1))
+LEVELS = {"高": 3, "中": 2, "低": 1}
 
 
 def signal_states(activity: DataFrame, events: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def queue(radar: DataFrame, disclosures: DataFrame, as_of: Column, urgent_days:
     Disclosures are brought to one row an instrument before the join. An instrument whose
     source_available is false has no disclosures to look at, which is not the same as none found.
     """
-    level = F.coalesce(F.try_element_at(LEVEL, F.col("attention")), F.lit(1))
+    level = F.coalesce(*(F.when(F.col("attention") == name, value) for name, value in LEVELS.items()), F.lit(1))
     valid = disclosures.where((F.col("published_date") <= as_of) & (F.trim("title") != "") & allowed_url(F.col("url"))).withColumns({"level": level, "days_old": F.date_diff(as_of, F.col("published_date"))})
     order = F.struct("published_date", "level", "title")
     latest = F.max_by(F.struct(F.col("title"), F.col("published_date"), F.col("category"), F.col("attention"), F.col("days_old")), order)

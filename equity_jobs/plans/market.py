@@ -131,9 +131,9 @@ m1 AS (SELECT instrument_id, max(trade_date) AS latest_date, max(CASE WHEN back
   max(CASE WHEN back = 251 THEN close END) AS c250, stddev_samp(ret) * sqrt(250e0) AS volatility, min(down) AS max_drawdown, count(*) AS sessions FROM m0 GROUP BY instrument_id)"""
 
 
-@R.query("ag1_market_metrics", f"WITH {METRICS} SELECT instrument_id, latest_date, round(c0, 6) AS latest_close, round(daily_change, 6) AS daily_change, round(c0 / c20 - 1, 6) AS return_20, round(c0 / c60 - 1, 6) AS return_60, round(c0 / c250 - 1, 6) AS return_250, round(volatility, 6) AS volatility, round(max_drawdown, 6) AS max_drawdown, sessions FROM m1")
+@R.query("ag1_market_metrics", f"WITH {METRICS} SELECT instrument_id, latest_date, c0 AS latest_close, round(daily_change, 6) AS daily_change, round(c0 / c20 - 1, 6) AS return_20, round(c0 / c60 - 1, 6) AS return_60, round(c0 / c250 - 1, 6) AS return_250, round(volatility, 6) AS volatility, round(max_drawdown, 6) AS max_drawdown, sessions FROM m1")
 def ag1(spark, sf):
-    return B.market_metrics(view(spark, sf, "bars")).select("instrument_id", "latest_date", *six("latest_close", "daily_change", "return_20", "return_60", "return_250", "volatility", "max_drawdown"), "sessions")
+    return B.market_metrics(view(spark, sf, "bars")).select("instrument_id", "latest_date", "latest_close", *six("daily_change", "return_20", "return_60", "return_250", "volatility", "max_drawdown"), "sessions")
 
 
 @R.query(

@@ -163,11 +163,11 @@ def j3_summary(spark, sf):
     "wn11_historical_snapshot",
     f"""WITH {REQUESTS}, num AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY trade_date) AS session FROM {{bars}}), last AS (SELECT r.instrument_id, r.as_of, max(session) AS last, max(trade_date) AS effective FROM requests r JOIN num n ON r.instrument_id = n.instrument_id AND n.trade_date <= r.as_of GROUP BY r.instrument_id, r.as_of),
     w AS (SELECT l.*, n.session, n.close, n.close / lag(n.close) OVER s - 1 AS ret, n.close / max(n.close) OVER s - 1 AS down FROM last l JOIN num n ON l.instrument_id = n.instrument_id AND n.session BETWEEN l.last - 250 AND l.last WINDOW s AS (PARTITION BY l.instrument_id, l.as_of ORDER BY n.session))
-    SELECT instrument_id, as_of, effective, round(max(close) FILTER (session = last), 6) AS close, round(max(close) FILTER (session = last) / max(close) FILTER (session = last - 20) - 1, 6) AS return_20, round(max(close) FILTER (session = last) / max(close) FILTER (session = last - 250) - 1, 6) AS return_250,
+    SELECT instrument_id, as_of, effective, max(close) FILTER (session = last) AS close, round(max(close) FILTER (session = last) / max(close) FILTER (session = last - 20) - 1, 6) AS return_20, round(max(close) FILTER (session = last) / max(close) FILTER (session = last - 250) - 1, 6) AS return_250,
     round(stddev_samp(ret) * sqrt(250e0), 6) AS volatility, round(min(down), 6) AS max_drawdown, count(*) AS sessions FROM w GROUP BY instrument_id, as_of, effective""",
 )
 def wn11(spark, sf):
-    return asof.historical_snapshot(requests(spark, sf), view(spark, sf, "bars")).select("instrument_id", "as_of", "effective", *six("close", "return_20", "return_250", "volatility", "max_drawdown"), "sessions")
+    return asof.historical_snapshot(requests(spark, sf), view(spark, sf, "bars")).select("instrument_id", "as_of", "effective", "close", *six("return_20", "return_250", "volatility", "max_drawdown"), "sessions")
 
 
 @R.query(
@@ -178,7 +178,7 @@ def wn11(spark, sf):
     CASE WHEN max(k) >= 20 THEN 'ok' ELSE 'insufficient_future_data' END AS status_20, max(d) FILTER (k = 60) AS date_60, CASE WHEN max(k) >= 60 THEN round(min(close / peak - 1), 6) END AS fall_60 FROM path GROUP BY instrument_id, trade_date""",
 )
 def wn12(spark, sf):
-    bars = view(spark, sf, "bars").withColumn("session", F.row_number().over(B.SESSION))
+    bars = view(spark, sf, "bars").withColumn("session", F.row_number().over(B.by_session()))
     outcomes = asof.later_outcomes(bars, (20, 60)).join(bars.select("instrument_id", "trade_date", "session"), B.KEY).where("session % 40 = 1")
     return outcomes.select("instrument_id", "trade_date", "date_20", *six("return_20", "gain_20", "fall_20"), "status_20", "date_60", *six("fall_60"))
 
