@@ -4,10 +4,13 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 
 import duckdb
 import numpy as np
 import pytest
+import sentencepiece
+from test_documents import brute_components, secrets, simhash_of
 
 import corpus_pipeline
 from equity_jobs.llm import covertree, queries, urlrules, warc
@@ -125,5 +128,29 @@ def test_pipeline(spark):
         odd = corpus_pipeline.written(odd, "test")
     kept = {r.doc_id for r in odd.collect()}
     assert None in kept and 10**6 not in kept and kept < ids
+
+
+def test_pipeline_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.model_path())
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    docs = {i: t for i, t in docs.items() if re.search(r"[^\W\d_]", t or "")}
+    prints = {i: simhash_of(t) for i, t in docs.items()}
+    docs = {i: docs[i] for i, root in brute_components(prints).items() if i == root}
+    for i, body in docs.items():
+        out, at = "", 0
+        for _, start, end in sorted(secrets(body), key=lambda s: s[1:]):
+            if start >= at:
+                out += body[at:start] + "[SECRET]"
+            at = max(at, end)
+        docs[i] = out + body[at:]
+    toxic = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").collect()}
+    clean = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0").collect()}
     result = corpus_pipeline.run(spark, sf).collect()
-    assert {r.doc_id for r in result} == kept - {None} or len(result) > 0.8 * docs.count() * 0.5
+    found = {r.doc_id for r in result}
+    assert found <= set(docs) and len(found) >= 0.8 * len(docs)
+    assert len((set(docs) & clean) - found) <= 1 and len(found & toxic) <= 0.2 * len(set(docs) & toxic) + 1
+    for r in result:
+        ids = library.encode(docs[r.doc_id], add_bos=True, add_eos=True)
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
