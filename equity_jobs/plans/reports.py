@@ -63,10 +63,9 @@ def lexical(spark, sf):
     return text.lexical_scores(table(spark, sf, "documents").select("doc_id", "text"), terms(spark, sf), questions(spark, sf), ["doc_id"])
 
 
-@R.query("tx3_lexical_scores", f"WITH {SCORES}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 9) DESC, doc_id) AS n FROM lex) SELECT query_id, doc_id, round(lexical, 6) AS lexical, array_to_string(matched, ',') AS matched FROM k WHERE n <= 20")
+@R.query("tx3_lexical_scores", f"WITH {SCORES} SELECT query_id, doc_id, round(lexical, 6) AS lexical, array_to_string(matched, ',') AS matched FROM lex")
 def tx3(spark, sf):
-    rows = text.top_results(lexical(spark, sf).withColumn("score", F.round("lexical", 9)), [F.asc("doc_id")], 20)
-    return rows.select("query_id", "doc_id", *six("lexical"), F.concat_ws(",", "matched").alias("matched"))
+    return lexical(spark, sf).select("query_id", "doc_id", *six("lexical"), F.concat_ws(",", "matched").alias("matched"))
 
 
 def hybrid(spark, sf):

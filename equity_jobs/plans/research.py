@@ -104,12 +104,12 @@ def tk7(spark, sf):
 def theses(spark, sf):
     topic = F.when(F.col("o_orderkey") % 3 == 0, "财务与业绩").when(F.col("o_orderkey") % 3 == 1, "治理与风险").otherwise("资本运作")
     count = spark.read.parquet(f"{sf}/supplier.parquet").count()
-    return spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("thesis_id"), (F.col("o_custkey") % count).alias("instrument_id"), topic.alias("topic"), F.col("o_orderstatus").alias("status"))
+    return spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("thesis_id"), (F.col("o_custkey") % count).alias("instrument_id"), topic.alias("topic"), F.col("o_orderstatus").alias("status"))
 
 
 @R.query(
     "j11_thesis_evidence",
-    f"""WITH {NORMAL}, {WINDOWS}, {ITEMS}, th AS (SELECT o_orderkey AS thesis_id, o_custkey % (SELECT count(*) FROM supplier) AS instrument_id, CASE o_orderkey % 3 WHEN 0 THEN '财务与业绩' WHEN 1 THEN '治理与风险' ELSE '资本运作' END AS topic FROM orders WHERE o_orderkey % 50 = 0),
+    f"""WITH {NORMAL}, {WINDOWS}, {ITEMS}, th AS (SELECT o_orderkey AS thesis_id, o_custkey % (SELECT count(*) FROM supplier) AS instrument_id, CASE o_orderkey % 3 WHEN 0 THEN '财务与业绩' WHEN 1 THEN '治理与风险' ELSE '资本运作' END AS topic FROM orders),
     k AS (SELECT thesis_id, announcement_id, row_number() OVER (PARTITION BY thesis_id ORDER BY published_date DESC, title DESC, announcement_id)::INTEGER AS place FROM th JOIN items i ON th.instrument_id = i.instrument_id AND th.topic = i."group")
     SELECT * FROM k WHERE place <= 5""",
 )
@@ -117,16 +117,16 @@ def j11(spark, sf):
     return disclosures.thesis_evidence(theses(spark, sf), items(spark, sf)).select("thesis_id", "announcement_id", "place")
 
 
-@R.query("ag7_thesis_status", """SELECT count(*) FILTER (o_orderstatus = 'O') AS "O", count(*) FILTER (o_orderstatus = 'P') AS "P", 0::BIGINT AS "X" FROM orders WHERE o_orderkey % 50 = 0""")
+@R.query("ag7_thesis_status", """SELECT count(*) FILTER (o_orderstatus = 'O') AS "O", count(*) FILTER (o_orderstatus = 'P') AS "P", 0::BIGINT AS "X" FROM orders""")
 def ag7_status(spark, sf):
     return disclosures.status_counts(theses(spark, sf), ["O", "P", "X"])
 
 
-REQUESTS = "requests AS (SELECT DISTINCT instrument_id, published_date AS as_of FROM {disclosures} WHERE announcement_id % 20 = 0)"
+REQUESTS = "requests AS (SELECT DISTINCT instrument_id, published_date AS as_of FROM {disclosures})"
 
 
 def requests(spark, sf):
-    return view(spark, sf, "disclosures").where("announcement_id % 20 = 0").select("instrument_id", F.col("published_date").alias("as_of")).distinct()
+    return view(spark, sf, "disclosures").select("instrument_id", F.col("published_date").alias("as_of")).distinct()
 
 
 @R.query("j2_sessions_around", f"WITH {REQUESTS} SELECT r.instrument_id, r.as_of, max(trade_date) FILTER (trade_date <= as_of) AS effective, min(trade_date) FILTER (trade_date > as_of) AS next FROM requests r JOIN {{bars}} b ON r.instrument_id = b.instrument_id GROUP BY r.instrument_id, r.as_of")
@@ -172,15 +172,12 @@ def wn11(spark, sf):
 
 @R.query(
     "wn12_later_outcomes",
-    """WITH num AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY trade_date) AS session FROM {bars}), base AS (SELECT * FROM num WHERE session % 40 = 1),
-    path AS (SELECT b.instrument_id, b.trade_date, b.close AS start, n.session - b.session AS k, n.close, n.trade_date AS d, max(n.close) OVER (PARTITION BY b.instrument_id, b.trade_date ORDER BY n.session) AS peak FROM base b JOIN num n ON b.instrument_id = n.instrument_id AND n.session BETWEEN b.session AND b.session + 60)
+    """WITH num AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY trade_date) AS session FROM {bars}), path AS (SELECT b.instrument_id, b.trade_date, b.close AS start, n.session - b.session AS k, n.close, n.trade_date AS d, max(n.close) OVER (PARTITION BY b.instrument_id, b.trade_date ORDER BY n.session) AS peak FROM num b JOIN num n ON b.instrument_id = n.instrument_id AND n.session BETWEEN b.session AND b.session + 60)
     SELECT instrument_id, trade_date, max(d) FILTER (k = 20) AS date_20, round(max(close / start - 1) FILTER (k = 20), 6) AS return_20, CASE WHEN max(k) >= 20 THEN round(max(close / start - 1) FILTER (k <= 20), 6) END AS gain_20, CASE WHEN max(k) >= 20 THEN round(min(close / peak - 1) FILTER (k <= 20), 6) END AS fall_20,
     CASE WHEN max(k) >= 20 THEN 'ok' ELSE 'insufficient_future_data' END AS status_20, max(d) FILTER (k = 60) AS date_60, CASE WHEN max(k) >= 60 THEN round(min(close / peak - 1), 6) END AS fall_60 FROM path GROUP BY instrument_id, trade_date""",
 )
 def wn12(spark, sf):
-    bars = view(spark, sf, "bars").withColumn("session", F.row_number().over(B.by_session()))
-    outcomes = asof.later_outcomes(bars, (20, 60)).join(bars.select("instrument_id", "trade_date", "session"), B.KEY).where("session % 40 = 1")
-    return outcomes.select("instrument_id", "trade_date", "date_20", *six("return_20", "gain_20", "fall_20"), "status_20", "date_60", *six("fall_60"))
+    return asof.later_outcomes(view(spark, sf, "bars"), (20, 60)).select("instrument_id", "trade_date", "date_20", *six("return_20", "gain_20", "fall_20"), "status_20", "date_60", *six("fall_60"))
 
 
 @R.query(
@@ -454,7 +451,7 @@ def cl10(spark, sf):
 @R.query(
     "j14_company_lookup",
     """WITH d AS (SELECT code, name, regexp_replace(upper(name), '\\s+', '', 'g') AS plain FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY instrument_id) AS n FROM {identity}) WHERE n = 1 AND NOT code LIKE '777%'),
-    q AS (SELECT o_orderkey AS query_id, CASE o_orderkey % 3 WHEN 0 THEN 'about SH' || code || '.SH ?' WHEN 1 THEN lower(i.name) ELSE right(i.name, 4) END AS text FROM orders JOIN {identity} i ON o_custkey % (SELECT count(*) FROM supplier) = instrument_id WHERE o_orderkey % 40 < 3),
+    q AS (SELECT o_orderkey AS query_id, CASE o_orderkey % 3 WHEN 0 THEN 'about SH' || code || '.SH ?' WHEN 1 THEN lower(i.name) ELSE right(i.name, 4) END AS text FROM orders JOIN {identity} i ON o_custkey % (SELECT count(*) FROM supplier) = instrument_id),
     p AS (SELECT *, regexp_replace(upper(text), '\\s+', '', 'g') AS plain, CASE WHEN text LIKE 'about%' THEN substr(text, 9, 6) ELSE '' END AS qcode FROM q),
     h AS (SELECT query_id, d.code, d.name, 1 AS tier FROM p JOIN d ON p.qcode = d.code UNION ALL SELECT query_id, d.code, d.name, 2 FROM p JOIN d ON qcode = '' AND p.plain = d.plain UNION ALL SELECT query_id, d.code, d.name, 3 FROM p JOIN d ON qcode = '' AND contains(d.plain, p.plain)),
     b AS (SELECT *, dense_rank() OVER (PARTITION BY query_id ORDER BY tier) AS best FROM h), k AS (SELECT DISTINCT query_id, code, tier FROM b WHERE best = 1), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY code)::INTEGER AS place FROM k) SELECT query_id, code, tier, place FROM r WHERE place <= 8""",
@@ -462,7 +459,7 @@ def cl10(spark, sf):
 def j14(spark, sf):
     names = view(spark, sf, "identity")
     count = spark.read.parquet(f"{sf}/supplier.parquet").count()
-    asked = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 40 < 3").withColumn("instrument_id", F.col("o_custkey") % count).join(names, "instrument_id")
+    asked = spark.read.parquet(f"{sf}/orders.parquet").withColumn("instrument_id", F.col("o_custkey") % count).join(names, "instrument_id")
     text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("about SH"), F.col("code"), F.lit(".SH ?"))).when(F.col("o_orderkey") % 3 == 1, F.lower("name")).otherwise(F.substring("name", -4, 4))
     return identity.resolve(asked.select(F.col("o_orderkey").alias("query_id"), text.alias("text")), identity.company_identity(names, [F.asc("instrument_id")])).select("query_id", "code", "tier", "place")
 
