@@ -106,16 +106,28 @@ def latest_activity(featured: DataFrame, identity: DataFrame) -> DataFrame:
     return last.withColumns({"volume_signal": volume_signal(F.col("volume_ratio")), "limit_status": status})
 
 
-def activity_events(featured: DataFrame, identity: DataFrame, lookback: int = 250, ratio: float = 2.0, percentile: float = 0.9, top: int | None = 8) -> DataFrame:
-    """WN7: sessions of the lookback that fired, their labels in fixed order, newest first."""
+def _fired(featured: DataFrame, identity: DataFrame, lookback: int, ratio: float, percentile: float) -> DataFrame:
+    """Sessions of the lookback with their signals, and labels in fixed order ("" if none fired)."""
     rows = with_limits(featured.where(F.col("sessions_back") <= lookback), identity)
     high_volume, high_turnover = F.coalesce(F.col("volume_ratio") >= ratio, F.lit(False)), F.coalesce(F.col("turnover_percentile") >= percentile, F.lit(False))
     limit_up = F.coalesce("limit_up", F.lit(False))
     labels = F.concat_ws(" + ", F.when(limit_up, "涨停候选"), F.when(high_volume, "明显放量"), F.when(high_turnover, "普通换手率高位"))
-    fired = rows.withColumns({"limit_up": limit_up, "high_volume": high_volume, "high_turnover": high_turnover, "event_type": labels}).where("event_type <> ''")
+    return rows.withColumns({"limit_up": limit_up, "high_volume": high_volume, "high_turnover": high_turnover, "event_type": labels})
+
+
+def activity_events(featured: DataFrame, identity: DataFrame, lookback: int = 250, ratio: float = 2.0, percentile: float = 0.9, top: int | None = 8) -> DataFrame:
+    """WN7: sessions of the lookback that fired, newest first."""
+    fired = _fired(featured, identity, lookback, ratio, percentile).where("event_type <> ''")
     return fired if top is None else fired.withColumn("place", F.row_number().over(newest_first())).where(F.col("place") <= top)
 
 
+def latest_with_events(featured: DataFrame, identity: DataFrame, lookback: int = 250) -> DataFrame:
+    """The last session of each instrument with `events`, how many of its lookback fired, in one aggregate over the features."""
+    rows = _fired(featured, identity, lookback, 2.0, 0.9)
+    last = F.max_by(F.struct(*(c for c in rows.columns if c != "instrument_id")), "trade_date")
+    return rows.groupBy("instrument_id").agg(last.alias("_last"), F.count_if(F.col("event_type") != "").alias("events")).select("instrument_id", "_last.*", "events")
+
+
 def recent_history(featured: DataFrame, lookback: int = 60) -> DataFrame:
     """WN8: the last sessions, with features that have seen the whole history."""
     return featured.where(F.col("sessions_back") <= lookback)

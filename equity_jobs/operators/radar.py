@@ -10,8 +10,8 @@ from equity_jobs.functions.rules import allowed_url
 LEVELS = {"高": 3, "中": 2, "低": 1}
 
 
-def signal_states(activity: DataFrame, events: DataFrame) -> DataFrame:
-    """TK1: the three checks (triggered, not triggered, unavailable), the radar and anomaly status, and recent events."""
+def signal_states(activity: DataFrame) -> DataFrame:
+    """TK1: the three checks (triggered, not triggered, unavailable) and the radar and anomaly status of latest sessions."""
     state = lambda value, hit: F.when(value.isNull(), "unavailable").when(hit, "triggered").otherwise("not_triggered")
     limit_up, ratio, rank = F.coalesce("limit_up", F.lit(False)), F.col("volume_ratio"), F.col("turnover_percentile")
     signals = F.array_compact(F.array(F.when(limit_up, "涨停候选"), F.when(ratio >= 2, "明显放量"), F.when(rank >= 0.9, "普通换手率历史高位")))
@@ -19,9 +19,8 @@ def signal_states(activity: DataFrame, events: DataFrame) -> DataFrame:
     count = F.size("signals")
     radar = F.when(count >= 2, "复合异动").when(count == 1, "单项异动").when(F.col("available") < 3, "未触发（部分数据缺失）").otherwise("未触发")
     anomaly = F.when(count >= 2, "compound").when(count == 1, "single").when(F.col("available") == 0, "insufficient").otherwise("none")
-    recent = events.groupBy("instrument_id").agg(F.count("*").alias("events"))
     rows = activity.withColumns({"price_state": state(F.col("daily_return"), limit_up), "volume_state": state(ratio, ratio >= 2), "turnover_state": state(rank, rank >= 0.9), "limit_up": limit_up, "signals": signals, "available": available})
-    return rows.withColumns({"trigger_count": count, "radar_status": radar, "anomaly_status": anomaly}).join(recent, "instrument_id", "left").withColumn("events", F.coalesce("events", F.lit(0)))
+    return rows.withColumns({"trigger_count": count, "radar_status": radar, "anomaly_status": anomaly})
 
 
 def radar_order() -> list[Column]:

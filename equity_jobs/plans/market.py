@@ -148,8 +148,7 @@ def ag6(spark, sf):
 
 
 def radar_rows(spark, sf):
-    rows, identity = featured(spark, sf), view(spark, sf, "identity")
-    states = radar.signal_states(B.latest_activity(rows, identity), B.activity_events(rows, identity, top=None))
+    states = radar.signal_states(B.latest_with_events(featured(spark, sf), view(spark, sf, "identity")))
     return radar.rank_radar(states.withColumn("scan_date", F.lit(AS_OF).cast("date")), ["scan_date"])
 
 

@@ -11,7 +11,7 @@ from equity_jobs.plans.registry import Registry
 from equity_jobs.plans.research import NORMAL, POINTS, WINDOWS, latest_points, windows
 from equity_jobs.plans.views import duck, view
 from equity_jobs.sources import landed, sinks
-from equity_jobs.sources.shared import shared_dir
+from equity_jobs.sources.shared import shared_dir, written
 from equity_jobs.streaming import feed
 
 R = Registry()
@@ -79,7 +79,8 @@ def hybrid(spark, sf):
 def results(spark, sf):
     """The six best documents of each question, as pages with their text."""
     best = text.top_results(hybrid(spark, sf).withColumn("score", F.round("score", 9)), [F.asc("doc_id")], 6)
-    return best.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "page_number")
+    found = best.join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").withColumnRenamed("doc_id", "page_number")
+    return written(found, "results")  # six pages a question, read by every later step
 
 
 @R.query("tx4_hybrid_top_k", f"WITH {HYBRID} SELECT query_id, doc_id, round(score, 6) AS score, method, place FROM res WHERE doc_id IN (SELECT doc_id FROM documents)")
