@@ -13,7 +13,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language was found (operator 7); rejects those without letters
-    and those that no language explains better than letters drawn at random."""
+    and long ones that no language explains better than symbols drawn at random."""
     return langid.identify(docs.select(COLUMNS), langid.learn(docs), keep=True)
 
 

@@ -24,7 +24,7 @@ BREAK, OTHER = 0, 1  # symbols: what is no letter; letters not seen in labelled
 BLOCK = 512  # symbols in a block; phrases end at the end of a block
 LANES = 8192  # blocks walked at once
 LETTER = re.compile(r"[^\W\d_]")
-UNIFORM_BITS = float(np.log2(26))
+UNIFORM_BITS = 6.0  # what symbols drawn evenly from 64 would take
 SURE = 200  # characters from which a text may be rejected by its bits
 
 
@@ -193,8 +193,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     is the runner-up's share of bits, so 0.5 is a tie, which goes to the language that
     sorts first. Repeats and null ids stay; other columns are not read, unless keep: then
     all columns stay and only rows pass whose language was found, in texts of SURE
-    characters and more at no more than bits_limit bits, by default what letters drawn at
-    random would take.
+    characters and more at no more than bits_limit bits. The default is far above what
+    texts of two known languages take (5 at most), so mixed texts stay.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # bounded by languages x chars_per_language

@@ -52,7 +52,7 @@ def _shaped(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_text": text, "_marks": F.least(marks * 10, F.lit(2.0)), "_repeats": repeats * 2})
 
 
-def train(docs: DataFrame, domains: DataFrame, sample: int = 4000, features: int = 1 << 13, rounds: int = 25) -> Classifier:
+def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int = 1 << 17, rounds: int = 25) -> Classifier:
     """A classifier of domains from at most `sample` labelled documents, those whose ids hash lowest.
 
     docs: doc_id, text. domains: doc_id, domain. Without two domains the posteriors are
@@ -109,7 +109,7 @@ def fit_rates(members: DataFrame, targets: list[float], kept: list[bool] | None
     return steps, scale
 
 
-def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], kept: list[str] | None = None, sample: int = 4000) -> tuple[DataFrame, list[str]]:
+def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], kept: list[str] | None = None, sample: int = 8000) -> tuple[DataFrame, list[str]]:
     """doc_id, tokens, p and rate of every document, and the names of the domains in p.
 
     docs: doc_id, text. tokens are runs of non-space characters. Null and empty texts have no tokens, and a rate like
