@@ -52,7 +52,7 @@ def _shaped(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_text": text, "_marks": F.least(marks * 10, F.lit(2.0)), "_repeats": repeats * 2})
 
 
-def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int = 1 << 17, rounds: int = 25) -> Classifier:
+def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int = 1 << 15, rounds: int = 25) -> Classifier:
     """A classifier of domains from at most `sample` labelled documents, those whose ids hash lowest.
 
     docs: doc_id, text. domains: doc_id, domain. Without two domains the posteriors are
@@ -70,7 +70,8 @@ def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int
         VectorAssembler(inputCols=["_tf", "_marks", "_repeats"], outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol="_label", family="multinomial", regParam=0.002, maxIter=rounds, standardization=False),
     ]
-    return Classifier(names, Pipeline(stages=stages).fit(rows.withColumn("_label", label)))
+    # at most `sample` rows: each partition ships a gradient of all features in every round
+    return Classifier(names, Pipeline(stages=stages).fit(rows.withColumn("_label", label).coalesce(6)))
 
 
 def rate(posteriors: Column, steps: list[list[float]]) -> Column:
