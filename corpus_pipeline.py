@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equity_jobs.llm import langid, mixing, pieces, queries, secret_scan, simhash
+from equity_jobs.llm import langid, mixing, pieces, queries, resemblance, secret_scan, simhash
 from equity_jobs.llm.common import table, written
+from equity_jobs.llm.components import components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,11 +19,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates (operator 8) the document with the smallest id; repeated
-    rows go, documents without an id stay."""
+    """Keeps of each group of near-duplicates the document with the smallest id; repeated rows go,
+    documents without an id stay. Links are those of operator 8 and all pairs whose sets of
+    five-word shingles have a similarity of 0.8 or more, most of which are over 4 bits apart."""
     docs = docs.select(COLUMNS)
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    near = simhash.near_duplicates(docs).select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
+    links = near.unionByName(resemblance.similar_links(docs))
+    later = components(links).where("node <> root").select(F.col("node").alias("doc_id"))
+    return docs.where("doc_id is not null").join(later, "doc_id", "left_anti").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
