@@ -40,16 +40,24 @@ class Classifier:
         return scored.withColumn("p", vector_to_array("probability")).select(*docs.columns, "p")
 
 
+def repetition(text: Column, width: int = 100) -> Column:
+    """The share of words that their own window has had before, over all consecutive windows of `width` words."""
+
+    def share(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words), F.lit(width))
+        distinct = F.aggregate(starts, F.lit(0), lambda n, at: n + F.size(F.array_distinct(F.slice(words, at, F.lit(width)))))
+        return F.lit(1.0) - distinct / F.size(words)
+
+    # as a lambda's variable the words are split once, not once a window
+    return F.get(F.transform(F.array(F.split(text, " ")), share), 0)
+
+
 def _shaped(docs: DataFrame) -> DataFrame:
     """docs with a text without nulls, and shares that describe its form."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = F.greatest(F.char_length(text), F.lit(1))
     marks = F.char_length(F.regexp_replace(text, r"[^#$%&*|]+", "")) / size
-    words = F.split(text, " ")
-    # a fixed stretch of words in the middle tells repetition apart whatever the length
-    middle = F.slice(words, F.greatest(F.lit(1), F.floor(F.size(words) / 2).cast("int") - 50), F.lit(100))
-    repeats = F.lit(1.0) - F.size(F.array_distinct(middle)) / F.greatest(F.size(middle), F.lit(1))
-    return docs.withColumns({"_text": text, "_marks": F.least(marks * 10, F.lit(2.0)), "_repeats": repeats * 2})
+    return docs.withColumns({"_text": text, "_marks": F.least(marks * 10, F.lit(2.0)), "_repeats": repetition(text) * 2})
 
 
 def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int = 1 << 15, rounds: int = 25) -> Classifier:
