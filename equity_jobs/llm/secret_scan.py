@@ -27,7 +27,6 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ of 16 and more
 DIGITS = re.compile(r"[0-9]+")
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]*")
 TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
-LONGEST = 256  # symbols of a token that are learned or scored
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -60,7 +59,7 @@ def candidates(text: str, base: list[tuple[str, int, int, str]], least: int = 12
 
 def classes(value: str) -> str:
     """The value with letters and digits replaced by their class; other characters stay."""
-    return re.sub("[A-F]", "X", re.sub("[G-Z]", "L", re.sub("[0-9]", "0", re.sub("[a-f]", "x", re.sub("[g-z]", "l", value[:LONGEST])))))
+    return re.sub("[A-F]", "X", re.sub("[G-Z]", "L", re.sub("[0-9]", "0", re.sub("[a-f]", "x", re.sub("[g-z]", "l", value)))))
 
 
 @dataclass
@@ -182,7 +181,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def learn(scanned: DataFrame, sample: int = 300, alpha: float = 0.05) -> Automaton | None:
     """The automaton of a bounded sample: the distinct values of assignments and access keys whose hashes are the `sample` lowest."""
-    values = scanned.select(F.explode(F.expr("filter(base, s -> s.kind <> 'hex')")).alias("s")).select(F.substring("s.value", 1, LONGEST).alias("value")).distinct()
+    values = scanned.select(F.explode(F.expr("filter(base, s -> s.kind <> 'hex')")).alias("s")).select(F.col("s.value").alias("value")).distinct()
     return infer([r.value for r in values.orderBy(F.xxhash64("value"), "value").limit(sample).collect()], alpha)
 
 
