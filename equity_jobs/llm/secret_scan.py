@@ -24,9 +24,7 @@ KINDS = ["assign", "access", "hex", "format"]  # in the order in which spans are
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ of 16 and more
-DIGITS = re.compile(r"[0-9]+")
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]*")
-TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -39,21 +37,22 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int, str]], least: int = 12) -> list[tuple[str, int, int, str]]:
-    """Tokens of at least `least` characters that hold a digit and a letter and overlap no base span."""
-    found, upto, at = [], 0, 0
-    covered = sorted((s, e) for _, s, e, _ in base)
-    for digits in DIGITS.finditer(text):
-        if digits.start() < upto:
+    """Tokens of at least `least` characters that base spans do not cover whole."""
+    found, at = [], 0
+    covered: list[list[int]] = []  # the union of the base spans
+    for start, end in sorted((s, e) for _, s, e, _ in base):
+        if covered and start <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
+    for token in TOKEN.finditer(text):
+        start, end = token.span()
+        if end - start < least:
             continue
-        start = digits.start()
-        while start > upto and text[start - 1] in TOKEN_CHARS:
-            start -= 1
-        upto = TOKEN.match(text, digits.end()).end()
-        value = text[start:upto]
-        while at < len(covered) and covered[at][1] <= start:
+        while at < len(covered) and covered[at][1] < end:
             at += 1
-        if upto - start >= least and re.search("[A-Za-z]", value) and not any(s < upto and e > start for s, e in covered[max(0, at - len(KINDS)) : at + len(KINDS)]):
-            found.append(("format", start, upto, value))
+        if at == len(covered) or covered[at][0] > start:
+            found.append(("format", start, end, token[0]))
     return found
 
 

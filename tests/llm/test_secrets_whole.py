@@ -16,3 +16,18 @@ def test_long_tokens_are_judged_whole(spark, monkeypatch):
     monkeypatch.setattr(secret_scan, "infer", lambda values, alpha: learned.extend(values))
     secret_scan.learn(scanned)
     assert learned == [hexes[0]] and len(secret_scan.classes(hexes[0] + "Z")) == 301
+
+
+def test_candidates_are_all_tokens_that_base_spans_leave_open():
+    run = "0123456789abcdef"
+    text = f"prefix_{run}Xyz {run} token={run}{run} abcdefghijklm 123456-789012 short1 AKIA{'A' * 16}tail"
+    base = secret_scan.base_spans(text)
+    assert [v for *_, v in secret_scan.candidates(text, base)] == [f"prefix_{run}Xyz", "abcdefghijklm", "123456-789012", f"AKIA{'A' * 16}tail"]
+
+
+def test_redaction_takes_the_union_of_spans(spark):
+    run = "0123456789abcdef"
+    values = [f"prefix_{run}Xyz"] * 20
+    docs = spark.createDataFrame([(1, f"see prefix_{run}Xyz there", 0)], "doc_id bigint, text string, n_chars bigint")
+    got = secret_scan.redact(docs, secret_scan.infer(values)).first()
+    assert got.text == "see [SECRET] there" and got.n_chars == 18
