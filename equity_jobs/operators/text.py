@@ -84,25 +84,27 @@ def lexical_scores(passages: DataFrame, terms: DataFrame, questions: DataFrame,
     return hits.join(exact, ["query_id", *keys], "left").select("query_id", *keys, (F.col("share") + F.col("often") + F.coalesce("bonus", F.lit(0.0))).alias("lexical"), "matched")
 
 
-def hybrid_scores(lexical: DataFrame, semantic: DataFrame | None, keys: list[str], bonus: DataFrame | None = None, recall: float = 0.60) -> DataFrame:
+def hybrid_scores(lexical: DataFrame, semantic: DataFrame | None, keys: list[str], bonus: tuple[DataFrame, DataFrame, float] | None = None, recall: float = 0.60) -> DataFrame:
     """TX4: lexical over the query's best, mixed 0.55 to 0.45 with the semantic score where there is one; rows found by meaning alone need `recall`."""
     best = F.max("lexical").over(Window.partitionBy("query_id"))
     rows = lexical.withColumn("_norm", F.col("lexical") / best)
     rows = rows.join(semantic, ["query_id", *keys], "full_outer") if semantic is not None else rows.withColumn("semantic", F.lit(None).cast("double"))
-    if bonus is not None:
-        rows = rows.join(bonus, ["query_id", *keys], "left")
-    extra = F.coalesce(F.col("bonus"), F.lit(0.0)) if bonus is not None else F.lit(0.0)
+    extra = F.lit(0.0)
+    if bonus is not None:  # for rows that were found anyway: the bonus alone finds none
+        wanted, holds, size = bonus
+        rows = rows.join(wanted.withColumn("_asks", F.lit(True)), "query_id", "left").join(holds.withColumn("_holds", F.lit(True)), keys, "left")
+        extra = F.when(F.col("_asks") & F.col("_holds"), F.lit(size)).otherwise(F.lit(0.0))
     norm, positive = F.coalesce("_norm", F.lit(0.0)), F.greatest("semantic", F.lit(0.0))
     score = F.when(F.col("semantic").isNull(), norm).otherwise(0.55 * norm + 0.45 * positive) + extra
     method = F.when(F.col("semantic").isNull(), "lexical").when(F.col("_norm").isNull(), "semantic").otherwise("hybrid")
-    return rows.where(F.col("_norm").isNotNull() | (F.col("semantic") >= recall)).withColumns({"score": score, "method": method, "matched": F.coalesce("matched", F.array().cast("array<string>"))}).drop("_norm")
+    return rows.where(F.col("_norm").isNotNull() | (F.col("semantic") >= recall)).withColumns({"score": score, "method": method, "matched": F.coalesce("matched", F.array().cast("array<string>"))}).drop("_norm", "_asks", "_holds")
 
 
-def statement_bonus(questions: DataFrame, passages: DataFrame, keys: list[str], asks: str, scope: list[str], size: float = 0.25) -> DataFrame:
-    """TX4's bonus: passages with all scope phrases, for questions that ask for the metric. Both filters come before the join."""
+def statement_bonus(questions: DataFrame, passages: DataFrame, keys: list[str], asks: str, scope: list[str], size: float = 0.25) -> tuple[DataFrame, DataFrame, float]:
+    """TX4's bonus: the questions that ask for the metric, the passages with all scope phrases, and what a row of both gains; they are never paired with each other."""
     wanted = questions.where(F.contains(F.lower("text"), F.lit(asks))).select("query_id")
     holds = passages.where(" and ".join(f"contains(lower(text), '{p}')" for p in scope)).select(*keys)
-    return holds.withColumn("_k", F.lit(1)).join(wanted.withColumn("_k", F.lit(1)), "_k").select("query_id", *keys, F.lit(size).alias("bonus"))
+    return wanted, holds, size
 
 
 def top_results(scored: DataFrame, order: list[Column], k: int) -> DataFrame:
