@@ -420,9 +420,9 @@ def io6(spark, sf):
 def ss1(spark, sf):
     base = shared_dir(spark, "feed")
     rows = view(spark, sf, "disclosures").select("instrument_id", "announcement_id", "title", "published_date", "url")
-    # the feed lands in two files, the second repeats part of the first
-    rows.coalesce(1).write.parquet(f"{base}/landed")
-    rows.where("announcement_id % 3 = 0").coalesce(1).write.mode("append").parquet(f"{base}/landed")
+    # the feed lands twice, the second time with part of the first
+    rows.write.parquet(f"{base}/landed")
+    rows.where("announcement_id % 3 = 0").write.mode("append").parquet(f"{base}/landed")
     feed.run_feed(feed.disclosure_feed(spark, f"{base}/landed", rows.schema.simpleString()[7:-1].replace(":", " "), "4000 days"), f"{base}/store", f"{base}/checkpoint")
     return feed.in_window(spark.read.parquet(f"{base}/store"), windows(spark, sf)).select("instrument_id", "announcement_id", "category", "status")
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from equity_jobs.functions.rules import allowed_url, classify
 
 
-def disclosure_feed(spark: SparkSession, folder: str, schema: str, lateness: str = "365 days") -> DataFrame:
-    """Titled rows of allowed hosts from files that land in folder, classified, once for each (instrument, date, title, url) within lateness."""
-    raw = spark.readStream.schema(schema).parquet(folder)
+def disclosure_feed(spark: SparkSession, folder: str, schema: str, lateness: str = "365 days", files: int = 64) -> DataFrame:
+    """Titled rows of allowed hosts from files that land in folder, classified, once for each (instrument, date, title, url) within lateness. A batch reads at most `files` files."""
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
     category, attention = classify(F.col("title"))
     rows = raw.where((F.trim("title") != "") & allowed_url(F.col("url"))).withColumns({"category": category, "attention": attention, "event_time": F.col("published_date").cast("timestamp")})
     return rows.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["instrument_id", "published_date", "title", "url"])
