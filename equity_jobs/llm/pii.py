@@ -1,29 +1,33 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
 Candidates are the base matches and looser forms of the same kinds. Three labelers vote
-on each: a regex (is the form strict), a gazetteer (is a part of it listed) and a context
-labeler (do the words before it announce it). Expectation-maximisation over the counts of
-vote patterns estimates how reliable each labeler is for each kind; the posteriors weigh
-the examples of a logistic span classifier, which decides on the looser candidates. Base
-matches stay whatever it says.
+for a candidate, against it, or not at all: a regex on its form, a gazetteer of listed
+parts (domain endings, address blocks, issuer and calling codes), and the words on both
+sides of it. Expectation-maximisation over the counts of vote patterns estimates how
+reliable each labeler is for each kind; the posteriors weigh the examples of a logistic
+span classifier, which also sees features of the span itself and decides on the looser
+candidates. Base matches stay whatever it says.
+
+What is stored between the steps are places, votes and features, never the data found.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equity_jobs.llm.common import written
 
 KINDS = ["email", "ip", "card", "phone"]  # in the order in which spans are listed
 
-# Runs are taken whole by possessive quantifiers, and a match begins where a run begins
-# or the last match ended: the same matches as with plain ones, without backtracking.
+# Runs and repeated groups are taken whole by possessive quantifiers: the same matches as
+# with plain ones, without backtracking and without a stack that grows with the text.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -33,19 +37,54 @@ BASE = {
 # A cheap test that a text without any match fails; null: none.
 HINT = {"email": "@", "ip": None, "card": None, "phone": "+"}
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]{1,64} ?[(\[] ?(?:at|AT) ?[)\]] ?[A-Za-z0-9-]{1,63}(?: ?[(\[] ?(?:dot|DOT) ?[)\]] ?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63})+",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9])",
-    "phone": r"(?<![0-9(+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[] ?(?:at|AT) ?[)\]] ?[A-Za-z0-9-]++"
+    r"(?:\.[A-Za-z0-9-]++| ?[(\[] ?(?:dot|DOT) ?[)\]] ?[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9A-Fa-f:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,5})(?![0-9A-Fa-f:])"
+    r"|(?<![0-9.])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ ./_-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ ./_-])[0-9]{6}\2[0-9]{5})(?![0-9])",
+    "phone": r"(?<![0-9(+])(?:(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}|00[1-9][0-9]{0,2}[ ./-][0-9](?:[ ./()-]?[0-9]){6,11})(?![0-9])",
 }
-LOOSE_HINT = {"email": "@|\\bat\\b|\\bAT\\b", "ip": ":", "card": "[0-9]{4}[./_]", "phone": "[0-9]{3}[-. ][0-9]{4}"}
-# What the gazetteer and the context labeler look for.
-GAZETTEER = {"email": r"(?i)(?:com|org|net|edu|gov|de|fr|es|uk|io)$", "ip": r"^(?:10|127|172|192|2001)[.:]", "card": "^(?:4|5[1-5]|2[2-7]|34|37|6011)", "phone": r"^\+?(?:1|33|34|44|49)\b|^\(?(?:2[0-9]{2}|[3-9][0-9]{2})\b"}
-CONTEXT = {"email": r"(?i)\b(?:e-?mail|mail|contact|write|courriel|correo)\b", "ip": r"(?i)\b(?:ip|host|address|server|adresse)\b", "card": r"(?i)\b(?:card|visa|credit|karte|carte|tarjeta)\b", "phone": r"(?i)\b(?:call|phone|tel|fax|mobile|telefon)\b"}
-WINDOW = 40  # code points before a span that the context labeler reads
+LOOSE_HINT = {
+    "email": r"[(\[] ?(?:at|AT) ?[)\]]",
+    "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f:]{2}|[0-9]\[\.\]",
+    "card": r"[0-9]{13}|[0-9]{4}[ ./_-][0-9]{4}",
+    "phone": r"[0-9]{3}[-. ][0-9]{4}|00[1-9][0-9]{0,2}[ ./-]",
+}
+# The form labeler: the first pattern that fits gives the vote; none: no vote.
+FORM = {
+    "email": [(r"\.\.|[0-9]$|^[.%+-]", -1), (r"^.{1,64}(?:@| ?[(\[] ?(?:at|AT) ?[)\]]).*[A-Za-z]{2}$", 1)],
+    "ip": [(r"(?:^|[.\]])0[0-9]", -1), (r"[0-9]", 1)],
+    "card": [(r"^([0-9])\1{12}|^[0-9]{13,14}$", -1), (r"^[0-9]{15,16}$|^[0-9]{4}([^0-9])[0-9]{4}\2[0-9]{4}\2[0-9]{4}$|^[0-9]{4}([^0-9])[0-9]{6}\3[0-9]{5}$", 1)],
+    "phone": [(r"^\+0|^\(?[01][0-9]{2}[-. )]", -1), (r"^\+[1-9]|^00[1-9]|^\(?[2-9]", 1)],
+}
+# What the gazetteer lists. By kind, the part of the span that is looked up.
+ENDINGS = "com org net edu gov mil int info biz io ai app dev me tv eu de fr es uk us ca au at ch it nl be lu pl cz se no dk fi pt ie mx ar br cl co pe ru ua in cn jp kr tw za".split()
+FILE_ENDINGS = "png jpg jpeg gif svg webp css js json html htm xml py txt pdf md yml yaml".split()
+ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|36|38|30[0-5])"
+CALLING = r"^(?:\+|00)(?:1|7|20|27|3[0-469]|4[0134-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|35[0-9]|37[0-9]|38[0-9]|42[0-3])|^\(?[2-9][0-9]{2}[-. )]"
+# The context labeler: words on either side that announce the kind, or something else.
+ANNOUNCES = {
+    "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach|courriel|correo|schreiben)\b",
+    "ip": r"(?i)\b(?:ip|ipv[46]|host|address|server|client|login|adresse|direcci[oó]n)\b",
+    "card": r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|cvv|karte|kreditkarte|carte|tarjeta)\b",
+    "phone": r"(?i)\b(?:call|phone|tel|fax|mobile|cell|whatsapp|telefon|t[eé]l[eé]phone|tel[eé]fono)\b",
+}
+DENIES = {
+    "email": r"(?i)\b(?:file|image|src|href|path)\b",
+    "ip": r"(?i)\b(?:version|release|build|section|chapter|firmware|v)\b",
+    "card": r"(?i)\b(?:isbn|order|invoice|tracking|serial|sku|ticket|timestamp|barcode)\b",
+    "phone": r"(?i)\b(?:isbn|order|invoice|tracking|serial|sku|ticket|part|item)\b",
+}
+NEAR = 40  # code points on either side that the context labeler reads, up to the next match of the same kind
 LABELERS = ("form", "listed", "announced")
+#: Features of the span itself; with the votes at most 1,296 patterns a kind, whatever the data.
+FEATURES = (*LABELERS, "glued", "parts", "sized", "checked")
+BLOCK = 256  # lengths that are added up at once
+
 
-SPAN = "struct<kind:string,start:int,end:int,value:string,base:boolean,form:int,listed:int,announced:int>"
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def _digits(value: Column) -> Column:
@@ -76,102 +115,159 @@ def _holds(kind: str, value: Column) -> Column:
     return size.between(8, 15) if kind == "phone" else F.lit(True)
 
 
+def _sums_before(sizes: Column) -> Column:
+    """For each of an array of lengths the sum of those before it, added up in blocks."""
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + b)
+    last = F.floor((F.greatest(F.size(sizes), F.lit(1)) - 1) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def placed(own: Column, before: Column) -> Column:
+        return F.transform(own, lambda _, j: before + total(F.slice(own, F.lit(1), j)))
+
+    return _let(blocks, lambda bs: _let(F.transform(bs, total), lambda sums: F.flatten(F.transform(bs, lambda own, b: _let(total(F.slice(sums, F.lit(1), b)), lambda before: placed(own, before))))))
+
+
 def _matches(text: Column, pattern: str, hint: Column | None) -> Column:
-    """start, end and value of the leftmost non-overlapping matches, in code points.
+    """The leftmost non-overlapping matches: start (in code points), value, and the text before and after each.
 
-    The pieces between matches, by split(), and the matches themselves give the places.
+    before and after end at the neighbouring matches: they are the pieces of split().
     """
-    pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def step(done: Column, pair: Column) -> Column:
-        start = (done["at"] + F.char_length(pair["p"])).cast("int")
-        end = (start + F.char_length(pair["v"])).cast("int")
-        return F.struct(end.alias("at"), F.array_append(done["found"], F.struct(start.alias("start"), end.alias("end"), pair["v"].alias("value"))).alias("found"))
+    def found(pieces: Column) -> Column:
+        n = F.size(pieces) - 1
+        zipped = F.arrays_zip(F.slice(pieces, F.lit(1), n).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), F.slice(pieces, F.lit(2), n).alias("after"))
+        sizes = lambda z: F.transform(z, lambda m: F.char_length(m["before"]) + F.char_length(m["value"]))
+        starts = lambda z, s: F.transform(s, lambda at, i: F.struct((at + F.char_length(F.get(z, i)["before"])).alias("start"), F.get(z, i).alias("m")))
+        return F.when(n > 0, _let(zipped, lambda z: starts(z, _sums_before(sizes(z)))))
 
-    zipped = F.filter(F.arrays_zip(pieces.alias("p"), values.alias("v")), lambda x: x["v"].isNotNull())
-    empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string>>")
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda done: done["found"])
-    return found if hint is None else F.when(hint, found).otherwise(empty)
+    matched = _let(F.split(text, pattern, -1), found)
+    return matched if hint is None else F.when(hint, matched)
 
 
-def _voted(kind: str, text: Column, spans: Column, base: bool) -> Column:
-    """Spans with the votes of the labelers: 1 for, -1 against, 0 none."""
+def _first(value: Column, rules: list[tuple[str, int]]) -> Column:
+    vote = F.lit(0)
+    for pattern, is_ in reversed(rules):
+        vote = F.when(value.rlike(pattern), is_).otherwise(vote)
+    return vote
 
-    def vote(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW)))
-        listed = F.when(s["value"].rlike(GAZETTEER[kind]), 1).otherwise(-1)
-        announced = F.when(before.rlike(CONTEXT[kind]), 1).otherwise(0)
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(base).alias("base"), F.lit(1 if base else -1).alias("form"), listed.alias("listed"), announced.alias("announced"))
 
-    return F.transform(spans, vote)
+def _listed(kind: str, value: Column) -> Column:
+    """The gazetteer's vote: listed, listed as something else, or nothing known."""
+    if kind == "email":
+        ending = F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)$", 1))
+        return F.when(ending.isin(ENDINGS), 1).when(ending.isin(FILE_ENDINGS), -1).otherwise(0)
+    if kind == "ip":
+        block = F.regexp_extract(value, r"^0*([0-9]{1,3})(?:\.|\[)", 1)
+        octet = F.when(block != "", block.cast("int"))
+        return F.when(octet.between(1, 223), 1).when(octet.isNotNull(), -1).when(value.rlike(r"^(?:[23][0-9A-Fa-f]{3}|(?i)fe80|f[cd][0-9a-f]{2}):"), 1).otherwise(0)
+    return F.when(value.rlike(ISSUERS if kind == "card" else CALLING), 1).otherwise(0)
+
+
+def _judged(kind: str, base: bool, matches: Column) -> Column:
+    """Spans with the labelers' votes (1 for, -1 against, 0 none) and features; of base matches those that hold."""
+
+    def span(s: Column) -> Column:
+        value, before, after = s["m"]["value"], F.right(s["m"]["before"], F.lit(NEAR)), F.left(s["m"]["after"], F.lit(NEAR))
+        near = F.concat(before, F.lit(" "), after)
+        separators = F.char_length(F.regexp_replace(value, "[A-Za-z0-9]", ""))
+        size = F.char_length(value)
+        votes = {
+            "form": _first(value, FORM[kind]),
+            "listed": _listed(kind, value),
+            "announced": F.when(near.rlike(ANNOUNCES[kind]), 1).when(near.rlike(DENIES[kind]), -1).otherwise(0),
+            "glued": (before.rlike(r"[\p{L}\p{N}_]$") | after.rlike(r"^[\p{L}\p{N}_]")).cast("int"),
+            "parts": F.when(separators == 0, 0).when(separators <= 3, 1).otherwise(2),
+            "sized": F.when(size < 8, 0).when(size < 16, 1).when(size < 32, 2).otherwise(3),
+            "checked": (F.lit(base) if kind == "card" else F.lit(False)).cast("int"),
+        }
+        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), (s["start"] + size).alias("end"), F.lit(base).alias("base"), *(v.cast("int").alias(n) for n, v in votes.items()))
+
+    kept = F.filter(matches, lambda s: _holds(kind, s["m"]["value"])) if base else matches
+    empty = F.filter(F.array(F.struct(F.lit("").alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(base).alias("base"), *(F.lit(0).alias(n) for n in FEATURES))), lambda s: F.lit(False))
+    return F.coalesce(F.transform(kept, span), empty)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and spans, the base matches and looser candidates that overlap none of them, with their votes."""
-    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    text = F.col("text")
-    found = {}
+    """id, row (a number of its own for every row) and spans: base matches and all looser ones."""
+    texts = docs.select(docs[id_col].alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    text, parts = F.col("text"), []
     for kind in KINDS:
         hint = None if HINT[kind] is None else F.contains(text, F.lit(HINT[kind]))
-        found[kind] = _kept(kind, _matches(text, BASE[kind], hint))
-        found[f"loose_{kind}"] = _matches(text, LOOSE[kind], text.rlike(LOOSE_HINT[kind]))
-    rows = texts.select("id", "text", *(c.alias(n) for n, c in found.items()))
-    base = F.concat(*(_voted(kind, text, F.col(kind), base=True) for kind in KINDS))
-    loose = F.concat(*(_voted(kind, text, F.col(f"loose_{kind}"), base=False) for kind in KINDS))
-    rows = rows.select("id", base.alias("base"), loose.alias("loose"))
-    free = F.filter("loose", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return rows.select("id", F.concat("base", free).alias("spans"))
+        parts += [_judged(kind, True, _matches(text, BASE[kind], hint)), _judged(kind, False, _matches(text, LOOSE[kind], text.rlike(LOOSE_HINT[kind])))]
+    return texts.select("id", "row", F.concat(*parts).alias("spans"))
 
 
-def _kept(kind: str, spans: Column) -> Column:
-    return F.filter(spans, lambda s: _holds(kind, s["value"]))
+def open_spans(marked: DataFrame) -> DataFrame:
+    """The spans of candidates() as rows, without looser ones that overlap a base match of their text."""
+    rows = marked.where(F.size("spans") > 0).select("row", F.inline("spans"))
+    upward = Window.partitionBy("row").orderBy("start", F.desc("base")).rowsBetween(Window.unboundedPreceding, 0)
+    downward = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("base")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumns({"_end": F.max(F.when(F.col("base"), F.col("end"))).over(upward), "_start": F.min(F.when(F.col("base"), F.col("start"))).over(downward)})
+    overlaps = F.coalesce(F.col("_end") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_start") < F.col("end"), F.lit(False))
+    return seen.where(F.col("base") | ~overlaps).drop("_end", "_start")
 
 
 @dataclass(frozen=True)
 class Reliability:
-    """Of a kind: the share of true spans, and each labeler's chance of each vote given true and given false."""
+    """Of a kind: the share of true spans, and by labeler the chance that its vote is for a true and against a false one."""
 
     prior: float
-    votes: dict[str, dict[int, tuple[float, float]]]
+    right: dict[str, tuple[float, float]]
 
     def posterior(self, pattern: dict[str, int]) -> float:
         true, false = math.log(self.prior), math.log(1 - self.prior)
         for labeler, vote in pattern.items():
-            a, b = self.votes[labeler][vote]
-            true, false = true + math.log(a), false + math.log(b)
-        return 1 / (1 + math.exp(min(50.0, false - true)))
+            for_true, against_false = self.right[labeler]
+            if vote > 0:
+                true, false = true + math.log(for_true), false + math.log(1 - against_false)
+            elif vote < 0:
+                true, false = true + math.log(1 - for_true), false + math.log(against_false)
+        return 1 / (1 + math.exp(max(-50.0, min(50.0, false - true))))
 
 
 def estimate(patterns: list[tuple[dict[str, int], int]], rounds: int = 50) -> Reliability:
-    """Expectation-maximisation over vote patterns and their counts (at most 18), from votes taken at face value."""
+    """Expectation-maximisation over vote patterns and their counts (at most 27).
+
+    It begins with the votes at face value. Votes of 0 say nothing. Each labeler is taken
+    to have been right in four earlier cases of five.
+    """
     weights = [min(0.95, max(0.05, 0.5 + 0.2 * sum(p.values()))) for p, _ in patterns]
     now = None
     for _ in range(rounds):
-        true = sum(w * n for w, (_, n) in zip(weights, patterns, strict=True))
-        total = sum(n for _, n in patterns)
-        votes = {
-            labeler: {v: tuple((sum(w * n for w, (p, n) in zip(side, patterns, strict=True) if p[labeler] == v) + 0.5) / (s + 1.5) for side, s in ((weights, true), ([1 - w for w in weights], total - true))) for v in (-1, 0, 1)}
-            for labeler in LABELERS
+        rows = [(p, n * w, n * (1 - w)) for w, (p, n) in zip(weights, patterns, strict=True)]
+        right = {
+            name: (
+                (4 + sum(t for p, t, _ in rows if p[name] > 0)) / (5 + sum(t for p, t, _ in rows if p[name])),
+                (4 + sum(f for p, _, f in rows if p[name] < 0)) / (5 + sum(f for p, _, f in rows if p[name])),
+            )
+            for name in LABELERS
         }
-        now = Reliability(min(0.99, max(0.01, true / total)), votes)
+        share = sum(t for _, t, _ in rows) / sum(t + f for _, t, f in rows)
+        now = Reliability(min(0.95, max(0.05, share)), right)
         weights = [now.posterior(p) for p, _ in patterns]
     return now
 
 
 def span_weights(spans: DataFrame) -> dict[str, list[float]]:
-    """By kind the weights and the intercept of the span classifier, learned from all candidates' votes."""
-    counted = spans.select(F.inline("spans")).groupBy("kind", *LABELERS).agg(F.count("*").alias("n")).collect()  # at most 4 kinds x 18 patterns
+    """By kind the weights and the intercept of the span classifier, learned from all candidates."""
+    counted = spans.groupBy("kind", *FEATURES).agg(F.count("*").alias("n")).orderBy("kind", *FEATURES).collect()  # at most 4 x 1,296 patterns
     learned = {}
     for kind in KINDS:
-        patterns = [({name: r[name] for name in LABELERS}, r["n"]) for r in counted if r["kind"] == kind]
-        if not patterns:
+        mine = [r for r in counted if r["kind"] == kind]
+        if not mine:
             continue
-        reliability = estimate(patterns)
-        session = spans.sparkSession
-        rows = [(*map(float, p.values()), label, n * share) for p, n in patterns for label, share in ((1.0, reliability.posterior(p)), (0.0, 1 - reliability.posterior(p)))]
+        votes: dict[tuple[int, ...], int] = {}
+        for r in mine:
+            key = tuple(r[name] for name in LABELERS)
+            votes[key] = votes.get(key, 0) + r["n"]
+        reliability = estimate([(dict(zip(LABELERS, key, strict=True)), n) for key, n in votes.items()])
+        rows = []
+        for r in mine:
+            share = reliability.posterior({name: r[name] for name in LABELERS})
+            rows += [(*(float(r[f]) for f in FEATURES), label, r["n"] * w) for label, w in ((1.0, share), (0.0, 1 - share))]
         listed = ", ".join(f"({', '.join(f'{x!r}D' for x in row)})" for row in rows)
-        frame = session.sql(f"SELECT * FROM VALUES {listed} AS t({', '.join(LABELERS)}, label, weight)")
-        model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=0.01).fit(VectorAssembler(inputCols=list(LABELERS), outputCol="features").transform(frame))
+        frame = spans.sparkSession.sql(f"SELECT * FROM VALUES {listed} AS t({', '.join(FEATURES)}, label, weight)")
+        model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=0.01).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(frame))
         learned[kind] = [*map(float, model.coefficients), float(model.intercept)]
     return learned
 
@@ -179,20 +275,18 @@ def span_weights(spans: DataFrame) -> dict[str, list[float]]:
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """id and spans (kind, start, end, base; code points, end exclusive; by kind, then start) of every row.
 
-    Null and empty texts have no spans. Repeats and null ids stay; other columns are not
-    read. threshold: the classifier's probability from which a looser candidate counts.
+    Null and empty texts have no spans; no rows: no rows. Repeats and null ids stay, each
+    with its own spans; other columns are not read. threshold: the classifier's
+    probability from which a looser candidate counts.
     """
-    spans = written(candidates(docs, id_col, text_col), "personal-data")
-    learned = span_weights(spans)
-
-    def accepted(s: Column) -> Column:
-        said = F.lit(False)
-        for kind, (*weights, intercept) in learned.items():
-            score = sum((s[name] * w for name, w in zip(LABELERS, weights, strict=True)), F.lit(intercept))
-            said = F.when(s["kind"] == kind, score >= math.log(threshold / (1 - threshold))).otherwise(said)
-        return s["base"] | said
-
-    rank = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
-    keyed = F.transform(F.filter("spans", accepted), lambda s: F.struct(F.element_at(rank, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base")))
-    listed = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
-    return spans.select(F.col("id").alias(id_col), listed.alias("spans"))
+    marked = written(candidates(docs, id_col, text_col), "personal-data")
+    spans = written(open_spans(marked), "personal-spans")
+    said = F.lit(False)
+    for kind, (*weights, intercept) in span_weights(spans).items():
+        score = sum((F.col(name) * w for name, w in zip(FEATURES, weights, strict=True)), F.lit(intercept))
+        said = F.when(F.col("kind") == kind, score >= math.log(threshold / (1 - threshold))).otherwise(said)
+    rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    own = spans.where(F.col("base") | said).groupBy("row").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "start", "end", "kind", "base"))).alias("own"))
+    listed = F.transform("own", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
+    none = F.from_json(F.lit("[]"), "array<struct<kind:string,start:int,end:int,base:boolean>>")
+    return marked.select("id", "row").join(own, "row", "left").select(F.col("id").alias(id_col), F.coalesce(listed, none).alias("spans"))
