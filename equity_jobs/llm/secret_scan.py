@@ -2,11 +2,14 @@
 
 Base patterns find assignments, access keys and hex runs. The values assigned to a key
 are labelled credentials: their symbol-class strings form a prefix tree, whose
-statistically compatible states are merged (ALERGIA) into a probabilistic automaton.
-Every other candidate token is scored by its likelihood per symbol under the automaton,
-and is a secret where its score lies among those of the labelled credentials.
-"""
+statistically compatible states are merged (ALERGIA) into a probabilistic automaton. A
+second automaton is inferred from other tokens in the same way. Every token that base
+spans leave open is scored by its likelihood per symbol under the first, and is a secret
+where that is as high as held-out labelled credentials have it, and higher than under the
+second.
 
+What is stored between the steps are places and symbol classes, never the values found.
+"""
 from __future__ import annotations
 
 import math
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +29,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the runs of [0-9a-f]+ of 16 and more
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
-SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+SPAN = "array<struct<kind:string,start:int,end:int,word:string,key:bigint>>"
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -69,8 +73,6 @@ class Automaton:
     ends: list[int] = field(default_factory=lambda: [0])
     taken: list[dict[str, int]] = field(default_factory=lambda: [{}])
     to: list[dict[str, int]] = field(default_factory=lambda: [{}])
-    low: float = 0.0
-    high: float = 0.0
 
     def add(self, word: str) -> None:
         at = 0
@@ -143,64 +145,103 @@ class Automaton:
         return (bits + math.log2(max(self.ends[at] / max(self.total[at], 1), 1e-3))) / (len(word) + 1)
 
 
-def infer(values: list[str], alpha: float = 0.05) -> Automaton | None:
-    """The automaton of labelled credentials, with the range of their own scores; None without any."""
-    if not values:
-        return None
+def inferred(words: list[str], alpha: float = 0.05) -> Automaton:
     automaton = Automaton()
-    words = [classes(v) for v in values]
     for word in words:
         automaton.add(word)
     automaton.merge(alpha)
-    scores = sorted(map(automaton.score, words))
-    automaton.low, automaton.high = scores[0], scores[-1]
     return automaton
 
 
-def is_secret(automaton: Automaton | None, value: str) -> bool:
-    return automaton is not None and automaton.low <= automaton.score(classes(value)) <= automaton.high
+@dataclass
+class Formats:
+    """The automaton of labelled credentials, that of other tokens, and the score from which a token counts."""
+
+    secret: Automaton
+    other: Automaton | None
+    least: float
+
+    def accepts(self, word: str) -> bool:
+        score = self.secret.score(word)
+        return score >= self.least and (self.other is None or score > self.other.score(word))
+
+
+def infer(values: list[str], others: list[str] = (), alpha: float = 0.05, missed: float = 0.05, folds: int = 5) -> Formats | None:
+    """Formats from labelled credentials and other tokens, both as symbol classes; None without the former.
+
+    The least score is held out: each fold is scored by an automaton of the other folds,
+    and a share `missed` of all scores lies below. Fewer than two values give their own.
+    """
+    if not values:
+        return None
+    scores: list[float] = []
+    for fold in range(folds):
+        rest = [v for i, v in enumerate(values) if i % folds != fold]
+        if rest and len(rest) < len(values):
+            held = inferred(rest, alpha)
+            scores += [held.score(v) for i, v in enumerate(values) if i % folds == fold]
+    secret = inferred(values, alpha)
+    scores = sorted(scores) or [secret.score(v) for v in values]
+    return Formats(secret, inferred(others, alpha) if others else None, scores[int(missed * len(scores))])
+
+
+def is_secret(formats: Formats | None, value: str) -> bool:
+    return formats is not None and formats.accepts(classes(value))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, base and candidates (arrays of kind, start, end, value) of every row's whole text."""
+    """id, base and candidates of every row's whole text: kind, start, end, the symbol classes
+    (of base spans only where they are labelled credentials) and a hash of the value."""
+
+    def told(spans: list[tuple[str, int, int, str]]) -> list[dict]:
+        return [{"kind": k, "start": a, "end": b, "word": None if k == "hex" else classes(v), "key": xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) >> 1} for k, a, b, v in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("word", pa.string()), ("key", pa.int64())]))
         for batch in batches:
             base, others = [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text or "")
-                base.append([dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in spans])
-                others.append([dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in candidates(text or "", spans)])
+                base.append(told(spans))
+                others.append(told(candidates(text or "", spans)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(base, kind), pa.array(others, kind)], names=["id", "base", "candidates"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, base {SPAN}, candidates {SPAN}")
 
 
-def learn(scanned: DataFrame, sample: int = 300, alpha: float = 0.05) -> Automaton | None:
-    """The automaton of a bounded sample: the distinct values of assignments and access keys whose hashes are the `sample` lowest."""
-    values = scanned.select(F.explode(F.expr("filter(base, s -> s.kind <> 'hex')")).alias("s")).select(F.col("s.value").alias("value")).distinct()
-    return infer([r.value for r in values.orderBy(F.xxhash64("value"), "value").limit(sample).collect()], alpha)
+def _sampled(scanned: DataFrame, column: str, labelled: bool, sample: int) -> list[str]:
+    """The symbol classes of the `sample` distinct values whose hashes are lowest."""
+    spans = scanned.select(F.explode(column).alias("s")).select("s.*")
+    spans = spans.where("word is not null") if labelled else spans
+    rows = spans.groupBy("key").agg(F.min("word").alias("word")).orderBy(F.xxhash64("key"), "key").limit(sample).collect()
+    return [r.word for r in rows]
+
+
+def learn(scanned: DataFrame, sample: int = 300, alpha: float = 0.05, others: int = 2000) -> Formats | None:
+    """Formats of a bounded sample of scan(): at most `sample` distinct values of assignments and
+    access keys, and at most `others` distinct tokens that base spans leave open."""
+    values = _sampled(scanned, "base", True, sample)
+    return infer(values, _sampled(scanned, "candidates", False, others), alpha) if values else None
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 300, alpha: float = 0.05) -> DataFrame:
     """id and spans (kind, start, end; code points, end exclusive; by start, then kind) of every row.
 
-    Base spans are always there; spans of kind "format" are what the automaton adds. Null
-    and empty texts have no spans; without labelled credentials nothing is added. Repeats
-    and null ids stay; other columns are not read. sample bounds the labelled
-    credentials learned from, alpha is the merge test's significance.
+    Base spans are always there; spans of kind "format" are what the automata add. Null
+    and empty texts have no spans; without labelled credentials nothing is added; no rows:
+    no rows. Repeats and null ids stay; other columns are not read. sample bounds the
+    labelled credentials learned from, alpha is the merge test's significance.
     """
     scanned = written(scan(docs, id_col, text_col), "secret-candidates")
-    automaton = learn(scanned, sample, alpha)
+    formats = learn(scanned, sample, alpha)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             spans = []
             for base, others in zip(batch.column("base").to_pylist(), batch.column("candidates").to_pylist(), strict=True):
-                found = base + [c for c in others if is_secret(automaton, c["value"])]
+                found = base + [c for c in others if formats is not None and formats.accepts(c["word"])]
                 spans.append(sorted(({k: s[k] for k in ("kind", "start", "end")} for s in found), key=lambda s: (s["start"], KINDS.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(spans, kind)], names=[id_col, "spans"])
 
@@ -208,12 +249,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return scanned.mapInArrow(run, f"`{id_col}` {kind}, spans array<struct<kind:string,start:int,end:int>>")
 
 
-def redact(docs: DataFrame, automaton: Automaton | None, text_col: str = "text", chars_col: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret replaced by mark; chars_col, if there, follows the text. Null texts stay null."""
+def redact(docs: DataFrame, formats: Formats | None, text_col: str = "text", chars_col: str = "n_chars", mark: str = "[SECRET]") -> DataFrame:
+    """docs with every secret replaced by mark; chars_col, if there, follows the text. Null texts stay
+    null; repeats, null ids and other columns stay as they are; no rows: no rows."""
 
     def cleaned(text: str) -> str:
         base = base_spans(text)
-        spans = sorted([(s, e) for _, s, e, _ in base] + [(s, e) for _, s, e, v in candidates(text, base) if is_secret(automaton, v)])
+        spans = sorted([(s, e) for _, s, e, _ in base] + [(s, e) for _, s, e, v in candidates(text, base) if is_secret(formats, v)])
         out, at = [], 0
         for start, end in spans:
             if start >= at:

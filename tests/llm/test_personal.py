@@ -12,7 +12,7 @@ PLANTED = {
     "phone": [("(487) 555-{n:04d}", "call"), ("487.555.{n:04d}", "tel"), ("0044 20 7946 {n:04d}", "or")],
 }
 # forms that look alike and are none
-DECOYS = ["timestamp 1700000000{n:03d}", "version 1[.]2[.]3[.]{n} release", "order 0000000000000{n:03d}", "isbn 978316148{n:04d}"]
+DECOYS = ["timestamp 1700000000{n:03d}", "file logo{n}(at)2x.png", "order 0000000000000{n:03d}", "isbn 978316148{n:04d}"]
 
 
 def planted(count=30):
