@@ -53,7 +53,7 @@ LOOSE_HINT = {
 # The form labeler: the first pattern that fits gives the vote; none: no vote.
 FORM = {
     "email": [(r"\.\.|[0-9]$|^[.%+-]", -1), (r"^.{1,64}(?:@| ?[(\[] ?(?:at|AT) ?[)\]]).*[A-Za-z]{2}$", 1)],
-    "ip": [(r"(?:^|[.\]])0[0-9]", -1), (r"[0-9]", 1)],
+    "ip": [(r"(?:^|[.\]])0[0-9]", -1), (r"^[0-9](?:\.|\[)", 0), (r"[0-9]", 1)],
     "card": [(r"^([0-9])\1{12}|^[0-9]{13,14}$", -1), (r"^[0-9]{15,16}$|^[0-9]{4}([^0-9])[0-9]{4}\2[0-9]{4}\2[0-9]{4}$|^[0-9]{4}([^0-9])[0-9]{6}\3[0-9]{5}$", 1)],
     "phone": [(r"^\+0|^\(?[01][0-9]{2}[-. )]", -1), (r"^\+[1-9]|^00[1-9]|^\(?[2-9]", 1)],
 }
