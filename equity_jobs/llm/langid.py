@@ -4,9 +4,14 @@ For every language a suffix automaton of labelled text is built. A text is parse
 greedily into the longest phrases that occur in a language's text; the language that
 needs the fewest phrases, normalised by log2 of the length of its text, wins.
 
-The automata become one table state x symbol -> next state, in which a missing
+Text is walked as the UTF-8 bytes of its lower-case letters, with one break for whatever
+lies between them, so that every letter of every script is told apart by at most 257
+symbols. The automata become one table state x symbol -> next state, in which a missing
 transition leads to where the new phrase begins and carries a flag, so that parsing is a
 table walk which numpy does for thousands of blocks of text and all languages at once.
+Blocks are first walked as if a phrase began with each; then those that the block before
+enters in another state are walked again from there, until both walks meet. The phrases
+are those of the whole text.
 """
 
 from __future__ import annotations
@@ -20,18 +25,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BREAK, OTHER = 0, 1  # symbols: what is no letter; letters not seen in labelled text
-BLOCK = 512  # symbols in a block; phrases end at the end of a block
+BREAK = 0  # what is no letter
+BLOCK = 512  # symbols walked in a row before the states are handed on
 LANES = 8192  # blocks walked at once
+TOGETHER = 1 << 20  # symbols of texts whose blocks are walked together
+USUAL = 4000  # characters up to which labelled texts are learned first
 LETTER = re.compile(r"[^\W\d_]")
+BETWEEN = re.compile(r"[\W\d_]+")
 UNIFORM_BITS = 6.0  # what symbols drawn evenly from 64 would take
-SURE = 200  # characters from which a text may be rejected by its bits
+CHANCE_BITS = 160.0  # what chance may add to a text, however short
 
 
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    symbols: np.ndarray  # code point -> symbol
+    symbols: np.ndarray  # byte -> symbol; bytes not seen in labelled text share one
     table: np.ndarray  # (state * width + symbol) -> 2 * next state * width + flag
     roots: np.ndarray  # by language, state * width
     width: int
@@ -68,36 +76,28 @@ def _automaton(text: np.ndarray) -> list[dict[int, int]]:
     return step
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def _letters(text: str) -> np.ndarray:
+    """The bytes of the letters in lower case; 0 between words."""
+    return np.frombuffer(BETWEEN.sub("\0", text.lower()).encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _squeezed(symbols: np.ndarray) -> np.ndarray:
-    """Without breaks that follow a break."""
-    return symbols[~((symbols == BREAK) & np.concatenate([[False], symbols[:-1] == BREAK]))] if len(symbols) else symbols
-
-
-def build(samples: dict[str, list[str]], chars_per_language: int = 20_000, alphabet: int = 62) -> LanguageModel:
-    """A model from labelled texts, of each language at most chars_per_language symbols.
-
-    alphabet: so many of the letters seen are told apart; all others count as one symbol.
-    """
+def build(samples: dict[str, list[str]]) -> LanguageModel:
+    """A model from labelled texts, learned whole."""
     languages = tuple(sorted(samples))
-    seen: dict[int, int] = {}
-    joined = {lang: " ".join(samples[lang])[: 4 * chars_per_language] for lang in languages}
+    joined = {lang: _letters(" ".join(samples[lang])) for lang in languages}
+    seen = np.zeros(256, bool)
     for text in joined.values():
-        codes, counts = np.unique(_codes(text), return_counts=True)
-        for code, count in zip(codes.tolist(), counts.tolist(), strict=True):
-            if chr(code).isalpha():
-                seen[code] = seen.get(code, 0) + count
-    told = sorted(seen, key=lambda c: (-seen[c], c))[:alphabet]
-    symbols = np.array([OTHER if chr(i).isalpha() else BREAK for i in range(0x110000)], np.uint8)
+        seen[np.unique(text)] = True
+    seen[BREAK] = False
+    told = np.flatnonzero(seen)
+    symbols = np.ones(256, np.uint8)  # 1: not seen
+    symbols[BREAK] = 0
     symbols[told] = np.arange(2, 2 + len(told))
     pad = 2 + len(told)
     width = pad + 1
     tables, roots, bits, base = [], [], [], 0
     for lang in languages:
-        text = _squeezed(symbols[_codes(joined[lang])])[:chars_per_language]
+        text = symbols[joined[lang]]
         step = _automaton(text)
         root = np.full(width, base * width * 2 + 1, np.int64)  # a symbol never seen is a phrase of its own
         for symbol, to in step[0].items():
@@ -118,40 +118,95 @@ def build(samples: dict[str, list[str]], chars_per_language: int = 20_000, alpha
     return LanguageModel(languages, symbols, table.astype(small), np.array(roots, small), width, np.array(bits))
 
 
+def _walk(model: LanguageModel, lanes: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By language and lane the phrases begun and the state at the end, from the entry states."""
+    upto = int((lanes != model.width - 1).sum(1).max()) if len(lanes) else 0
+    state, count = entry.copy(), np.zeros(entry.shape, np.int32)
+    at, flag = np.empty_like(state), np.empty_like(state)
+    for column in np.ascontiguousarray(lanes[:, :upto].T).astype(model.table.dtype):
+        np.add(state, column, out=at)
+        np.take(model.table, at, out=state, mode="clip")
+        np.bitwise_and(state, 1, out=flag)
+        count += flag
+        state >>= 1
+    return count, state
+
+
+def _rewalk(model: LanguageModel, lanes: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The walks from two entry states of each lane: how many more phrases the second begins, and where it
+    ends (-1: where the first does, since they met)."""
+    more, end = np.zeros(len(lanes), np.int64), np.full(len(lanes), -1, np.int64)
+    live = np.flatnonzero(first != second)
+    a, b = first[live].copy(), second[live].copy()
+    for k in range(BLOCK):
+        if not len(live):
+            return more, end
+        symbol = lanes[live, k].astype(model.table.dtype)
+        a, b = model.table[a + symbol], model.table[b + symbol]
+        more[live] += (b & 1) - (a & 1)
+        a, b = a >> 1, b >> 1
+        apart = a != b
+        live, a, b = live[apart], a[apart], b[apart]
+    end[live] = b
+    return more, end
+
+
 def phrases(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """By text and language the number of phrases, and by text the number of symbols."""
-    coded = [_squeezed(model.symbols[_codes(t)]) for t in texts]
+    """By text and language the number of phrases of the whole text, and by text the number of symbols."""
+    coded = [model.symbols[_letters(t)] for t in texts]
     sizes = np.array([len(c) for c in coded])
-    total = np.zeros((len(model.languages), len(texts)), np.int64)
-    blocks = -(-sizes // BLOCK)
-    owner = np.repeat(np.arange(len(texts)), blocks)
+    total = np.zeros((len(texts), len(model.languages)), np.int64)
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size + sizes[last] <= TOGETHER):
+            size += sizes[last]
+            last += 1
+        total[first:last] = _counted(model, coded[first:last])
+        first = last
+    return total, sizes
+
+
+def _counted(model: LanguageModel, coded: list[np.ndarray]) -> np.ndarray:
+    blocks = -(-np.array([len(c) for c in coded]) // BLOCK)
+    owner = np.repeat(np.arange(len(coded)), blocks)
     flat = np.full(len(owner) * BLOCK, model.width - 1, np.uint8)
     begins = np.concatenate([[0], np.cumsum(blocks)])[:-1] * BLOCK
     for code, begin in zip(coded, begins.tolist(), strict=True):
         flat[begin : begin + len(code)] = code
     lanes = flat.reshape(-1, BLOCK)
-    for first in range(0, len(lanes), LANES):
-        part = lanes[first : first + LANES]
-        upto = int((part != model.width - 1).sum(1).max())
-        walk = np.ascontiguousarray(part[:, :upto].T).astype(model.table.dtype)
-        state = np.repeat(model.roots[:, None], len(part), 1)
-        count = np.zeros(state.shape, np.int32)
-        at, flag = np.empty_like(state), np.empty_like(state)
-        for column in walk:
-            np.add(state, column, out=at)
-            np.take(model.table, at, out=state, mode="clip")
-            np.bitwise_and(state, 1, out=flag)
-            count += flag
-            state >>= 1
-        for k in range(len(model.languages)):
-            total[k] += np.bincount(owner[first : first + LANES], count[k], len(texts)).astype(np.int64)
-    return total.T, sizes
-
-
-def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
-    """Language, score and bits per symbol of every text; "und", 0 and infinity where nothing can be said."""
+    count, end = [], []
+    for at in range(0, len(lanes), LANES):
+        part = lanes[at : at + LANES]
+        walked = _walk(model, part, np.repeat(model.roots[:, None], len(part), 1))
+        count.append(walked[0])
+        end.append(walked[1])
+    total = np.zeros((len(coded), len(model.languages)), np.int64)
+    if not count:
+        return total
+    follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1  # blocks with one before them in their text
+    for k, (own, out) in enumerate(zip(np.concatenate(count, 1), np.concatenate(end, 1), strict=True)):
+        own, out = own.astype(np.int64), out.astype(np.int64)
+        plain = out.copy()  # where the walk from a new phrase ends
+        more = np.zeros(len(own), np.int64)
+        entered = np.full(len(own), model.roots[k], np.int64)
+        todo = follows
+        while len(todo):  # more than once only where walks do not meet within a block
+            todo = todo[out[todo - 1] != entered[todo]]
+            entered[todo] = out[todo - 1]
+            more[todo], met = _rewalk(model, lanes[todo], np.full(len(todo), model.roots[k], np.int64), entered[todo])
+            now = np.where(met < 0, plain[todo], met)
+            changed = todo[now != out[todo]] + 1
+            out[todo] = now
+            todo = np.intersect1d(changed, follows)
+        total[:, k] = np.bincount(owner, own + more, len(coded)).astype(np.int64)
+    return total
+
+
+def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[int]]:
+    """Language, score, bits per symbol and symbols of every text; "und", 0, infinity and 0 where nothing can be said."""
     known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model.languages else []
-    langs, scores, rates = ["und"] * len(texts), [0.0] * len(texts), [float("inf")] * len(texts)
+    langs, scores, rates, lengths = ["und"] * len(texts), [0.0] * len(texts), [float("inf")] * len(texts), [0] * len(texts)
     if known:
         counts, sizes = phrases(model, [texts[i] for i in known])
         bits = counts * model.phrase_bits / np.maximum(sizes, 1)[:, None]
@@ -159,27 +214,31 @@ def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], l
         for row, i in enumerate(known):
             best = bits[row, order[row, 0]]
             second = bits[row, order[row, 1]] if bits.shape[1] > 1 else np.inf
-            langs[i], rates[i] = model.languages[order[row, 0]], float(best)
+            langs[i], rates[i], lengths[i] = model.languages[order[row, 0]], float(best), int(sizes[row])
             scores[i] = float(1.0 if np.isinf(second) else second / (best + second) if best + second > 0 else 0.5)
-    return langs, scores, rates
+    return langs, scores, rates, lengths
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 64, chars_per_language: int = 20_000) -> LanguageModel:
-    """A model from a bounded sample of labelled rows: of each language the docs_per_language
-    rows whose ids hash lowest, of which chars_per_language symbols are learned.
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 16) -> LanguageModel:
+    """A model from a bounded sample of labelled rows: of each language at most docs_per_language
+    distinct texts, learned whole. Texts of USUAL characters come before longer ones, then
+    those whose hashes are lowest.
 
-    Rows with a null text or language are left out. No rows: a model of no languages.
+    Rows with a null text or language are left out; repeated rows count once; other
+    columns are not read. No rows: a model of no languages.
     """
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    rows = labelled.select(labelled[id_col].alias("id"), labelled[lang_col].alias("lang"), labelled[text_col].alias("text")).where("lang is not null and text is not null")
-    chosen = rows.select("id", "lang").withColumn("n", F.row_number().over(rank)).where(F.col("n") <= docs_per_language)
-    wanted = {(r.id, r.lang) for r in chosen.collect()}  # docs_per_language ids a language
-    texts = rows.where(F.col("id").isin([i for i, _ in wanted])).select("id", "lang", F.substring("text", 1, chars_per_language).alias("text")).dropDuplicates(["id", "lang"]).orderBy("lang", "id").collect() if wanted else []
+    rows = labelled.select(labelled[lang_col].alias("lang"), labelled[text_col].alias("text")).where("lang is not null and text is not null")
+    marked = rows.select("lang", F.xxhash64("text").alias("mark"), F.char_length("text").alias("size")).distinct()
+    rank = Window.partitionBy("lang").orderBy(F.greatest("size", F.lit(USUAL)), F.xxhash64("mark"), "mark")
+    chosen = {(r.lang, r.mark) for r in marked.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= docs_per_language).collect()}  # docs_per_language a language
+    if not chosen:
+        return build({})
+    wanted = rows.withColumn("mark", F.xxhash64("text")).where(F.col("mark").isin([m for _, m in chosen]))
     samples: dict[str, list[str]] = {}
-    for row in texts:
-        if (row.id, row.lang) in wanted:
+    for row in wanted.groupBy("lang", "mark").agg(F.min("text").alias("text")).orderBy("lang", "mark").collect():
+        if (row.lang, row.mark) in chosen:
             samples.setdefault(row.lang, []).append(row.text)
-    return build(samples, chars_per_language)
+    return build(samples)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -191,23 +250,22 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     Null texts and texts without a letter are "und" with score 0 and infinite bits. score
     is the runner-up's share of bits, so 0.5 is a tie, which goes to the language that
-    sorts first. Repeats and null ids stay; other columns are not read, unless keep: then
-    all columns stay and only rows pass whose language was found, in texts of SURE
-    characters and more at no more than bits_limit bits. The default is far above what
-    texts of two known languages take (5 at most), so mixed texts stay.
+    sorts first. Repeats and null ids stay; no rows: no rows. Other columns are not read,
+    unless keep: then all columns stay and only rows pass whose language was found at no
+    more than bits_limit bits a symbol and CHANCE_BITS besides. The default is far above
+    what texts of two known languages take (5 at most), so mixed texts stay.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # bounded by languages x chars_per_language
+    sent = spark.sparkContext.broadcast(model)  # bounded by languages x docs_per_language texts
     source = docs.select(*(docs[c] for c in docs.columns)) if keep else docs.select(docs[id_col].alias(id_col), docs[text_col].alias(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
-                langs, scores, rates = predict(sent.value, batch.column(text_col).to_pylist())
+                langs, scores, rates, sizes = predict(sent.value, batch.column(text_col).to_pylist())
                 if keep:
-                    sizes = [len(t or "") for t in batch.column(text_col).to_pylist()]
-                    yield batch.filter(pa.array([lang != "und" and (rate <= bits_limit or n < SURE) for lang, rate, n in zip(langs, rates, sizes, strict=True)], pa.bool_()))
+                    yield batch.filter(pa.array([lang != "und" and rate * n <= bits_limit * n + CHANCE_BITS for lang, rate, n in zip(langs, rates, sizes, strict=True)], pa.bool_()))
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=[id_col, "lang_pred", "score", "bits"])
 

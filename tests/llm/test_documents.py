@@ -178,18 +178,12 @@ def reachable(automaton):
 def test_language_id(spark, docs, none):
     texts = {"en": "the quick brown fox jumps over the lazy dog and then the king walked with the queen to the town", "de": "der schnelle braune fuchs springt über den faulen hund und dann ging der könig mit der königin zur stadt"}
     model = langid.build({k: [v] * 3 for k, v in texts.items()})
-    langs, scores, bits = langid.predict(model, ["the dog and the fox", "der hund und der könig", None, "", "12 34 !!", "x"])
+    langs, scores, bits, _ = langid.predict(model, ["the dog and the fox", "der hund und der könig", None, "", "12 34 !!", "x"])
     assert langs[:5] == ["en", "de", "und", "und", "und"] and scores[2:5] == [0, 0, 0] and all(0 <= s <= 1 for s in scores)
     text = texts["en"][20:80] + " zq über 7"
     counts, _ = langid.phrases(model, [text])
-    for k, lang in enumerate(model.languages):  # greedy longest matches, by brute force
-        known, coded, n, at = " ".join([texts[lang]] * 3), re.sub(r"[\W\d_]+", " ", text.lower()), 0, 0
-        while at < len(coded):
-            size = 1
-            while at + size < len(coded) and coded[at : at + size + 1] in known:
-                size += 1
-            at, n = at + size, n + 1
-        assert counts[0, k] == n
+    for k, lang in enumerate(model.languages):
+        assert counts[0, k] == greedy(langid._letters(" ".join([texts[lang]] * 3)).tobytes(), langid._letters(text).tobytes())
     learned = langid.learn(docs)
     got = langid.identify(docs, learned).collect()
     assert len(got) == len(rows()) and {r.lang_pred for r in got if r.doc_id in (3, 4, 5)} == {"und"}
@@ -198,6 +192,40 @@ def test_language_id(spark, docs, none):
     assert langid.identify(none, empty).count() == 0 and {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def greedy(known, text):
+    """Longest matches of the whole text, by brute force over bytes."""
+    n = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in known:
+            size += 1
+        at, n = at + size, n + 1
+    return n
+
+
+@pytest.mark.parametrize("block", [7, 64, 512])
+def test_phrases_are_those_of_the_whole_text(monkeypatch, block):
+    monkeypatch.setattr(langid, "BLOCK", block)
+    draw = np.random.default_rng(6)
+    made = lambda letters, n: "".join(draw.choice(list(letters), n))
+    samples = {"a": [made("abcde ", 300), "ab" * 200, "z" * 300], "b": [made("deéñß ", 400)], "c": [made("日本語中文 ", 200)]}
+    model = langid.build(samples)
+    texts = [made("abcdeé ", 3000), "ab" * 1500, "z" * 2000, made("日本語ж", 900), samples["a"][0] * 8, "z" * 290 + "ab" * 700, "ж" * 50, "a1b2"]
+    counts, sizes = langid.phrases(model, texts)
+    assert sizes.tolist() == [len(langid._letters(t)) for t in texts]
+    for k, lang in enumerate(model.languages):
+        known = langid._letters(" ".join(samples[lang])).tobytes()
+        assert counts[:, k].tolist() == [greedy(known, langid._letters(t).tobytes()) for t in texts]
+
+
+def test_rejection_needs_evidence(spark):
+    english = "the quick brown fox jumps over the lazy dog and then the king walked with the queen to the town "
+    model = langid.build({"en": [english]})
+    texts = ["a", "x", english, "жщю" * 200, "жщ", "12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in langid.identify(docs, model, keep=True).collect()) == [0, 1, 2, 4]
+
+
 def test_language_id_held_out(spark):
     got = queries.op7_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97
