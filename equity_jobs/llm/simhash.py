@@ -1,16 +1,19 @@
 """SimHash near-duplicates by a Gray-order hierarchical index.
 
-Equal fingerprints are one representative. Representatives meet in groups that agree on
-one of `limit + 1` bands of bits, since `limit` differences leave a band untouched: this
-is the index's upper level, a masked pattern. In a group, fingerprints are sorted by Gray
-rank and runs of them are factored, level by level, into nodes that hold the bits all of
-the run share. Node pairs are compared from the top; a pair whose shared bits already
-differ in more than `limit` places is pruned with all that lies below.
+Equal fingerprints are one representative. The bits are dealt into blocks; `limit`
+differences touch at most `limit` blocks, so two near fingerprints agree on all others.
+The upper nodes of the index are masked bit patterns: for every choice of the blocks that
+may differ, the pattern of the rest, 20 bits or more, so that few fingerprints share one
+by chance however many there are. Below a pattern, fingerprints are sorted by Gray rank
+and runs of them are factored, level by level, into nodes that hold the bits all of the
+run share. Node pairs are compared from the top; a pair whose shared bits already differ
+in more than `limit` places is pruned with all that lies below.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -114,16 +117,26 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = Non
     return root
 
 
-def links(reps: DataFrame, limit: int = 4, cap: int = 1024) -> DataFrame:
+def patterns(blocks: int, limit: int) -> list[int]:
+    """Masks of the bits that may not differ: all but `limit` of the blocks."""
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(kept) for kept in combinations(masks, blocks - limit)]
+
+
+def links(reps: DataFrame, limit: int = 4, cap: int = 1024, blocks: int | None = None) -> DataFrame:
     """Links (a, b) that connect all fingerprints at most limit bits apart, of distinct rows (fp, node).
 
-    Not every near pair is given: in a group, each fingerprint is linked to the first of
-    its component there, so a group of m gives under m links. A group of more than cap
-    fingerprints is dealt out as pairs of chunks of cap, each to a task of its own;
+    blocks: into how many the bits are dealt, by default limit + 2. With 6 blocks and 4
+    bits a pattern holds 20 bits or more and there are 15; with 8 blocks 32 bits and 70.
+    Not every near pair is given: below a pattern, each fingerprint is linked to the first
+    of its component there, so m of them give under m links. More than cap fingerprints
+    below one pattern are dealt out as pairs of chunks of cap, each to a task of its own;
     nothing is dropped.
     """
-    width = -(-BITS // (limit + 1))
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", i * width).bitwiseAND((1 << min(width, BITS - i * width)) - 1).alias("key")) for i in range(limit + 1)))
+    masks = patterns(blocks or limit + 2, limit)
+    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for i, m in enumerate(signed)))
     keyed = reps.select("fp", "node", F.inline(bands))
     large = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > cap)
     chunks = F.coalesce(F.ceil(F.col("n") / cap), F.lit(1))

@@ -265,6 +265,16 @@ def test_simhash(spark, docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [5, 6, 8])
+def test_near_fingerprints_share_a_pattern(blocks):
+    draw = np.random.default_rng(8)
+    masks = simhash.patterns(blocks, 4)
+    for _ in range(300):
+        apart = sum(1 << int(b) for b in draw.choice(64, 4, replace=False))
+        assert any(not apart & m for m in masks)
+    assert min(bin(m).count("1") for m in masks) >= 64 // blocks * (blocks - 4)
+
+
 @pytest.mark.parametrize("cap", [4, 1024])
 def test_simhash_links(spark, cap):
     draw = np.random.default_rng(3)
