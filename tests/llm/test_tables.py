@@ -4,7 +4,9 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import re
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -116,6 +118,67 @@ def test_top_k_in_blocks(spark):
     assert covertree.top_k(table.where("vec_id in (0, 20)")).count() == 2
 
 
+@pytest.mark.parametrize("largest", [1e8, 1e300, 1.7e308])
+def test_top_k_of_wide_components(spark, largest):
+    draw = np.random.default_rng(7)
+    made = draw.normal(size=(300, 6))
+    made[::3] *= largest / np.abs(made).max()
+    made[1::7] = made[3]  # ties
+    made[2, 0], made[5, :] = largest, 0.0
+    made[20] = made[40] * (1 + 2.0**-52)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "vec_id bigint, embedding array<double>").repartition(3)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in covertree.top_k(table, k=6, block=70, query_block=6, sample=40).collect()}
+    exact = [[math.floor(Fraction(x) * 64) for x in v.tolist()] for v in made]
+    want = {}
+    for q in range(0, 300, 20):
+        scores = sorted((-sum(x * y for x, y in zip(exact[q], exact[i], strict=True)), i) for i in range(300) if i != q)
+        for n, (score, i) in enumerate(scores[:6], 1):
+            want[q, n] = (i, max(-(2**63), min(2**63 - 1, -score)))
+    assert got == want
+
+
+def test_sortable_scores():
+    scores = sorted([0, 1, -1, 255, 256, -255, -256, 2**70, -(2**70), 2**2100, -(2**2100), 2**2100 + 1, -(2**2100) - 1])
+    assert sorted(scores, key=covertree.sortable) == scores
+
+
+def test_cover_tree_keeps_its_invariants():
+    draw = np.random.default_rng(9)
+    points = np.concatenate([draw.normal(size=(200, 5)), draw.normal(size=(300, 5)) * 0.01 + 3, np.ones((40, 5))])
+    order, gap, levels = covertree.net_levels(points)
+    apart = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    for count, radius, parent in levels:
+        net = order[:count]  # nesting: every level begins with the one above
+        inner = apart[np.ix_(net, net)] + np.diag(np.full(count, np.inf))
+        assert inner.min() > radius or count == 1  # separation
+        assert (apart[np.arange(len(points)), order[parent]] <= radius + 1e-12).all()  # covering
+    assert len(order) == len(np.unique(points, axis=0)) and [c for c, *_ in levels] == sorted(c for c, *_ in levels)
+
+    def below(node):
+        for child in node.children:
+            assert np.isin(child.points, node.points).all()
+            below(child)
+        if node.children:
+            assert sorted(np.concatenate([c.points for c in node.children])) == sorted(node.points)
+        assert np.sqrt(((points[node.points] - node.centre) ** 2).sum(1)).max() <= node.radius + 1e-12
+        assert node.children or len(node.points) <= covertree.LEAF
+
+    below(covertree.cover_tree(points))
+
+
+def test_share_of_pairs_pruned():
+    draw = np.random.default_rng(10)
+    centres = draw.normal(size=(20, 16)) * 50
+    data = np.floor(centres[draw.integers(0, 20, 4000)] + draw.normal(size=(4000, 16)))
+    queries = data[:400]
+    run = covertree.Search(queries, np.arange(400), np.full(400, -np.inf), data, np.arange(4000), 20)
+    run.visit(covertree.cover_tree(queries), covertree.cover_tree(data))
+    assert run.pairs < 0.5 * run.total
+    scores = queries @ data.T
+    np.fill_diagonal(scores, -np.inf)
+    assert np.array_equal(run.scores, -np.sort(-scores, axis=1)[:, :20])
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
