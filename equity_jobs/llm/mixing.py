@@ -2,15 +2,19 @@
 
 A classifier trained on a labelled table predicts every document's domain posteriors. A
 projected gradient then fits nonnegative document rates so that the expected tokens of
-each domain, sum(rate x tokens x posterior), meet the targets in the least squares sense.
-Each step is one aggregate of as many sums as there are domains; the rates themselves are
-an expression over the posteriors and the steps so far, and are never gathered.
+each domain, sum(rate x tokens x posterior), meet the targets in the least squares sense,
+at rates as near 1 as that allows. At the optimum a rate is 1 less a combination of the
+document's posteriors, projected on 0 and above, so one number a domain describes all
+rates. Each step is one aggregate: the gradient (a sum a domain) and the curvature of the
+documents with a rate above 0 (domains x domains), which sets the step's length and
+direction; the rates themselves are an expression and are never gathered.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
@@ -22,9 +26,12 @@ from equity_jobs.llm.common import written
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
-    """doc_id and domain (toxic, high or low) of the labels table; rows without a verdict are left out."""
+    """doc_id and domain (toxic, high or low) of the labels table.
+
+    Rows without a verdict or an id are left out; of an id's several verdicts toxic goes first, then low.
+    """
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
-    return labels.select("doc_id", domain.alias("domain")).where("domain is not null and doc_id is not null").dropDuplicates(["doc_id"])
+    return labels.select("doc_id", domain.alias("domain")).where("domain is not null and doc_id is not null").groupBy("doc_id").agg(F.max("domain").alias("domain"))
 
 
 @dataclass(frozen=True)
@@ -60,14 +67,16 @@ def _shaped(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_text": text, "_marks": F.least(marks * 10, F.lit(2.0)), "_repeats": repetition(text) * 2})
 
 
-def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int = 1 << 17, rounds: int = 25) -> Classifier:
+def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int = 1 << 17, rounds: int = 25, ridge: float = 0.002) -> Classifier:
     """A classifier of domains from at most `sample` labelled documents, those whose ids hash lowest.
 
     docs: doc_id, text. domains: doc_id, domain. Without two domains the posteriors are
     even; without any label there is one domain, "all".
     """
-    chosen = domains.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = written(_shaped(chosen.join(docs.select("doc_id", "text"), "doc_id")).select("domain", "_text", "_marks", "_repeats"), "mixing-sample")
+    chosen = F.broadcast(domains.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # `sample` rows
+    # of an id's several texts the one that sorts first
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
+    rows = written(_shaped(texts).select("domain", "_text", "_marks", "_repeats"), "mixing-sample")
     names = sorted(r.domain for r in rows.select("domain").distinct().collect())
     if len(names) < 2:
         return Classifier(names or ["all"], None)
@@ -76,46 +85,61 @@ def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int
         RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=r"[\s\p{Punct}]+", toLowercase=True),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features, binary=True),
         VectorAssembler(inputCols=["_tf", "_marks", "_repeats"], outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="_label", family="multinomial", regParam=0.002, maxIter=rounds, standardization=False),
+        LogisticRegression(featuresCol="_features", labelCol="_label", family="multinomial", regParam=ridge, maxIter=rounds, standardization=False),
     ]
     # at most `sample` rows: each partition ships a gradient of all features in every round
     return Classifier(names, Pipeline(stages=stages).fit(rows.withColumn("_label", label).coalesce(6)))
 
 
-def rate(posteriors: Column, steps: list[list[float]]) -> Column:
-    """The rate after the steps taken, from 1 on and never below 0."""
-    now = F.lit(1.0)
-    for step in steps:
-        now = F.greatest(F.lit(0.0), now - sum((F.get(posteriors, i) * g for i, g in enumerate(step)), F.lit(0.0)))
-    return now
+def rate(posteriors: Column, prices: list[float]) -> Column:
+    """The rate of a document: 1 less its posteriors' prices, and never below 0."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.get(posteriors, i) * float(y) for i, y in enumerate(prices)), F.lit(0.0)))
 
 
-def fit_rates(members: DataFrame, targets: list[float], kept: list[bool] | None = None, rounds: int = 25, tolerance: float = 2e-4) -> tuple[list[list[float]], float]:
-    """The steps of the projected gradient, and the tokens aimed at as a share of those there are.
+def fit_rates(members: DataFrame, targets: list[float], kept: list[bool] | None = None, pull: float = 1e-2, tolerance: float = 1e-7, rounds: int = 100) -> tuple[list[float], list[float]]:
+    """The prices that give the rates, and how far each domain's tokens are from their target.
 
     members: tokens and p. targets: the share of each domain. kept: domains that must not
     shrink; the total is then so large that their natural tokens fit into their targets.
-    The residual of a domain counts in proportion to one over its natural share, for
-    which a step of 1 converges.
+    The rates r minimise sum((S_d - aim_d)^2 / share_d) + pull x sum(tokens x (r - 1)^2),
+    tokens and sums being shares of all there are. Steps end when the gradient of every
+    price is below the tolerance; a step that does not lower the objective is halved.
+    No tokens: no prices; raises if `rounds` aggregates do not reach the tolerance.
     """
     size = len(targets)
-    weighted = lambda r: [F.coalesce(F.sum(F.col("tokens") * r * F.get("p", i)), F.lit(0.0)) for i in range(size)]
-    natural = list(members.agg(*(c.alias(f"s{i}") for i, c in enumerate(weighted(F.lit(1.0))))).first())
-    total = sum(natural)
+    p = [F.get("p", i) for i in range(size)]
+
+    def sums(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        r = rate(F.col("p"), prices.tolist())
+        flat = [F.sum(F.col("tokens") * r * x) for x in p]
+        flat += [F.sum(F.when(r > 0, F.col("tokens") * p[i] * p[j])) for i in range(size) for j in range(i, size)]
+        row = members.agg(*(F.coalesce(c, F.lit(0.0)).alias(f"s{n}") for n, c in enumerate([*flat, F.sum(F.col("tokens") * r * r)]))).first()
+        curve = np.zeros((size, size))
+        curve[np.triu_indices(size)] = row[size:-1]
+        return np.array(row[:size]), np.maximum(curve, curve.T), row[-1]
+
+    prices = np.zeros(size)
+    had, curve, square = sums(prices)
+    total = had.sum()
     if not total:
-        return [], 1.0
-    share = [max(s / total, 1e-6) for s in natural]
+        return [], []
+    share = np.maximum(had / total, 1e-6)
     scale = max((share[i] / targets[i] for i in range(size) if kept and kept[i] and targets[i] > 0), default=1.0)
-    steps: list[list[float]] = []
-    before = [float("inf")] * size
+    aim = scale * np.array(targets)
+    value = lambda y, sq: float(pull / 2 * (share * y * y).sum() + sq / total / 2 + aim @ y)
+    now, step = value(prices, square), None
     for _ in range(rounds):
-        sums = list(members.agg(*(c.alias(f"s{i}") for i, c in enumerate(weighted(rate(F.col("p"), steps))))).first())
-        off = [sums[i] / total - scale * targets[i] for i in range(size)]
-        if max(map(abs, off)) < tolerance or max(abs(a - b) for a, b in zip(off, before, strict=True)) < tolerance:
-            break
-        before = off
-        steps.append([off[i] / share[i] for i in range(size)])
-    return steps, scale
+        off = had / total - aim
+        slope = pull * share * prices - off
+        if np.abs(slope).max() < tolerance:
+            return prices.tolist(), off.tolist()
+        step = np.linalg.solve(pull * np.diag(share) + curve / total, slope) if step is None else step / 2
+        tried = prices - step
+        after = sums(tried)
+        if value(tried, after[2]) <= now - 1e-4 * float(slope @ step) or np.abs(step).max() < 1e-12:
+            prices, (had, curve, square), step = tried, after, None
+            now = value(prices, square)
+    raise ArithmeticError(f"the mixing rates did not reach {tolerance} in {rounds} rounds: {slope}")
 
 
 def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], kept: list[str] | None = None, sample: int = 8000) -> tuple[DataFrame, list[str]]:
@@ -131,13 +155,14 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], kept: li
     if classifier.model is None:
         return members.withColumn("rate", F.lit(1.0)), classifier.domains
     aim = [targets.get(d, 0.0) for d in classifier.domains]
-    steps, _ = fit_rates(members, aim, [d in (kept or []) for d in classifier.domains])
-    return members.withColumn("rate", rate(F.col("p"), steps)), classifier.domains
+    prices, _ = fit_rates(members, aim, [d in (kept or []) for d in classifier.domains])
+    return members.withColumn("rate", rate(F.col("p"), prices)), classifier.domains
 
 
 def copies(mixed: DataFrame, domains: list[str], kept: list[str]) -> DataFrame:
     """doc_id and how often the document goes into the mix: its rate, rounded up or down at
-    random by its id so that the expectation stays. Documents most likely of a kept domain stay at least once."""
+    random by its id so that the expectation stays. Documents most likely of a kept domain
+    stay at least once. Of an id's several rows each has its own number; a null id is like any other."""
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     often = F.floor(F.col("rate") + draw).cast("int")
     best = F.array_position("p", F.array_max("p"))
