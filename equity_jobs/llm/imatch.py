@@ -3,7 +3,8 @@
 Terms whose inverse document frequency lies in a band form the lexicon. A document's
 distinct lexicon terms, sorted, are hashed once for each of several randomised subsets of
 the lexicon; documents that differ in no term of a subset share its hash. The subsets are
-of falling density, so that some tolerate few and others many changed terms.
+of falling density, so that some tolerate few and others many changed terms. Several draws
+are made; within a draw each subset is a random half of the one before.
 
 Terms travel as 64-bit hashes. A term in the band occurs in at least `low` of all
 documents, so the lexicon holds at most (mean distinct terms of a document) / low terms,
@@ -12,6 +13,8 @@ however many documents there are; that is why it may be part of the plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +23,7 @@ from equity_jobs.llm.common import written
 DENSITIES = (8, 16, 32, 64, 128, 256, 512)  # a subset keeps one term in so many
 DRAWS = 4  # subsets of each density
 NONE = "-"  # stands for a subset without terms of the document
+NULL_RANGES = 1 << 16  # ranges, by text, of rows without an id
 
 
 def term_hashes(text: Column) -> Column:
@@ -36,18 +40,31 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = 0.005, high: f
     return [r.term for r in band.select("term").collect()]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def fingerprint(text: Column, terms: list[int]) -> Column:
-    """28 hashes of lexicon subsets and one of all terms, joined by dots; equal texts have equal fingerprints."""
-    own = F.array_sort(term_hashes(text))
-    kept = F.filter(own, lambda t: t.isin(terms)) if terms else F.filter(own, lambda t: F.lit(False))
+    """28 hashes of lexicon subsets and one of all terms, joined by dots; equal texts have equal fingerprints.
+
+    Draw by draw, densest subset first. A term is in the subset of density 1/d if the
+    last log2(d) bits of its hash for the draw are 0.
+    """
+
+    def subsets(found: Column, draw: int, densities: tuple[int, ...]) -> Column:
+        if not densities:
+            return F.array().cast("array<string>")
+        one_in, *rest = densities
+        held = F.filter(found, lambda t: F.xxhash64(t, F.lit(draw)).bitwiseAND(one_in - 1) == 0)
+        return _let(held, lambda h: F.concat(F.array(F.when(F.size(h) > 0, _short(h)).otherwise(NONE)), subsets(h, draw, tuple(rest))))
 
-    def subset(found: Column, one_in: int, draw: int) -> Column:
-        chosen = F.filter(found, lambda t: F.pmod(F.xxhash64(t, F.lit(one_in * DRAWS + draw)), F.lit(one_in)) == 0)
-        return F.when(F.size(chosen) > 0, _short(chosen)).otherwise(NONE)
+    def parts(own: Column) -> Column:
+        kept = F.filter(own, lambda t: t.isin(terms)) if terms else F.filter(own, lambda t: F.lit(False))
+        drawn = _let(kept, lambda found: F.concat(*(subsets(found, i, DENSITIES) for i in range(DRAWS))))
+        return F.array_join(F.array_append(drawn, _short(own)), ".")
 
-    # the lexicon terms are found once, by a lambda over a one-element array, not once for each subset
-    subsets = lambda found: F.concat_ws(".", *(subset(found, d, i) for d in DENSITIES for i in range(DRAWS)))
-    return F.concat_ws(".", F.get(F.transform(F.array(kept), subsets), 0), _short(own))
+    return _let(F.array_sort(term_hashes(text)), parts)
 
 
 def _short(hashes: Column) -> Column:
@@ -64,14 +81,16 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(pairs) > 0, F.size(same) / F.size(pairs)).otherwise(whole)
 
 
-def with_heads(docs: DataFrame, id_col: str, width: int = 1024, broadcast_rows: int = 100_000) -> DataFrame:
+def with_heads(docs: DataFrame, id_col: str, width: int = 1024) -> DataFrame:
     """docs in ranges of width ids (_range), with a copy (_copy) of the first row of each range at
     the end of the range before it, so that every row meets its follower in its own range.
 
-    The first range is copied to the end of the last. Rows without an id are a range of
-    their own, before all others.
+    The first range is copied to the end of the last. Rows without an id come before all
+    others, in the order of a hash of their other columns, in NULL_RANGES ranges.
     """
-    ranged = docs.withColumn("_range", F.coalesce(F.floor(F.col(id_col) / width), F.lit(-(1 << 62))))
+    rest = [c for c in docs.columns if c != id_col]
+    without = F.pmod(F.xxhash64(*rest), F.lit(NULL_RANGES)) - (1 << 62)
+    ranged = docs.withColumn("_range", F.coalesce(F.floor(F.col(id_col) / width), without))
     firsts = ranged.groupBy("_range").agg(F.min(id_col).alias("_id"))
     # ranges are as many as rows / width; they too are numbered range by range
     outer = written(firsts.withColumn("_outer", F.floor(F.col("_range") / 4096)), "ranges")
@@ -80,9 +99,7 @@ def with_heads(docs: DataFrame, id_col: str, width: int = 1024, broadcast_rows:
     everything = Window.orderBy("_outer")  # rows / (width x 4096)
     ends = ends.select("_outer", F.lag("_last").over(everything).alias("_previous"), F.max("_last").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_top"))
     targets = inside.join(ends, "_outer").select(F.col("_range").alias("_from"), F.coalesce("_before", "_previous", "_top").alias("_target"), "_id")
-    if outer.count() <= broadcast_rows:
-        targets = F.broadcast(targets)
-    rest = [c for c in docs.columns if c != id_col]
+    targets = written(targets, "range-targets")  # of known size: broadcast or not by the session's threshold
     heads = ranged.join(targets, (F.col("_range") == F.col("_from")) & F.col(id_col).eqNullSafe(F.col("_id")))
     heads = heads.withColumn("_n", F.row_number().over(Window.partitionBy("_from").orderBy(*rest))).where("_n = 1")
     return ranged.withColumn("_copy", F.lit(False)).unionByName(heads.select(*docs.columns, F.col("_target").alias("_range"), F.lit(True).alias("_copy")))

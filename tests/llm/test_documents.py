@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 
 import numpy as np
 import pytest
@@ -62,18 +63,68 @@ def test_normaliser_equals_the_library(text):
     assert len(source) == len(normal.encode()) + 1 and list(source) == sorted(source)
 
 
+def xx(value, seed=42):
+    """Spark's hash of a long (64-bit words in little-endian order) or of a string."""
+    import xxhash
+
+    raw = value.encode() if isinstance(value, str) else struct.pack("<q", value)
+    return struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(raw, seed & (1 << 64) - 1)))[0]
+
+
+def short(hashes):
+    """Spark hashes an array by its members in a row, each with the hash before as the seed."""
+    seed = 42
+    for h in hashes:
+        seed = xx(h, seed)
+    return f"{seed & 0xFFFFFFFF:08x}"
+
+
+def imatch_of(text, terms):
+    own = sorted({xx(w) for w in re.split(r"[\W_]+", (text or "").lower()) if w})
+    kept, parts = [t for t in own if t in terms], []
+    for draw in range(imatch.DRAWS):
+        marks = {t: int32(draw, xx(t)) for t in kept}
+        for density in imatch.DENSITIES:
+            chosen = [t for t in kept if marks[t] & (density - 1) == 0]
+            parts.append(short(chosen) if chosen else imatch.NONE)
+    return ".".join([*parts, short(own)])
+
+
+def int32(value, seed):
+    """Spark's hash of an int: four bytes."""
+    p1, p2, p3, mask = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, (1 << 64) - 1
+    rotate = lambda x, r: (x << r | x >> 64 - r) & mask
+    h = (seed & mask) + 0x27D4EB2F165667C5 + 4 & mask
+    h ^= (value & 0xFFFFFFFF) * p1 & mask
+    h = rotate(h, 23) * p2 + p3 & mask
+    h = (h ^ h >> 33) * p2 & mask
+    h = (h ^ h >> 29) * p3 & mask
+    return h ^ h >> 32
+
+
+def like(a, b):
+    left, right = a.split("."), b.split(".")
+    pairs = [(x, y) for x, y in zip(left[:-1], right[:-1], strict=True) if (x, y) != ("-", "-")]
+    return sum(x == y for x, y in pairs) / len(pairs) if pairs else float(left[-1] == right[-1])
+
+
 def test_imatch(spark, docs, none):
-    got = imatch.edited_likeness(docs).collect()
+    got = imatch.edited_likeness(docs, low=0.05, high=0.6).collect()
     assert len(got) == len(rows())
-    ordered = sorted(rows(), key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""))
+    ordered = sorted((r for r in rows() if r[0] is not None), key=lambda r: (r[0], r[1] or ""))
+    ordered = [r for r in rows() if r[0] is None] + ordered
     texts = [r[1] or "" for r in ordered]
-    by_text = {}
+    found = [{xx(w) for w in re.split(r"[\W_]+", t.lower()) if w} for t in texts]
+    count = {t: sum(t in f for f in found) for f in found for t in f}
+    terms = {t for t, n in count.items() if max(0.05 * len(texts), 1) <= n <= 0.6 * len(texts)}
+    assert set(imatch.lexicon(docs, low=0.05, high=0.6)) == terms and terms
+    want = []
     for i, text in enumerate(texts):
-        cut = len(text) // 4
-        edited = text[: len(text) - cut] + texts[(i + 1) % len(texts)][:cut]
-        by_text.setdefault((ordered[i][0], len(text)), set()).add(hashlib.sha256(edited.encode()).hexdigest())
-    for r in got:
-        assert r.edited_sha256 in by_text[r.doc_id, r.n_chars] and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        cut, after = len(text) // 4, texts[(i + 1) % len(texts)]
+        edited = text[: len(text) - cut] + after[:cut]
+        mine, changed, other = (imatch_of(t, terms) for t in (text, edited, after))
+        want.append((ordered[i][0], len(text), hashlib.sha256(edited.encode()).hexdigest(), mine, changed, like(mine, changed), like(mine, other)))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     fingerprint = {r.doc_id: r.fingerprint for r in got}
     assert fingerprint[0] == fingerprint[1] and fingerprint[3] == fingerprint[4]
     assert imatch.edited_likeness(none).count() == 0
@@ -82,6 +133,14 @@ def test_imatch(spark, docs, none):
     assert {r.doc_id: r.next_text for r in follows.collect()} == {i: f"w{(i + 700) % 9100}" for i in range(0, 9000, 700)}
 
 
+def test_rows_without_an_id_are_split(spark):
+    table = spark.range(500).selectExpr("if(id < 400, null, id) as doc_id", "concat('w', id) as text")
+    ranged = imatch.with_heads(table, "doc_id", width=1000)
+    assert ranged.where("doc_id is null and not _copy").groupBy("_range").count().agg({"count": "max"}).first()[0] < 10
+    follows = imatch.with_next(ranged, "doc_id", ["text"], ["text"]).collect()
+    assert sorted(r.next_text for r in follows) == sorted(f"w{i}" for i in range(500))  # one ring through all rows
+
+
 def luhn(digits):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
 
@@ -292,6 +351,18 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
+def dense_rates(tokens, p, aim, natural, pull):
+    """Plain projected gradient with momentum over all rates, in memory."""
+    share, weight = np.maximum(natural, 1e-6), tokens / tokens.sum()
+    rates = ahead = np.ones(len(tokens))
+    for n in range(60_000):
+        slope = p @ (((weight * ahead) @ p - aim) / share) + pull * (ahead - 1)
+        after = np.maximum(0, ahead - slope / (1 + pull))
+        speed = (1 - np.sqrt(pull)) / (1 + np.sqrt(pull))
+        rates, ahead = after, after + speed * (after - rates)
+    return rates
+
+
 def test_mixing(spark, docs, none):
     made = [(i, " ".join(("nasty" if i % 4 == 0 else "fine" if i % 4 < 3 else "%%% ###") for _ in range(5 + i % 7))) for i in range(200)]
     table = spark.createDataFrame(made, "doc_id bigint, text string")
@@ -301,6 +372,13 @@ def test_mixing(spark, docs, none):
     assert len(out) == 200 and all(r.rate >= 0 for r in out)
     total = {d: sum(r.rate * r.tokens * r.p[i] for r in out) for i, d in enumerate(domains)}
     assert abs(total["high"] - total["low"]) < 0.05 * total["high"] and total["toxic"] < 0.1 * total["high"]
+    tokens, p = np.array([r.tokens for r in out]), np.array([r.p for r in out])
+    prices, off = mixing.fit_rates(mixed.select("tokens", "p"), [0.5 if d != "toxic" else 0.0 for d in domains], [d != "toxic" for d in domains])
+    natural = tokens @ p / tokens.sum()
+    aim = np.array([0.0 if d == "toxic" else 0.5 * 2 * max(natural[i] for i, x in enumerate(domains) if x != "toxic") for d in domains])
+    dense = dense_rates(tokens, p, aim, natural, 1e-2)
+    assert np.abs(np.array([r.rate for r in out]) - dense).max() < 1e-3
+    assert np.abs((tokens * dense) @ p / tokens.sum() - aim - off).max() < 1e-3
     often = {r.doc_id: r.copies for r in mixing.copies(mixed, domains, ["high", "low"]).collect()}
     assert all(often[i] >= 1 for i in range(200) if i % 4)
     unlabelled, _ = mixing.mix(docs, mixing.domain_of(labels.limit(0)), {"high": 1.0})
