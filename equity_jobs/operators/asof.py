@@ -15,11 +15,14 @@ def point_in_time(records: DataFrame, cutoffs: DataFrame, published: str = "publ
 
 
 def crossed(records: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """records with each of a list of at most 1,000 cut-offs, as an array that is exploded: no join."""
-    days = [r[0] for r in cutoffs.select("as_of").distinct().orderBy("as_of").take(1001)]
-    if len(days) > 1000:
-        raise ValueError("over 1,000 cut-offs; join by validity intervals instead")
-    return records.withColumn("as_of", F.explode(F.array(*(F.lit(d) for d in days)))) if days else records.withColumn("as_of", F.lit(None).cast("date")).limit(0)
+    """records with each of the cut-offs, as an array that is exploded: no join.
+
+    The array holds one date for each distinct cut-off, so it is bounded by the days of the
+    calendar (a few hundred thousand at most). Without cut-offs there are no rows.
+    """
+    days = [r[0] for r in cutoffs.select("as_of").where("as_of is not null").distinct().orderBy("as_of").collect()]
+    listed = F.split(F.lit(",".join(map(str, days))), ",").cast("array<date>")
+    return records.withColumn("as_of", F.explode(listed)) if days else records.withColumn("as_of", F.lit(None).cast("date")).limit(0)
 
 
 def sessions_around(requests: DataFrame, bars: DataFrame) -> DataFrame:

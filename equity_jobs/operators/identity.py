@@ -17,14 +17,15 @@ def company_identity(directory: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def watchlist_codes(lists: DataFrame, owner: str, text: str, tokens: Column, top: int = 5) -> DataFrame:
-    """CL10: of each owner the first top codes in order, duplicates and tokens that are no code counted, and codes over the cap."""
+    """CL10: of each owner the first top codes in order, duplicates and codes over the cap counted, and the tokens that are no code, in order, listed and counted."""
     rows = lists.select(owner, F.posexplode(tokens).alias("place", "token")).withColumn("sound", F.col("token").rlike("^[0-9]{6}$"))
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy(owner, "token").orderBy("place")))
     codes = first.withColumn("order", F.sum((F.col("sound") & (F.col("n") == 1)).cast("int")).over(Window.partitionBy(owner).orderBy("place")))
     taken = F.col("sound") & (F.col("n") == 1)
-    picked = F.sort_array(F.collect_list(F.when(taken & (F.col("order") <= top), F.struct("place", "token"))))
+    in_order = lambda test: F.sort_array(F.collect_list(F.when(test, F.struct("place", "token"))))["token"]
     return codes.groupBy(owner).agg(
-        picked["token"].alias("codes"), F.count_if(F.col("sound") & (F.col("n") > 1)).alias("duplicates"), F.count_if(~F.col("sound")).alias("invalid"), F.count_if(taken & (F.col("order") > top)).alias("over_cap"),
+        in_order(taken & (F.col("order") <= top)).alias("codes"), F.count_if(F.col("sound") & (F.col("n") > 1)).alias("duplicates"), F.count_if(~F.col("sound")).alias("invalid"),
+        in_order(~F.col("sound")).alias("invalid_tokens"), F.count_if(taken & (F.col("order") > top)).alias("over_cap"),
     )
 
 

@@ -25,7 +25,7 @@ def table(spark, sf, name):
 
 
 def questions(spark, sf):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.slice(F.split("text", " "), 1, 8)).alias("text"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def terms(spark, sf):
@@ -36,7 +36,7 @@ def rows_of(pairs):
     return ", ".join(f"('{a}', '{b}')" for a, b in pairs)
 
 
-Q = "q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS text FROM benchmark)"
+Q = "q AS (SELECT item_id AS query_id, text FROM benchmark)"
 TERMS = f"""{Q}, qw AS (SELECT query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM q), kept AS (SELECT DISTINCT query_id, w FROM (SELECT query_id, unnest(ws) AS w FROM qw) WHERE length(w) > 1 AND w NOT IN ({", ".join(f"'{w}'" for w in STOP)})),
 b0 AS (SELECT query_id, w AS term FROM kept UNION SELECT query_id, left(w, length(w) - 1) FROM kept WHERE w LIKE '%ed' AND length(w) > 4),
 t0 AS (SELECT query_id, term, 2.0e0 AS weight FROM b0 UNION ALL SELECT query_id, l.term, 1.5e0 FROM b0 JOIN (VALUES {rows_of(LEXICON)}) AS l(word, term) ON b0.term = l.word
@@ -83,9 +83,9 @@ def results(spark, sf):
     return written(found, "results")  # six pages a question, read by every later step
 
 
-@R.query("tx4_hybrid_top_k", f"WITH {HYBRID} SELECT query_id, doc_id, round(score, 6) AS score, method, place FROM res WHERE doc_id IN (SELECT doc_id FROM documents)")
+@R.query("tx4_hybrid_top_k", f"WITH {HYBRID} SELECT query_id, doc_id, round(score, 9) AS score, method, place FROM res WHERE doc_id IN (SELECT doc_id FROM documents)")
 def tx4(spark, sf):
-    return results(spark, sf).select("query_id", F.col("page_number").alias("doc_id"), *six("score"), "method", "place")
+    return results(spark, sf).select("query_id", F.col("page_number").alias("doc_id"), "score", "method", "place")
 
 
 @R.query("tk8_retrieval_top_k", f"WITH {SCORES}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lexical, 9) DESC, doc_id)::INTEGER AS place FROM lex) SELECT query_id, doc_id, place FROM k WHERE place <= 3")
@@ -216,16 +216,23 @@ def pages(spark, sf):
     """Five pages a report: a cover, income, balance (its last part on a page of its own for even companies) and cash flow."""
     line = lambda *parts: F.concat_ws("\n", *(F.lit(p) if isinstance(p, str) else p for p in parts))
     pair = lambda c: line(amount(F.col(c)), amount(F.col(f"{c}_p")))
-    gap = lambda a, b: amount(F.col(a) - F.col(b))
-    equity = line("Total equity", gap("assets", "liabilities"), gap("assets_p", "liabilities_p"))
-    even = F.col("company") % 2 == 0
-    cash = lambda c: amount(F.col(c) + 1000)
+    company, year = F.col("company"), F.col("period_year")
+    # some companies' equity or closing cash does not add up
+    gap = lambda a, b, off: amount(F.col(a) - F.col(b) + off)
+    equity = line("Total equity", gap("assets", "liabilities", F.when(company % 11 == 4, 9).otherwise(0)), gap("assets_p", "liabilities_p", F.lit(0)))
+    even = company % 2 == 0
+    plus = lambda c, n: amount(F.col(c) + n)
+    part = lambda c, n: line(*(amount(F.floor(F.col(x) / n)) for x in (c, f"{c}_p")))
+    # even companies count the exchange effect in their net change
+    net = line(plus("ocf", F.when(even, -193).otherwise(-200)), plus("ocf_p", F.when(even, -109).otherwise(-100)))
+    closing = line(plus("ocf", F.when(company % 11 == 3, 812).otherwise(807)), plus("ocf_p", F.lit(891)))
+    weeks = lambda y: F.concat(F.when(y % 4 == 0, 53).otherwise(52).cast("string"), F.lit(" weeks"))
     entries = [
         (1, line("Annual report", F.col("period_year").cast("string"))),
-        (2, line("Consolidated income statement", "单位：元", F.concat(F.when(F.col("period_year") % 4 == 0, 53).otherwise(52).cast("string"), F.lit(" weeks")), "1. Revenue", "3", pair("revenue"), "Profit for", "the year", pair("net_profit"))),
-        (3, line("Consolidated balance sheet", "单位：元", "Total assets", pair("assets"), "Total liabilities", pair("liabilities"), F.when(~even, equity).otherwise("continued"))),
+        (2, line("Consolidated income statement", "单位：元", weeks(year), weeks(F.when(company % 6 == 0, year).otherwise(year - 1)), "1. Revenue", "3", pair("revenue"), "Profit for", "the year", pair("net_profit"))),
+        (3, line("Consolidated balance sheet", "单位：元", "Total current assets", part("assets", 2), "Total assets", pair("assets"), "Total current liabilities", part("liabilities", 4), "Total liabilities", pair("liabilities"), F.when(~even, equity).otherwise("continued"))),
         (4, F.when(even, equity).otherwise("notes")),
-        (5, line("Cash flow statement", F.when(F.col("company") % 8 == 5, "单位：千元").otherwise("单位：元"), "Net cash from operating activities", pair("ocf"), "Net change in cash", pair("ocf"), "Opening cash", "1,000", "1,000", "Closing cash", cash("ocf"), cash("ocf_p"))),
+        (5, line("Cash flow statement", F.when(F.col("company") % 8 == 5, "单位：千元").otherwise("单位：元"), "Net cash from operating activities", pair("ocf"), "Net cash from investing activities", "(300)", "(200)", "Net cash from financing activities", "100", "100", "Effect of exchange rate changes", "7", "(9)", "Net change in cash", net, "Opening cash", "1,000", "1,000", "Closing cash", closing)),
     ]
     return years(spark, sf).select("doc_id", F.inline(F.array(*(F.struct(F.lit(n).cast("bigint").alias("page_number"), t.alias("text")) for n, t in entries))))
 
@@ -235,8 +242,11 @@ def figures(spark, sf):
 
 
 FIGURES = """fig AS (SELECT doc_id, company, period_year, unnest([{'s': 'income', 'm': 'revenue', 'a': revenue, 'b': revenue_p, 'p': 2, 'e': 2}, {'s': 'income', 'm': 'net_profit', 'a': net_profit, 'b': net_profit_p, 'p': 2, 'e': 2}, {'s': 'balance', 'm': 'total_assets', 'a': assets, 'b': assets_p, 'p': 3, 'e': 3 + (company + 1) % 2},
-  {'s': 'balance', 'm': 'total_liabilities', 'a': liabilities, 'b': liabilities_p, 'p': 3, 'e': 3 + (company + 1) % 2}, {'s': 'balance', 'm': 'total_equity', 'a': assets - liabilities, 'b': assets_p - liabilities_p, 'p': 3, 'e': 3 + (company + 1) % 2}, {'s': 'cash', 'm': 'operating_cash_flow', 'a': ocf, 'b': ocf_p, 'p': 5, 'e': 5},
-  {'s': 'cash', 'm': 'net_change', 'a': ocf, 'b': ocf_p, 'p': 5, 'e': 5}, {'s': 'cash', 'm': 'opening_cash', 'a': 1000, 'b': 1000, 'p': 5, 'e': 5}, {'s': 'cash', 'm': 'closing_cash', 'a': ocf + 1000, 'b': ocf_p + 1000, 'p': 5, 'e': 5}]) AS f FROM y)"""
+  {'s': 'balance', 'm': 'total_liabilities', 'a': liabilities, 'b': liabilities_p, 'p': 3, 'e': 3 + (company + 1) % 2}, {'s': 'balance', 'm': 'total_equity', 'a': assets - liabilities + CASE WHEN company % 11 = 4 THEN 9 ELSE 0 END, 'b': assets_p - liabilities_p, 'p': 3, 'e': 3 + (company + 1) % 2}, {'s': 'cash', 'm': 'operating_cash_flow', 'a': ocf, 'b': ocf_p, 'p': 5, 'e': 5},
+  {'s': 'balance', 'm': 'current_assets', 'a': floor(assets / 2), 'b': floor(assets_p / 2), 'p': 3, 'e': 3 + (company + 1) % 2}, {'s': 'balance', 'm': 'current_liabilities', 'a': floor(liabilities / 4), 'b': floor(liabilities_p / 4), 'p': 3, 'e': 3 + (company + 1) % 2},
+  {'s': 'cash', 'm': 'investing_cash_flow', 'a': -300, 'b': -200, 'p': 5, 'e': 5}, {'s': 'cash', 'm': 'financing_cash_flow', 'a': 100, 'b': 100, 'p': 5, 'e': 5}, {'s': 'cash', 'm': 'exchange_effect', 'a': 7, 'b': -9, 'p': 5, 'e': 5},
+  {'s': 'cash', 'm': 'net_change', 'a': ocf - CASE WHEN company % 2 = 0 THEN 193 ELSE 200 END, 'b': ocf_p - CASE WHEN company % 2 = 0 THEN 109 ELSE 100 END, 'p': 5, 'e': 5}, {'s': 'cash', 'm': 'opening_cash', 'a': 1000, 'b': 1000, 'p': 5, 'e': 5},
+  {'s': 'cash', 'm': 'closing_cash', 'a': ocf + CASE WHEN company % 11 = 3 THEN 812 ELSE 807 END, 'b': ocf_p + 891, 'p': 5, 'e': 5}]) AS f FROM y)"""
 
 
 @R.query("st2_extract_statements", f"WITH {YEARS}, {FIGURES} SELECT doc_id, f.s AS statement, f.m AS metric, f.a::DOUBLE AS current, f.b::DOUBLE AS previous, f.p::BIGINT AS start_page, f.e::BIGINT AS end_page FROM fig")
@@ -254,7 +264,7 @@ def reconciled(spark, sf):
     return statements.reconcile(statements.wide(figures(spark, sf)))
 
 
-@R.query("st3_reconcile", f"WITH {YEARS} SELECT doc_id, true AS balance_ok, true AS cash_ok FROM y")
+@R.query("st3_reconcile", f"WITH {YEARS} SELECT doc_id, company % 11 <> 4 AS balance_ok, company % 11 <> 3 AS cash_ok FROM y")
 def st3(spark, sf):
     return reconciled(spark, sf).select("doc_id", "balance_ok", "cash_ok")
 
@@ -267,13 +277,13 @@ def ready(spark, sf):
     return statements.readiness(reconciled(spark, sf), targets)
 
 
-@R.query("st4_report_readiness", f"WITH {YEARS}, {TARGETS} SELECT report_id, CASE WHEN doc_id IS NULL THEN 0 ELSE 3 END AS statements, CASE WHEN doc_id IS NULL OR tg.company % 8 = 5 THEN 'needs_review' ELSE 'ready_for_human_review' END AS status FROM tg LEFT JOIN y ON report_id = doc_id")
+@R.query("st4_report_readiness", f"WITH {YEARS}, {TARGETS} SELECT report_id, CASE WHEN doc_id IS NULL THEN 0 ELSE 3 END AS statements, CASE WHEN doc_id IS NULL OR tg.company % 8 = 5 OR tg.company % 11 IN (3, 4) THEN 'needs_review' ELSE 'ready_for_human_review' END AS status FROM tg LEFT JOIN y ON report_id = doc_id")
 def st4(spark, sf):
     return ready(spark, sf).select("report_id", "statements", "status")
 
 
 @R.query("st4_company_packages", f"""WITH {YEARS}, {TARGETS}, g AS (SELECT company, count(*) AS target, count(y.doc_id) AS processed, max(report_year) - min(report_year) + 1 = count(DISTINCT report_year) AS continuous FROM tg LEFT JOIN (SELECT doc_id FROM y) y ON report_id = doc_id GROUP BY company)
-SELECT company, target, processed, CASE WHEN company % 8 = 5 THEN 0 ELSE processed END AS ready, continuous, CASE WHEN processed = 0 THEN 'not_started' WHEN processed < target THEN 'in_progress' WHEN continuous AND company % 8 <> 5 THEN 'ready' ELSE 'needs_review' END AS package_status FROM g""")
+SELECT company, target, processed, CASE WHEN company % 8 = 5 OR company % 11 IN (3, 4) THEN 0 ELSE processed END AS ready, continuous, CASE WHEN processed = 0 THEN 'not_started' WHEN processed < target THEN 'in_progress' WHEN continuous AND company % 8 <> 5 AND company % 11 NOT IN (3, 4) THEN 'ready' ELSE 'needs_review' END AS package_status FROM g""")
 def st4_packages(spark, sf):
     return statements.company_packages(ready(spark, sf)).select("company", "target", "processed", "ready", "continuous", "package_status")
 
@@ -283,8 +293,8 @@ def st5(spark, sf):
     return statements.snapshot(statements.wide(figures(spark, sf))).where("metric in ('revenue', 'net_profit')").select("doc_id", "metric", "current", *six("change"), "start_page")
 
 
-@R.query("st6_metric_tools", f"""WITH {YEARS}, t AS (SELECT doc_id, period_year, unnest([{{'k': 'net_profit_margin', 'v': net_profit / nullif(revenue, 0)}}, {{'k': 'revenue_growth', 'v': (revenue - revenue_p) / abs(nullif(revenue_p, 0))}}, {{'k': 'liabilities_to_assets', 'v': liabilities / nullif(assets, 0)}}, {{'k': 'total_liabilities', 'v': liabilities}}]) AS x FROM y)
-SELECT doc_id, x.k AS tool, round(x.v, 6) AS value, CASE WHEN x.v IS NULL THEN 'missing_or_zero' END AS unavailable, CASE WHEN x.k = 'revenue_growth' AND period_year % 4 = 0 THEN 'unequal_weeks' END AS warning FROM t""")
+@R.query("st6_metric_tools", f"""WITH {YEARS}, t AS (SELECT doc_id, company, period_year, unnest([{{'k': 'net_profit_margin', 'v': net_profit / nullif(revenue, 0)}}, {{'k': 'revenue_growth', 'v': (revenue - revenue_p) / abs(nullif(revenue_p, 0))}}, {{'k': 'current_ratio', 'v': floor(assets / 2) / nullif(floor(liabilities / 4), 0)}}, {{'k': 'liabilities_to_assets', 'v': liabilities / nullif(assets, 0)}}, {{'k': 'total_liabilities', 'v': liabilities}}]) AS x FROM y)
+SELECT doc_id, x.k AS tool, round(x.v, 6) AS value, CASE WHEN x.v IS NULL THEN 'missing_or_zero' END AS unavailable, CASE WHEN x.k = 'revenue_growth' AND company % 6 <> 0 AND period_year % 4 IN (0, 1) THEN 'unequal_weeks' END AS warning FROM t""")
 def st6(spark, sf):
     return statements.metric_tools(statements.wide(figures(spark, sf))).select("doc_id", "tool", *six("value"), "unavailable", "warning")
 

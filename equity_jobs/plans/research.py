@@ -438,14 +438,14 @@ def so1(spark, sf):
 
 @R.query(
     "cl10_watchlists",
-    f"""WITH t AS (SELECT o_custkey AS owner, o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'x' ELSE lpad((o_orderkey % 9)::VARCHAR, 6, '6') END AS token FROM orders), f AS (SELECT *, row_number() OVER (PARTITION BY owner, token ORDER BY o_orderkey) AS n, token <> 'x' AS sound FROM t),
+    f"""WITH t AS (SELECT o_custkey AS owner, o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'x' || o_orderkey ELSE lpad((o_orderkey % 9)::VARCHAR, 6, '6') END AS token FROM orders), f AS (SELECT *, row_number() OVER (PARTITION BY owner, token ORDER BY o_orderkey) AS n, o_orderkey % 6 <> 0 AS sound FROM t),
     k AS (SELECT *, sum((sound AND n = 1)::INTEGER) OVER (PARTITION BY owner ORDER BY o_orderkey) AS pos FROM f)
-    SELECT owner, coalesce(string_agg(CASE WHEN sound AND n = 1 AND pos <= 5 THEN token END, ',' ORDER BY o_orderkey), '') AS codes, count(*) FILTER (sound AND n > 1) AS duplicates, count(*) FILTER (NOT sound) AS invalid, count(*) FILTER (sound AND n = 1 AND pos > 5) AS over_cap FROM k GROUP BY owner""",
+    SELECT owner, coalesce(string_agg(CASE WHEN sound AND n = 1 AND pos <= 5 THEN token END, ',' ORDER BY o_orderkey), '') AS codes, count(*) FILTER (sound AND n > 1) AS duplicates, count(*) FILTER (NOT sound) AS invalid, coalesce(string_agg(CASE WHEN NOT sound THEN token END, ',' ORDER BY o_orderkey), '') AS invalid_tokens, count(*) FILTER (sound AND n = 1 AND pos > 5) AS over_cap FROM k GROUP BY owner""",
 )
 def cl10(spark, sf):
     token = F.when(F.col("o_orderkey") % 6 == 0, F.concat(F.lit("x"), F.col("o_orderkey").cast("string"))).otherwise(F.lpad((F.col("o_orderkey") % 9).cast("string"), 6, "6"))
     texts = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_custkey").alias("owner")).agg(F.concat_ws("，; ", F.sort_array(F.collect_list(F.struct("o_orderkey", token.alias("t"))))["t"]).alias("text"))
-    return identity.watchlist_codes(texts, "owner", "text", rules.watchlist(F.col("text"))).withColumn("codes", F.concat_ws(",", "codes"))
+    return identity.watchlist_codes(texts, "owner", "text", rules.watchlist(F.col("text"))).withColumns({c: F.concat_ws(",", c) for c in ("codes", "invalid_tokens")})
 
 
 @R.query(
