@@ -109,7 +109,7 @@ def build(samples: dict[str, list[str]]) -> LanguageModel:
         rows[:, pad] = (base + np.arange(len(step))) * width * 2
         # from the root the first symbol opens a phrase
         rows[0, :pad] |= 1
-        tables.append(rows)
+        tables.append(rows.astype(np.int32) if rows.max() < 2**31 else rows)
         roots.append(base * width)
         bits.append(np.log2(max(len(text), 2)))
         base += len(step)
@@ -219,7 +219,7 @@ def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], l
     return langs, scores, rates, lengths
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 16) -> LanguageModel:
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 8) -> LanguageModel:
     """A model from a bounded sample of labelled rows: of each language at most docs_per_language
     distinct texts, learned whole. Texts of USUAL characters come before longer ones, then
     those whose hashes are lowest.
