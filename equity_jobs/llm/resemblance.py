@@ -3,9 +3,11 @@
 Exact: in any one order of all shingles, two such documents share one of their first
 n - ceil(0.8 n) + 1, so all candidates meet there. Shingles frequent in a sample come last
 in the order, which changes the work and never the result. Candidates are first the pairs
-of each shingle's least document, then all pairs that the links found so far leave apart;
-each is verified on the whole sets. Shingles are 32-bit hashes, which halves what is shuffled; two
-shingles of a pair of texts of 1,000 words each are confused in one pair of some 4,000.
+of each shingle's least document, then all pairs that the links found so far leave apart.
+A sketch of each set, its shingles counted by their lowest bits, rules out most candidates: two
+sets differ in at least as many shingles as their counts do. The others are verified on the
+whole sets. Shingles are 32-bit hashes, which halves what is shuffled; two shingles of a
+pair of texts of 1,000 words each are confused in one pair of some 4,000.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from equity_jobs.llm.common import written
 from equity_jobs.llm.components import components
 
 SAMPLE, OFTEN, LISTED = 2000, 5, 100_000  # documents sampled, those that make a shingle frequent, shingles listed
+COUNTS = 64  # of a sketch, at least; a power of 2
 
 
 def grams(text: str | None, size: int = 5) -> np.ndarray:
@@ -56,6 +59,48 @@ def gram_sets(docs: DataFrame, size: int = 5) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, node bigint, grams array<int>")
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """How many grams end in each of 64 or more bit patterns, one for four to eight of many grams; 255 at most."""
+    counts = max(COUNTS, 1 << (len(own) >> 3).bit_length())
+    return np.minimum(np.bincount(own & (counts - 1), minlength=counts), 255).astype(np.uint8).tobytes()
+
+
+def gram_sketches(docs: DataFrame, size: int = 5) -> DataFrame:
+    """id, node, n (the size of its set) and sketch of every row with an id and words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, values = batch.column("grams").offsets.to_numpy(), batch.column("grams").values.to_numpy()
+            sketches = [sketch(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            sizes = pa.array(np.diff(ends).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), sizes, pa.array(sketches, pa.binary())], names=["id", "node", "n", "sketch"])
+
+    return gram_sets(docs, size).mapInArrow(run, "id bigint, node bigint, n int, sketch binary")
+
+
+def differ(a: bytes, b: bytes) -> int:
+    """In how many grams at least the sets of two sketches differ; the longer sketch is folded to the shorter."""
+    width = min(len(a), len(b))
+    x, y = (np.minimum(np.frombuffer(s, np.uint8).reshape(-1, width).sum(0, dtype=np.int32), 255) for s in (a, b))
+    return int(np.abs(x - y).sum())
+
+
+def plausible(pairs: DataFrame, owners: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of nodes, those whose sketches (owners: node, n, sketch) leave a similarity of 0.8 or more possible.
+
+    Sets of x and y shingles are as similar as that if they differ in at most (x + y) / 9.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = np.array([differ(a, b) for a, b in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), strict=True)], np.int64)
+            sizes = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(9 * least <= sizes))
+
+    left, right = (owners.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
+
+
 def first_grams(sets: DataFrame, frequent: list[int]) -> DataFrame:
     """gram, node and n (the size of its set) of the grams by which a set meets all sets like it."""
     last = np.array(sorted(frequent), np.int32)
@@ -80,8 +125,9 @@ def first_grams(sets: DataFrame, frequent: list[int]) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, size: int) -> DataFrame:
     """Of pairs (a, b) of nodes, those with a similarity of 0.8 or more, by the ids that own them."""
+    pairs = written(plausible(pairs, owners), "plausible-pairs")
     # written, so that its size is known and texts are dealt out by a join only where it is large
-    asked = written(owners.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "candidate-nodes")
+    asked = written(owners.select("id", "node").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "candidate-nodes")
     texts = docs.select("doc_id", "text").join(asked.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     whole = written(gram_sets(texts, size), "candidate-sets").join(asked, ["id", "node"], "left_semi")
     left, right = (whole.select(F.col("node").alias(n), F.col("id").alias(f"id_{n}"), F.col("grams").alias(f"grams_{n}")) for n in "ab")
@@ -98,9 +144,10 @@ def similar_links(docs: DataFrame, size: int = 5) -> DataFrame:
     """
     # sets are made again from the texts where they are needed: stored, they take more than the input
     sets = gram_sets(docs, size)
-    nodes = written(sets.select("id", "node"), "gram-nodes")
-    owners = written(nodes.groupBy("node").agg(F.min("id").alias("id")), "gram-owners")
-    copies = nodes.join(owners.withColumnRenamed("id", "a"), "node").where("id <> a").select("a", F.col("id").alias("b"))
+    nodes = written(gram_sketches(docs, size), "gram-nodes")
+    # rows of one node have one set, so n and sketch are the same in all of them
+    owners = written(nodes.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "gram-owners")
+    copies = nodes.select("id", "node").join(owners.select("node", F.col("id").alias("a")), "node").where("id <> a").select("a", F.col("id").alias("b"))
     every = max(1, owners.count() // SAMPLE)
     sample = gram_sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), size)
     seen = sample.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
@@ -111,7 +158,7 @@ def similar_links(docs: DataFrame, size: int = 5) -> DataFrame:
     heads = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     links = written(verified(written(heads, "first-pairs"), docs, owners, size), "first-links")
     # what the first links leave apart meets in full: a gram whose sets are all in one component needs no pair
-    roots = components(links).withColumnRenamed("node", "id").join(owners, "id").select("node", "root")
+    roots = components(links).withColumnRenamed("node", "id").join(owners.select("id", "node"), "id").select("node", "root")
     placed = shared.join(roots, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
     apart = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
     open_ = written(placed.join(apart, "gram", "left_semi"), "open-grams")

@@ -68,3 +68,15 @@ def test_near_duplicate_stage_drops_edited_copies(spark):
     rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate([words, edited(draw, words, 3), edited(draw, words, 3), [f"v{k}" for k in range(200)]])]
     kept = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame([*rows, (None, rows[0][1], None, None, None)], DOCS), "")
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "3", "None"]
+
+
+def test_sketches_never_overstate_the_difference():
+    draw = np.random.default_rng(9)
+    for n in (1, 7, 511, 512, 2000, 9000):
+        whole = np.unique(draw.integers(-(2**31), 2**31, n).astype(np.int32))
+        for kept in (1.0, 0.8, 0.5, 0.0):
+            other = np.unique(np.concatenate([whole[: int(kept * len(whole))], draw.integers(-(2**31), 2**31, 1 + n // 9).astype(np.int32)]))
+            differ = len(np.setxor1d(whole, other))
+            assert resemblance.differ(resemblance.sketch(whole), resemblance.sketch(other)) <= differ
+    same = np.full(3000, 64, np.int32) * np.arange(3000, dtype=np.int32)  # counts beyond 255
+    assert resemblance.differ(resemblance.sketch(same), resemblance.sketch(same[:400])) <= 2600
