@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,30 +60,34 @@ def repetition(text: Column, width: int = 100) -> Column:
 
 
 def _shaped(docs: DataFrame) -> DataFrame:
-    """docs with a text without nulls, and shares that describe its form."""
+    """docs with its words, an empty one first, and shares that describe its form; a null text is empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    words = F.concat(F.array(F.lit("")), F.split(F.lower(text), r"[\s\p{Punct}]+"))
     size = F.greatest(F.char_length(text), F.lit(1))
     marks = F.char_length(F.regexp_replace(text, r"[^#$%&*|]+", "")) / size
-    return docs.withColumns({"_text": text, "_marks": F.least(marks * 10, F.lit(2.0)), "_repeats": repetition(text) * 2})
+    return docs.withColumns({"_words": words, "_marks": F.least(marks * 10, F.lit(2.0)), "_repeats": repetition(text) * 2})
 
 
-def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int = 1 << 17, rounds: int = 25, ridge: float = 0.002) -> Classifier:
+def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int = 1 << 17, seen: int = 5, rounds: int = 25, ridge: float = 0.002) -> Classifier:
     """A classifier of domains from at most `sample` labelled documents, those whose ids hash lowest.
 
-    docs: doc_id, text. domains: doc_id, domain. Without two domains the posteriors are
-    even; without any label there is one domain, "all".
+    docs: doc_id, text. domains: doc_id, domain. Its features are the words that at least
+    `seen` of the documents hold (all of them, where there are fewer), at most `features` and
+    the most frequent ones. Without two domains the posteriors are even; without any label
+    there is one domain, "all".
     """
     chosen = F.broadcast(domains.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # `sample` rows
     # of an id's several texts the one that sorts first
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
-    rows = written(_shaped(texts).select("domain", "_text", "_marks", "_repeats"), "mixing-sample")
-    names = sorted(r.domain for r in rows.select("domain").distinct().collect())
+    rows = written(_shaped(texts).select("domain", "_words", "_marks", "_repeats"), "mixing-sample")
+    sizes = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}
+    names = sorted(sizes)
     if len(names) < 2:
         return Classifier(names or ["all"], None)
     label = sum((F.when(F.col("domain") == name, float(i)).otherwise(0.0) for i, name in enumerate(names)), F.lit(0.0))
     stages = [
-        RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=r"[\s\p{Punct}]+", toLowercase=True),
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features, binary=True),
+        # the empty word is in all texts, so there is always a feature
+        CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=features, minDF=min(seen, sum(sizes.values())), binary=True),
         VectorAssembler(inputCols=["_tf", "_marks", "_repeats"], outputCol="_features"),
         LogisticRegression(featuresCol="_features", labelCol="_label", family="multinomial", regParam=ridge, maxIter=rounds, standardization=False),
     ]
