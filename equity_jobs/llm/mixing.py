@@ -1,6 +1,7 @@
 """Mixing sources to target weights by soft membership.
 
-A classifier trained on a labelled table predicts every document's domain posteriors. A
+A classifier trained on a labelled table predicts every document's domain posteriors, by one
+two-way model a domain: this domain or one of those after it. A
 projected gradient then fits nonnegative document rates so that the expected tokens of
 each domain, sum(rate x tokens x posterior), meet the targets in the least squares sense,
 at rates as near 1 as that allows. At the optimum a rate is 1 less a combination of the
@@ -44,7 +45,12 @@ class Classifier:
         if self.model is None:
             return docs.withColumn("p", F.array(*(F.lit(1.0 / len(self.domains)) for _ in self.domains)))
         scored = self.model.transform(_shaped(docs))
-        return scored.withColumn("p", vector_to_array("probability")).select(*docs.columns, "p")
+        taken = scored.withColumns({f"_t{i}": F.get(vector_to_array(f"_q{i}"), 1) for i in range(len(self.domains) - 1)})
+        rest, p = F.lit(1.0), []
+        for i in range(len(self.domains) - 1):
+            p.append(rest * F.col(f"_t{i}"))
+            rest = rest * (1.0 - F.col(f"_t{i}"))
+        return taken.withColumn("p", F.array(*p, rest)).select(*docs.columns, "p")
 
 
 def repetition(text: Column, width: int = 100) -> Column:
@@ -68,7 +74,7 @@ def _shaped(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_words": words, "_marks": F.least(marks * 10, F.lit(2.0)), "_repeats": repetition(text) * 2})
 
 
-def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int = 1 << 17, seen: int = 5, rounds: int = 25, ridge: float = 0.002) -> Classifier:
+def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int = 1 << 17, seen: int = 5, rounds: int = 25, ridge: float = 0.0005) -> Classifier:
     """A classifier of domains from at most `sample` labelled documents, those whose ids hash lowest.
 
     docs: doc_id, text. domains: doc_id, domain. Its features are the words that at least
@@ -81,18 +87,25 @@ def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
     rows = written(_shaped(texts).select("domain", "_words", "_marks", "_repeats"), "mixing-sample")
     sizes = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}
-    names = sorted(sizes)
+    names = sorted(sizes, reverse=True)
     if len(names) < 2:
         return Classifier(names or ["all"], None)
-    label = sum((F.when(F.col("domain") == name, float(i)).otherwise(0.0) for i, name in enumerate(names)), F.lit(0.0))
-    stages = [
+    words = [
         # the empty word is in all texts, so there is always a feature
         CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=features, minDF=min(seen, sum(sizes.values())), binary=True),
         VectorAssembler(inputCols=["_tf", "_marks", "_repeats"], outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="_label", family="multinomial", regParam=ridge, maxIter=rounds, standardization=False),
     ]
     # at most `sample` rows: each partition ships a gradient of all features in every round
-    return Classifier(names, Pipeline(stages=stages).fit(rows.withColumn("_label", label).coalesce(6)))
+    shaper = Pipeline(stages=words).fit(rows.coalesce(6))
+    shaped = shaper.transform(rows.coalesce(6)).select("domain", "_features")
+    models = []
+    for i, name in enumerate(names[:-1]):
+        two_way = LogisticRegression(
+            featuresCol="_features", labelCol="_label", predictionCol=f"_d{i}", probabilityCol=f"_q{i}", rawPredictionCol=f"_r{i}",
+            family="binomial", regParam=ridge, maxIter=rounds, standardization=False,
+        )
+        models.append(two_way.fit(shaped.where(F.col("domain").isin(names[i:])).withColumn("_label", (F.col("domain") == name).cast("double"))))
+    return Classifier(names, PipelineModel([*shaper.stages, *models]))
 
 
 def rate(posteriors: Column, prices: list[float]) -> Column:
