@@ -1,8 +1,10 @@
 """Links between documents whose word shingles have a Jaccard similarity of at least 0.8.
 
 Exact: in any one order of all shingles, two such documents share one of their first
-n - ceil(0.8 n) + 1, so all candidates meet there. Shingles frequent in a sample come last
-in the order, which changes the work and never the result. Candidates are first the pairs
+n - ceil(0.8 n) + 1, so all candidates meet there. Shingles that many documents hold come last
+in the order, which changes the work and never the result: documents that share a passage, and
+otherwise differ, then do not meet. Which are frequent is told by counts over a fixed share of all
+documents, kept as one bit a hash bucket, so that it takes 2 MB at every size. Candidates are first the pairs
 of each shingle's least document, then all pairs that the links found so far leave apart.
 A sketch of each set, its shingles counted by their lowest bits, rules out most candidates: two
 sets differ in at least as many shingles as their counts do. The others are verified on the
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from equity_jobs.llm.common import written
 from equity_jobs.llm.components import components
 
-SAMPLE, OFTEN, LISTED = 2000, 5, 100_000  # documents sampled, those that make a shingle frequent, shingles listed
+SHARE, OFTEN = 4, 3  # one in SHARE documents is counted; those beyond the expected that make a shingle frequent
+BUCKETS = 24  # bits of a shingle that tell its bucket, one mark each
 COUNTS = 64  # of a sketch, at least; a power of 2
 
 
@@ -101,9 +104,25 @@ def plausible(pairs: DataFrame, owners: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def first_grams(sets: DataFrame, frequent: list[int]) -> DataFrame:
+def frequent_marks(docs: DataFrame, nodes: DataFrame, size: int = 5) -> np.ndarray:
+    """A mark for each bucket of shingles, as packed bits: set where many documents hold one of the bucket.
+
+    nodes: id and n of all sets. A bucket is frequent if it has OFTEN more shingles than three
+    deviations above the mean, so few are marked by chance however many documents there are.
+    """
+    counted = lambda key: F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(SHARE)) == 0
+    mean = (nodes.where(counted("id")).agg(F.sum("n")).first()[0] or 0) / (1 << BUCKETS)
+    bucket = F.col("gram").bitwiseAND(F.lit((1 << BUCKETS) - 1))
+    held = gram_sets(docs.where(counted("doc_id")), size).select(F.explode("grams").alias("gram")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    many = held.where(F.col("n") >= F.lit(OFTEN + mean + 3 * mean**0.5)).withColumn("bit", F.expr("shiftleft(1L, cast(bucket & 63 as int))"))
+    words = many.groupBy(F.shiftright("bucket", 6).alias("word")).agg(F.bit_or("bit").alias("bits")).toPandas()
+    marks = np.zeros(1 << (BUCKETS - 6), np.int64)
+    marks[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return marks
+
+
+def first_grams(sets: DataFrame, marks: np.ndarray) -> DataFrame:
     """gram, node and n (the size of its set) of the grams by which a set meets all sets like it."""
-    last = np.array(sorted(frequent), np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +131,8 @@ def first_grams(sets: DataFrame, frequent: list[int]) -> DataFrame:
             taken, counts, sizes = [], [], np.diff(ends)
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 own = values[a:b]
-                rare = ~np.isin(own, last, assume_unique=True)
+                bucket = own & ((1 << BUCKETS) - 1)
+                rare = (marks[bucket >> 6] >> (bucket & 63).astype(np.int64)) & 1 == 0
                 first = np.concatenate([own[rare], own[~rare]])[: (b - a) - -(-4 * (b - a) // 5) + 1]
                 taken.append(first)
                 counts.append(len(first))
@@ -148,11 +168,7 @@ def similar_links(docs: DataFrame, size: int = 5) -> DataFrame:
     # rows of one node have one set, so n and sketch are the same in all of them
     owners = written(nodes.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "gram-owners")
     copies = nodes.select("id", "node").join(owners.select("node", F.col("id").alias("a")), "node").where("id <> a").select("a", F.col("id").alias("b"))
-    every = max(1, owners.count() // SAMPLE)
-    sample = gram_sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), size)
-    seen = sample.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    frequent = [r.gram for r in seen.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "gram").limit(LISTED).collect()]
-    firsts = first_grams(sets, frequent)
+    firsts = first_grams(sets, frequent_marks(docs, nodes, size))
     least = written(firsts.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("gram", "least"), "least-nodes")
     shared = written(firsts.join(least, "gram").distinct(), "shared-grams")
     heads = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
