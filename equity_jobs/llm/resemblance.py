@@ -5,7 +5,7 @@ n - ceil(0.8 n) + 1, so all candidates meet there. Shingles that many documents
 in the order, which changes the work and never the result: documents that share a passage, and
 otherwise differ, then do not meet. Which are frequent is told by counts over a fixed share of all
 documents, kept as one bit a hash bucket, so that it takes 2 MB at every size. Candidates are first the pairs
-of each shingle's least document, then all pairs that the links found so far leave apart.
+of each shingle's leader, which is one of a few for the shingles of like documents, then all pairs that the links found so far leave apart.
 A sketch of each set, its shingles counted by their lowest bits, rules out most candidates: two
 sets differ in at least as many shingles as their counts do. The others are verified on the
 whole sets. Shingles are 32-bit hashes, which halves what is shuffled; two shingles of a
@@ -27,6 +27,7 @@ from equity_jobs.llm.components import components
 
 SHARE, OFTEN = 4, 3  # one in SHARE documents is counted; those beyond the expected that make a shingle frequent
 BUCKETS = 24  # bits of a shingle that tell its bucket, one mark each
+LEADERS = 8  # orders of the documents by which shingles choose their leader
 COUNTS = 64  # of a sketch, at least; a power of 2
 
 
@@ -169,9 +170,12 @@ def similar_links(docs: DataFrame, size: int = 5) -> DataFrame:
     owners = written(nodes.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "gram-owners")
     copies = nodes.select("id", "node").join(owners.select("node", F.col("id").alias("a")), "node").where("id <> a").select("a", F.col("id").alias("b"))
     firsts = first_grams(sets, frequent_marks(docs, nodes, size))
-    least = written(firsts.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("gram", "least"), "least-nodes")
-    shared = written(firsts.join(least, "gram").distinct(), "shared-grams")
-    heads = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    # several orders: a document that is not similar to one leader of its group may be so to another
+    leader = F.min_by("node", F.xxhash64("node", F.pmod("gram", F.lit(LEADERS))))
+    led = firsts.groupBy("gram").agg(leader.alias("leader"), F.min("node").alias("low"), F.max("node").alias("high"))
+    leaders = written(led.where("low <> high").select("gram", "leader"), "leaders")
+    shared = written(firsts.join(leaders, "gram").distinct(), "shared-grams")
+    heads = shared.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     links = written(verified(written(heads, "first-pairs"), docs, owners, size), "first-links")
     # what the first links leave apart meets in full: a gram whose sets are all in one component needs no pair
     roots = components(links).withColumnRenamed("node", "id").join(owners.select("id", "node"), "id").select("node", "root")
