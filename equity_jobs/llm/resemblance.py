@@ -123,7 +123,7 @@ def frequent_marks(docs: DataFrame, nodes: DataFrame, size: int = 5) -> np.ndarr
 
 
 def first_grams(sets: DataFrame, marks: np.ndarray) -> DataFrame:
-    """gram, node and n (the size of its set) of the grams by which a set meets all sets like it."""
+    """gram, node, n (the size of its set) and place (in the order) of the grams by which a set meets all sets like it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,9 +139,11 @@ def first_grams(sets: DataFrame, marks: np.ndarray) -> DataFrame:
                 counts.append(len(first))
             flat = np.concatenate(taken) if taken else np.empty(0, np.int32)
             nodes = np.repeat(batch.column("node").to_numpy(), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(nodes), pa.array(np.repeat(sizes, counts).astype(np.int32))], names=["gram", "node", "n"])
+            places = np.concatenate([np.empty(0, np.int32), *(np.arange(c, dtype=np.int32) for c in counts)])
+            columns = [flat, nodes, np.repeat(sizes, counts).astype(np.int32), places]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "node", "n", "place"])
 
-    return sets.select("node", "grams").mapInArrow(run, "gram int, node bigint, n int")
+    return sets.select("node", "grams").mapInArrow(run, "gram int, node bigint, n int, place int")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, size: int) -> DataFrame:
@@ -179,10 +181,12 @@ def similar_links(docs: DataFrame, size: int = 5) -> DataFrame:
     links = written(verified(written(heads, "first-pairs"), docs, owners, size), "first-links")
     # what the first links leave apart meets in full: a gram whose sets are all in one component needs no pair
     roots = components(links).withColumnRenamed("node", "id").join(owners.select("id", "node"), "id").select("node", "root")
-    placed = shared.join(roots, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = shared.join(roots, "node", "left").select("gram", "node", "n", "place", F.coalesce("root", "node").alias("root"))
     apart = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
     open_ = written(placed.join(apart, "gram", "left_semi"), "open-grams")
-    left, right = (open_.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "ab")
-    rest = left.join(right, "gram").where("node_a < node_b and root_a <> root_b and n_a * 5 >= n_b * 4 and n_b * 5 >= n_a * 4")
+    left, right = (open_.select("gram", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "place", "root"))) for s in "ab")
+    # sets share no more than what follows the first shingle they share, and must share 4/9 of both sizes
+    enough = "9 * least(n_a - place_a, n_b - place_b) >= 4 * (n_a + n_b)"
+    rest = left.join(right, "gram").where(f"node_a < node_b and root_a <> root_b and {enough}")
     rest = rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(heads, ["a", "b"], "left_anti")
     return links.unionByName(verified(written(rest, "other-pairs"), docs, owners, size)).unionByName(copies)
