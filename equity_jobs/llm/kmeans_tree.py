@@ -267,21 +267,22 @@ def search(index: Index, k: int, visits: int, first: int = 8, block: int = 4096,
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     best_of = lambda found: found.withColumn("rank", place).where(F.col("rank") <= k)
     none = F.lit(float("-inf"))
-    start = written(best_of(_meet(index, visited.where("early").withColumn("bound", none), k, block, query_block)), "first-leaves")
+    counts = {(r.early, r.leaf): r.n for r in visited.groupBy("early", "leaf").agg(F.count("*").alias("n")).collect()}  # two rows a leaf
+    asking = lambda early: {leaf: n for (e, leaf), n in counts.items() if e == early}
+    start = written(best_of(_meet(index, visited.where("early").withColumn("bound", none), asking(True), k, block, query_block)), "first-leaves")
     bounds = start.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("bound"))
     later = visited.where("not early").join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", none))
-    found = best_of(start.drop("rank").unionByName(_meet(index, later, k, block, query_block)))
+    found = best_of(start.drop("rank").unionByName(_meet(index, later, asking(False), k, block, query_block)))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _meet(index: Index, asked: DataFrame, k: int, block: int, query_block: int) -> DataFrame:
+def _meet(index: Index, asked: DataFrame, asking: dict[int, int], k: int, block: int, query_block: int) -> DataFrame:
     """query_id, vec_id and score of the k best of each block of a leaf for the queries (id, v, leaf, bound) that visit it.
 
-    A leaf is cut into chunks of about `block` rows and its queries into blocks of about
+    asking: how many queries visit each leaf. A leaf is cut into chunks of about `block` rows and its queries into blocks of about
     query_block; a task compares one with one.
     """
     dim = index.dim
-    asking = {r.leaf: r.n for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # one row a leaf
     sizes = [(leaf, -(-n // block), -(-asking[leaf] // query_block)) for leaf, n in index.rows.items() if leaf in asking]
     deal = F.broadcast(index.placed.sparkSession.createDataFrame(sizes, "leaf bigint, chunks bigint, q_blocks bigint"))  # one row a leaf
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
