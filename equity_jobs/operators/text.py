@@ -41,46 +41,197 @@ def chunk_pages(pages: DataFrame, most: int = 1200, overlap: int = 2) -> DataFra
     return pages.select("doc_id", "page_number", "text").mapInArrow(run, f"doc_id {kinds['doc_id']}, page_number {kinds['page_number']}, chunk_index bigint, text string")
 
 
+# Words that are no terms, Chinese phrases with the terms they stand for, and
+# concepts with the phrases that ask for them and their terms.
+STOP_WORDS = ["a", "an", "and", "are", "by", "can", "company", "did", "do", "does", "for", "from", "how", "in", "it", "its", "is", "of", "on", "the", "to", "was", "were", "what", "why", "with", "year"]
+FINANCE_TERMS = {
+    "营业收入": ["营业收入", "营业总收入", "revenue", "sales"],
+    "收入": ["营业收入", "营业总收入", "revenue", "sales"],
+    "营收": ["营业收入", "营业总收入", "revenue", "sales"],
+    "净利润率": ["净利润", "归属于母公司股东的净利润", "营业收入", "net", "profit", "margin", "revenue"],
+    "净利率": ["净利润", "归属于母公司股东的净利润", "营业收入", "net", "profit", "margin", "revenue"],
+    "净利润": ["净利润", "归属于母公司股东的净利润", "net", "profit"],
+    "利润": ["利润总额", "净利润", "profit"],
+    "盈利": ["利润总额", "净利润", "profit"],
+    "经营现金流": ["经营活动产生的现金流量净额", "经营活动现金流量净额", "operating", "cash", "flow"],
+    "投资现金流": ["投资活动产生的现金流量净额", "investing", "cash", "flow"],
+    "融资现金流": ["筹资活动产生的现金流量净额", "financing", "cash", "flow"],
+    "现金流": ["现金流量净额", "cash", "flow"],
+    "现金": ["现金及现金等价物", "cash"],
+    "流动比率": ["流动资产合计", "流动负债合计", "current", "assets", "liabilities", "ratio"],
+    "流动资产": ["流动资产合计", "current", "assets"],
+    "总资产": ["资产总计", "资产合计", "total", "assets"],
+    "资产": ["资产总计", "assets"],
+    "流动负债": ["流动负债合计", "current", "liabilities"],
+    "总负债": ["负债合计", "负债总计", "total", "liabilities"],
+    "负债": ["负债合计", "liabilities"],
+    "借款": ["借款", "borrowings"],
+    "债务": ["债务", "借款", "debt", "borrowings"],
+    "增长": ["增加", "增长", "growth", "increase"],
+    "下降": ["减少", "下降", "decrease", "decline"],
+    "风险": ["风险", "risk"],
+}
+FINANCE_CONCEPTS = {
+    "revenue and sales": (["revenue", "sales", "turnover", "top line", "收入", "营收"], ["revenue", "sales", "growth", "营业收入", "营业总收入"]),
+    "profitability": (
+        ["profitability", "earnings", "bottom line", "net margin", "盈利能力", "利润率", "净利率", "净利润"],
+        ["profit", "earnings", "margin", "revenue", "净利润", "归属于母公司股东的净利润", "营业收入"],
+    ),
+    "operating cash flow": (
+        ["operating cash flow", "cash generation", "cash generated", "core operations", "day-to-day operations", "day to day operations", "经营现金流", "经营活动现金"],
+        ["operating", "cash", "flow", "generated", "working", "capital", "经营活动产生的现金流量净额", "经营活动现金流量净额"],
+    ),
+    "liquidity": (
+        ["liquidity", "current ratio", "short-term obligations", "short term obligations", "cover its bills", "meet near-term payments", "流动比率", "流动性", "短期偿债"],
+        ["current", "assets", "liabilities", "working", "capital", "liquidity", "流动资产合计", "流动负债合计"],
+    ),
+    "leverage": (
+        ["leverage", "total liabilities", "capital structure", "debt burden", "asset base", "funded by obligations", "资产负债率", "负债资产比", "资本结构", "偿债压力"],
+        ["total", "assets", "liabilities", "borrowings", "debt", "资产总计", "负债合计", "所有者权益合计"],
+    ),
+    "capital expenditure": (
+        ["capital expenditure", "capex", "investment in stores", "property plant and equipment", "资本开支", "扩张投资"],
+        ["capital", "expenditure", "purchase", "property", "plant", "equipment", "购建固定资产"],
+    ),
+}
+# Who asks for total liabilities, and what a full balance sheet says.
+ASKS_LIABILITIES = ["total liabilities", "总负债", "资产负债率"]
+BALANCE_SCOPES = [["non-current liabilities", "net assets", "group balance sheet"], ["非流动负债合计", "负债合计", "所有者权益合计"]]
+
+HAN = "\u3400-\u4dbf\u4e00-\u9fff"  # characters that words are not split by
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def query_terms(questions: DataFrame, stop: list[str], lexicon: DataFrame | None = None, concepts: DataFrame | None = None) -> DataFrame:
-    """TX2: query_id, term and weight: 2 for words of the question, 1.5 for their listed expansions, 1 for those of its concepts.
+def stem(word: Column) -> Column:
+    """Words of over 4 letters that end in "ed" without their last letter."""
+    return F.when(word.endswith("ed") & (F.char_length(word) > 4), F.left(word, F.char_length(word) - 1)).otherwise(word)
+
+
+def flat(text: Column) -> Column:
+    """Lower case, white space joined."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\u00a0]+", " ")))
+
+
+def trie_pattern(phrases: list[str]) -> str:
+    """A regular expression for the longest of the phrases at a place: common beginnings are tried once, as in a trie."""
+    trie: dict = {}
+    for phrase in phrases:
+        node = trie
+        for c in phrase:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = [re.escape(c) + pattern(n) for c, n in node.items() if c]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+        return body + ("?" if "" in node else "")
+
+    return pattern(trie)
+
+
+def phrases_in(rows: DataFrame, text: Column, phrases: list[str], keys: list[str]) -> DataFrame:
+    """keys and phrase, once each, for all phrases that a row's text holds anywhere, overlapping ones too.
+
+    The text is read once: at each place a trie finds the longest phrase that begins there,
+    and an equi-join adds those that are its beginnings. phrases: a parameter, on the driver.
+    """
+    if not phrases:
+        return rows.select(*keys, F.lit("").alias("phrase")).limit(0)
+    found = rows.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({trie_pattern(phrases)}))"), F.lit(1)))).alias("_longest"))
+    begins = [(long, short) for long in set(phrases) for short in set(phrases) if long.startswith(short)]
+    table = rows.sparkSession.createDataFrame(begins, "_longest string, phrase string")
+    return found.join(table, "_longest").select(*keys, "phrase").distinct()
+
+
+def query_terms(questions: DataFrame, stop: list[str] | None = None, lexicon: dict[str, list[str]] | None = None, concepts: dict[str, tuple[list[str], list[str]]] | None = None) -> DataFrame:
+    """TX2: query_id, term and weight: 2 for stemmed words of the question, 1.5 for the terms of phrases
+    in it, 1 for those of its concepts; of equal terms the largest weight counts.
 
-    A word over 4 letters that ends in "ed" also counts without its last letter. Of equal
-    terms the largest weight counts. lexicon: word, term; concepts: phrase, term; both small tables.
+    lexicon: phrase to terms. concepts: name to (phrases that ask for it, terms). Phrases are
+    found anywhere in the question's flat text, in Chinese as in English; all terms are stemmed.
+    Words of one character and stop words are no terms; null questions have none.
     """
-    kept = F.filter(F.array_distinct(words(F.col("text"))), lambda w: (F.char_length(w) > 1) & ~w.isin(stop))
-    stems = F.transform(F.filter(kept, lambda w: w.rlike("ed$") & (F.char_length(w) > 4)), lambda w: F.substring(w, F.lit(1), F.char_length(w) - 1))
-    base = questions.select("query_id", "text", F.explode(F.array_union(kept, stems)).alias("term"))
-    found = base.select("query_id", "term", F.lit(2.0).alias("weight"))
-    if lexicon is not None:
-        found = found.unionByName(base.withColumnRenamed("term", "word").join(F.broadcast(lexicon), "word").select("query_id", "term", F.lit(1.5).alias("weight")))
-    if concepts is not None:
-        hit = F.contains(F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
-        found = found.unionByName(questions.join(F.broadcast(concepts), hit).select("query_id", "term", F.lit(1.0).alias("weight")))
+    lexicon, concepts = FINANCE_TERMS if lexicon is None else lexicon, FINANCE_CONCEPTS if concepts is None else concepts
+    kept = F.filter(words(F.col("text")), lambda w: (F.char_length(w) > 1) & ~w.isin(STOP_WORDS if stop is None else stop))
+    found = questions.select("query_id", F.explode(F.transform(kept, stem)).alias("term"), F.lit(2.0).alias("weight"))
+    meant = [(p, t, 1.5) for p, terms in lexicon.items() for t in terms] + [(p, t, 1.0) for triggers, terms in concepts.values() for p in triggers for t in terms]
+    if meant:
+        held = phrases_in(questions, flat(F.col("text")), list(dict.fromkeys(p for p, *_ in meant)), ["query_id"])
+        table = questions.sparkSession.createDataFrame(meant, "phrase string, term string, weight double")
+        found = found.unionByName(held.join(table, "phrase").select("query_id", stem(F.col("term")).alias("term"), "weight"))
     return found.groupBy("query_id", "term").agg(F.max("weight").alias("weight"))
 
 
+def query_concepts(questions: DataFrame, concepts: dict[str, tuple[list[str], list[str]]] | None = None) -> DataFrame:
+    """TX2: query_id and concepts, the names of those that a phrase of the question asks for, in the table's order; none: an empty list."""
+    concepts = FINANCE_CONCEPTS if concepts is None else concepts
+    asks = [(p, i, name) for i, (name, (triggers, _)) in enumerate(concepts.items()) for p in triggers]
+    table = questions.sparkSession.createDataFrame(asks, "phrase string, place int, concept string")
+    named = phrases_in(questions, flat(F.col("text")), [p for p, *_ in asks], ["query_id"]).join(table, "phrase")
+    listed = named.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("place", "concept"))).getField("concept").alias("concepts"))
+    return questions.select("query_id").join(listed, "query_id", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
+
+
+def substring_counts(passages: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, term and tf: how often a passage's flat text holds each Chinese term, occurrences that overlap counted once.
+
+    A positional index of two-character grams: every Chinese character of a text gives the
+    gram that begins there and the characters around it; an equi-join with the gram of each
+    term's first Chinese character finds its places, and the surroundings tell whether the
+    whole term stands there. Texts never meet all terms. Terms that can overlap themselves
+    are counted again in the texts that hold them.
+    """
+    asked = terms.select("term").distinct().where(F.col("term").rlike(f"[{HAN}]"))
+    asked = asked.withColumn("_back", F.char_length(F.regexp_extract("term", f"^[^{HAN}]*", 0))).withColumn("_gram", F.expr("substring(term, _back + 1, 2)"))
+    border = F.exists(F.sequence(F.lit(1), F.char_length("term") - 1), lambda n: F.left("term", n) == F.right("term", n))
+    asked = asked.withColumn("_overlaps", F.when(F.char_length("term") > 1, border).otherwise(F.lit(False)))
+    size = asked.agg(F.max("_back"), F.max(F.char_length("term")), F.coalesce(F.max(F.char_length("_gram") == 1), F.lit(False)), F.coalesce(F.max("_overlaps"), F.lit(False))).first()
+    if size[1] is None:
+        return passages.select(*keys, F.lit("").alias("term"), F.lit(0).cast("bigint").alias("tf")).limit(0)
+    back, longest, single, overlaps = size
+    # lines cannot be in flat text, so they pad its beginning
+    padded = F.concat(F.lit("\n" * back), flat(F.col("text")))
+    around = F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{back}}}[{HAN}].{{0,{longest - 1}}}))"), F.lit(1))
+    places = passages.where(F.col("text").rlike(f"[{HAN}]")).select(*keys, F.explode(around).alias("_around"))
+    grams = F.array(*(F.substring("_around", back + 1, n) for n in ([2, 1] if single else [2])))
+    # a last character's gram is its only one
+    places = places.withColumn("_gram", F.explode(F.array_distinct(grams)))
+    stands = F.expr(f"substring(_around, {back + 1} - _back, char_length(term))") == F.col("term")
+    hits = places.join(asked, "_gram").where(stands)
+    counts = hits.groupBy(*keys, "term").agg(F.count("*").alias("tf"), F.first("_overlaps").alias("_overlaps"))
+    if not overlaps:
+        return counts.drop("_overlaps")
+    again = counts.where("_overlaps").select(*keys, "term").join(passages.select(*keys, flat(F.col("text")).alias("_flat")), keys)
+    again = again.select(*keys, "term", ((F.char_length("_flat") - F.char_length(F.replace("_flat", "term", F.lit("")))) / F.char_length("term")).cast("bigint").alias("tf"))
+    return counts.where("not _overlaps").drop("_overlaps").unionByName(again)
+
+
 def lexical_scores(passages: DataFrame, terms: DataFrame, questions: DataFrame, keys: list[str]) -> DataFrame:
-    """TX3: score and matched terms of each (query, passage) with any match, by an inverted index.
+    """TX3: score and matched terms of each (query, passage) with any match, by inverted indexes.
 
     10 x matched weight / total weight, plus the weight of each term for up to three
-    occurrences, plus 5 if the passage holds the question's words in order.
+    occurrences, plus 5 if the passage's flat text holds the question's English words in a
+    row. Terms with Chinese characters count as substrings, others as stemmed words.
     """
-    asked = terms.select("term").distinct()
-    counts = passages.select(*keys, F.explode(words(F.col("text"))).alias("term")).join(asked, "term", "left_semi").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    han = F.col("term").rlike(f"[{HAN}]")
+    asked = terms.where(~han).select("term").distinct()
+    counts = passages.select(*keys, F.explode(F.transform(words(F.col("text")), stem)).alias("term")).join(asked, "term", "left_semi").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    counts = counts.unionByName(substring_counts(passages, terms, keys))
     total = F.sum("weight").over(Window.partitionBy("query_id"))
     weighted = terms.withColumn("total", total)
     hits = counts.join(weighted, "term").groupBy("query_id", *keys).agg((F.sum("weight") * 10 / F.first("total")).alias("share"), F.sum(F.least("tf", F.lit(3)) * F.col("weight")).alias("often"), F.array_sort(F.collect_list("term")).alias("matched"))
     asked_words = words(F.col("text"))
-    phrase = questions.select("query_id", F.array_join(asked_words, " ").alias("phrase"), asked_words.alias("asked"))
-    need = terms.join(phrase, "query_id").groupBy("query_id").agg(F.count_if(F.array_contains("asked", F.col("term"))).alias("need"), F.first("asked").alias("asked"), F.first("phrase").alias("phrase"))
-    # a passage can hold the phrase only if it matches all its terms: few rows need their text
-    full = hits.join(need, "query_id").where(F.size(F.array_intersect("matched", "asked")) == F.col("need")).select("query_id", *keys, "phrase")
-    texts = passages.select(*keys, F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" ")).alias("plain"))
-    exact = full.join(texts, keys).where(F.contains("plain", F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))).select("query_id", *keys, F.lit(5.0).alias("bonus"))
+    phrase = questions.select("query_id", F.array_join(asked_words, " ").alias("phrase"), F.transform(F.slice(asked_words, 2, F.greatest(F.size(asked_words) - 2, F.lit(0))), stem).alias("inner")).where("phrase <> ''")
+    # all but the first and last words of the phrase stand whole in a text that holds it, so few rows need their text
+    need = terms.join(phrase, "query_id").groupBy("query_id").agg(F.count_if(F.array_contains("inner", F.col("term"))).alias("need"), F.first("inner").alias("inner"), F.first("phrase").alias("phrase"))
+    full = hits.join(need, "query_id").where(F.size(F.array_intersect("matched", "inner")) == F.col("need")).select("query_id", *keys, "phrase")
+    texts = passages.select(*keys, flat(F.col("text")).alias("plain"))
+    exact = full.join(texts, keys).where(F.contains("plain", F.col("phrase"))).select("query_id", *keys, F.lit(5.0).alias("bonus"))
     return hits.join(exact, ["query_id", *keys], "left").select("query_id", *keys, (F.col("share") + F.col("often") + F.coalesce("bonus", F.lit(0.0))).alias("lexical"), "matched")
 
 
@@ -100,11 +251,12 @@ def hybrid_scores(lexical: DataFrame, semantic: DataFrame | None, keys: list[str
     return rows.where(F.col("_norm").isNotNull() | (F.col("semantic") >= recall)).withColumns({"score": score, "method": method, "matched": F.coalesce("matched", F.array().cast("array<string>"))}).drop("_norm", "_asks", "_holds")
 
 
-def statement_bonus(questions: DataFrame, passages: DataFrame, keys: list[str], asks: str, scope: list[str], size: float = 0.25) -> tuple[DataFrame, DataFrame, float]:
-    """TX4's bonus: the questions that ask for the metric, the passages with all scope phrases, and what a row of both gains; they are never paired with each other."""
-    wanted = questions.where(F.contains(F.lower("text"), F.lit(asks))).select("query_id")
-    holds = passages.where(" and ".join(f"contains(lower(text), '{p}')" for p in scope)).select(*keys)
-    return wanted, holds, size
+def statement_bonus(questions: DataFrame, passages: DataFrame, keys: list[str], asks: list[str] | None = None, scopes: list[list[str]] | None = None, size: float = 0.25) -> tuple[DataFrame, DataFrame, float]:
+    """TX4's bonus: the questions that ask for the metric, the passages with all phrases of a scope, and what a row of both gains; they are never paired with each other."""
+    any_of = lambda tests: F.greatest(*tests, F.lit(False))
+    holds = lambda phrases: F.least(*(F.contains(flat(F.col("text")), F.lit(p)) for p in phrases), F.lit(True))
+    wanted = questions.where(any_of([F.contains(flat(F.col("text")), F.lit(a)) for a in asks or ASKS_LIABILITIES])).select("query_id")
+    return wanted, passages.where(any_of([holds(s) for s in scopes or BALANCE_SCOPES])).select(*keys), size
 
 
 def top_results(scored: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -180,6 +332,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
 
 
+def held(text: Column, terms: Column) -> Column:
+    """How many of the terms the text holds anywhere, whatever its case."""
+    return F.size(F.filter(terms, lambda t: F.contains(F.lower(text), t)))
+
+
 def grounded(results: DataFrame, max_evidence: int = 3, short: int = 220, cut: int = 280, recall: float = 0.60) -> tuple[DataFrame, DataFrame]:
     """TX7: of each query the best result of a page, its best passage, and whether the answer is supported.
 
@@ -188,7 +345,7 @@ def grounded(results: DataFrame, max_evidence: int = 3, short: int = 220, cut: i
     """
     page = F.row_number().over(Window.partitionBy("query_id", "page_number").orderBy("place"))
     rows = results.withColumn("_p", page).where("_p = 1").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place"))).where(F.col("rank") <= max_evidence)
-    scored = F.transform(sentences(F.col("text")), lambda s, i: F.struct(F.size(F.array_intersect(words(s), F.col("matched"))).alias("hits"), F.least(F.char_length(s), F.lit(short)).alias("size"), (-i).alias("place"), s.alias("text")))
+    scored = F.transform(sentences(F.col("text")), lambda s, i: F.struct(held(s, F.col("matched")).alias("hits"), F.least(F.char_length(s), F.lit(short)).alias("size"), (-i).alias("place"), s.alias("text")))
     best = F.array_max(scored)
     excerpt = F.when(F.char_length(best["text"]) > cut, F.concat(F.rtrim(F.substring(best["text"], 1, cut)), F.lit("…"))).otherwise(best["text"])
     evidence = rows.select("query_id", "page_number", "rank", excerpt.alias("excerpt"), best["hits"].alias("hits"), "semantic").where("excerpt is not null")
@@ -207,7 +364,7 @@ def challenges(results: DataFrame, markers: dict[str, int] | None = None, least:
     for word, value in sorted(reversed(list(table.items())), key=lambda x: x[1]):
         hit = F.lower("excerpt").rlike(rf"\b{word}\b")
         marker, weight = F.when(hit, word).otherwise(marker), F.when(hit, value).otherwise(weight)
-    found = rows.withColumns({"marker": marker, "weight": weight, "terms": F.size(F.array_intersect(words(F.col("excerpt")), F.col("matched")))}).where("marker is not null and terms >= 1")
+    found = rows.withColumns({"marker": marker, "weight": weight, "terms": held(F.col("excerpt"), F.col("matched"))}).where("marker is not null and terms >= 1")
     once = found.dropDuplicates(["query_id", "page_number", "excerpt"])
     order = Window.partitionBy("query_id").orderBy(F.desc("weight"), F.desc("terms"), "page_number", "excerpt")
     return once.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).drop("matched")

@@ -16,8 +16,14 @@ from equity_jobs.streaming import feed
 
 R = Registry()
 STOP = ["the", "of", "and", "to", "in", "la", "de", "der", "die", "das", "que", "les", "le", "el", "et", "un"]
-LEXICON = [("that", "this"), ("for", "with"), ("une", "des")]
-CONCEPTS = [("and the", "by"), ("is the", "was")]
+LEXICON = {"that": ["this"], "for": ["with"], "une": ["des"]}
+CONCEPTS = {"first": (["and the"], ["by"]), "second": (["is the"], ["was"])}
+# What makes Chinese and mixed pages and questions of the given texts: words that become phrases.
+CHINESE = [
+    (" the ", "营业收入"), (" of ", " 净利润率 "), (" and ", "，经营现金流"), (" in ", "总负债 "), (" to ", "风险"), (" der ", "流动资产合计"), (" die ", "资产总计 "),
+    (" de ", "借款借款"), (" la ", "负债合计"), (" le ", "现金及现金等价物"), (" el ", "利润总额"), (" en ", "中中中"), (" que ", "资本开支"),
+]
+CHINESE_CONCEPTS = text.FINANCE_CONCEPTS | {"repeated": (["总负债", "款借"], ["中中", "款 x"])}
 
 
 def table(spark, sf, name):
@@ -29,26 +35,53 @@ def questions(spark, sf):
 
 
 def terms(spark, sf):
-    return text.query_terms(questions(spark, sf), STOP, spark.createDataFrame(LEXICON, "word string, term string"), spark.createDataFrame(CONCEPTS, "phrase string, term string"))
+    return text.query_terms(questions(spark, sf), STOP, LEXICON, CONCEPTS)
 
 
-def rows_of(pairs):
-    return ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+def in_chinese(column):
+    body = F.concat(F.lit(" "), column, F.lit(" "))
+    for word, phrase in CHINESE:
+        body = F.replace(body, F.lit(word), F.lit(phrase))
+    return body
 
 
-Q = "q AS (SELECT item_id AS query_id, text FROM benchmark)"
-TERMS = f"""{Q}, qw AS (SELECT query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM q), kept AS (SELECT DISTINCT query_id, w FROM (SELECT query_id, unnest(ws) AS w FROM qw) WHERE length(w) > 1 AND w NOT IN ({", ".join(f"'{w}'" for w in STOP)})),
-b0 AS (SELECT query_id, w AS term FROM kept UNION SELECT query_id, left(w, length(w) - 1) FROM kept WHERE w LIKE '%ed' AND length(w) > 4),
-t0 AS (SELECT query_id, term, 2.0e0 AS weight FROM b0 UNION ALL SELECT query_id, l.term, 1.5e0 FROM b0 JOIN (VALUES {rows_of(LEXICON)}) AS l(word, term) ON b0.term = l.word
-  UNION ALL SELECT query_id, c.term, 1.0e0 FROM qw JOIN (VALUES {rows_of(CONCEPTS)}) AS c(phrase, term) ON contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || phrase || ' ')), terms AS (SELECT query_id, term, max(weight) AS weight FROM t0 GROUP BY query_id, term)"""
-SCORES = f"""{TERMS}, tw AS (SELECT *, sum(weight) OVER (PARTITION BY query_id) AS total FROM terms), dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM documents),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM dw) WHERE term IN (SELECT term FROM terms) GROUP BY doc_id, term),
+def in_chinese_sql(column):
+    body = f"' ' || {column} || ' '"
+    for word, phrase in CHINESE:
+        body = f"replace({body}, '{word}', '{phrase}')"
+    return body
+
+
+FLAT = lambda c: f"lower(trim(regexp_replace(coalesce({c}, ''), '[\\s\\xa0]+', ' ', 'g')))"
+STEM = lambda c: f"CASE WHEN {c} LIKE '%ed' AND length({c}) > 4 THEN left({c}, length({c}) - 1) ELSE {c} END"
+HAN = "[\u3400-\u4dbf\u4e00-\u9fff]"
+
+
+def terms_sql(source, stop, lexicon, concepts):
+    """terms: query_id, term and weight of the questions that source selects."""
+    meant = [(p, t, 1.5) for p, ts in lexicon.items() for t in ts] + [(p, t, 1.0) for ps, ts in concepts.values() for p in ps for t in ts]
+    values = ", ".join(f"('{p}', '{t}', {w}e0)" for p, t, w in meant)
+    return f"""q AS ({source}), qw AS (SELECT query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws, {FLAT("text")} AS flat FROM q), kept AS (SELECT query_id, w FROM (SELECT query_id, unnest(ws) AS w FROM qw) WHERE length(w) > 1 AND w NOT IN ({", ".join(f"'{w}'" for w in stop)})),
+t0 AS (SELECT query_id, {STEM("w")} AS term, 2.0e0 AS weight FROM kept UNION ALL SELECT query_id, {STEM("m.term")}, m.weight FROM qw JOIN (VALUES {values}) AS m(phrase, term, weight) ON contains(flat, m.phrase)), terms AS (SELECT query_id, term, max(weight) AS weight FROM t0 GROUP BY query_id, term)"""
+
+
+def scores_sql(found, source):
+    """lex: query_id, doc_id, lexical score and matched terms; found: terms_sql()."""
+    return f"""{found}, tw AS (SELECT *, sum(weight) OVER (PARTITION BY query_id) AS total FROM terms), dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws, {FLAT("text")} AS flat FROM ({source})),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {STEM("w")} AS term FROM (SELECT doc_id, unnest(ws) AS w FROM dw)) WHERE term IN (SELECT term FROM terms) GROUP BY doc_id, term
+  UNION ALL SELECT doc_id, term, ((length(flat) - length(replace(flat, term, ''))) // length(term))::BIGINT FROM dw JOIN (SELECT DISTINCT term FROM terms WHERE regexp_matches(term, '{HAN}')) ON contains(flat, term)),
 hits AS (SELECT query_id, doc_id, 10 * sum(weight) / max(total) AS share, sum(least(tf, 3) * weight) AS often, list_sort(list(term)) AS matched FROM tf JOIN tw USING (term) GROUP BY query_id, doc_id),
-lex AS (SELECT h.query_id, h.doc_id, share + often + CASE WHEN contains(' ' || array_to_string(dw.ws, ' ') || ' ', ' ' || array_to_string(qw.ws, ' ') || ' ') THEN 5 ELSE 0 END AS lexical, matched FROM hits h JOIN dw USING (doc_id) JOIN qw USING (query_id))"""
+lex AS (SELECT h.query_id, h.doc_id, share + often + CASE WHEN len(qw.ws) > 0 AND contains(dw.flat, array_to_string(qw.ws, ' ')) THEN 5 ELSE 0 END AS lexical, matched FROM hits h JOIN dw USING (doc_id) JOIN qw USING (query_id))"""
+
+
+TERMS = terms_sql("SELECT item_id AS query_id, text FROM benchmark", STOP, LEXICON, CONCEPTS)
+SCORES = scores_sql(TERMS, "SELECT doc_id, text FROM documents")
+CHINESE_PAGES = f"SELECT doc_id, {in_chinese_sql('text')} AS text FROM documents"
+CHINESE_QUESTIONS = f"SELECT item_id AS query_id, {in_chinese_sql('text')} AS text FROM benchmark"
 COSINE = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12)"
 HYBRID = f"""{SCORES}, c0 AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {COSINE} AS semantic FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id IN (SELECT item_id FROM benchmark)),
 sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, doc_id) AS n FROM c0) WHERE n <= 10), nl AS (SELECT *, lexical / max(lexical) OVER (PARTITION BY query_id) AS norm FROM lex),
-bon AS (SELECT q.query_id, d.doc_id FROM q JOIN documents d ON contains(lower(q.text), 'that') AND contains(lower(d.text), 'this') AND contains(lower(d.text), 'with')),
+bon AS (SELECT q.query_id, d.doc_id FROM q JOIN documents d ON contains(lower(q.text), 'that') AND (contains(lower(d.text), 'this') AND contains(lower(d.text), 'with') OR contains(lower(d.text), 'une') AND contains(lower(d.text), 'des'))),
 hy AS (SELECT query_id, doc_id, coalesce(matched, []) AS matched, s.semantic, CASE WHEN s.semantic IS NULL THEN coalesce(norm, 0) ELSE 0.55e0 * coalesce(norm, 0) + 0.45e0 * greatest(s.semantic, 0) END + CASE WHEN bon.doc_id IS NULL THEN 0 ELSE 0.25e0 END AS score, CASE WHEN s.semantic IS NULL THEN 'lexical' WHEN norm IS NULL THEN 'semantic' ELSE 'hybrid' END AS method
   FROM nl FULL JOIN sem s USING (query_id, doc_id) LEFT JOIN bon USING (query_id, doc_id) WHERE norm IS NOT NULL OR s.semantic >= 0.6e0),
 res AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS place FROM hy) WHERE place <= 6)"""
@@ -59,6 +92,31 @@ def tx2(spark, sf):
     return terms(spark, sf)
 
 
+def chinese_questions(spark, sf):
+    return questions(spark, sf).withColumn("text", in_chinese(F.col("text")))
+
+
+@R.query("tx2_chinese_terms", f"WITH {terms_sql(CHINESE_QUESTIONS, text.STOP_WORDS, text.FINANCE_TERMS, text.FINANCE_CONCEPTS)} SELECT query_id, term, weight FROM terms")
+def tx2_chinese(spark, sf):
+    return text.query_terms(chinese_questions(spark, sf))
+
+
+CONCEPT_ROWS = ", ".join(f"('{p}', {i}, '{name}')" for i, (name, (ps, _)) in enumerate(text.FINANCE_CONCEPTS.items()) for p in ps)
+
+
+@R.query("tx2_concepts", f"WITH q AS ({CHINESE_QUESTIONS}), c AS (SELECT DISTINCT query_id, place, concept FROM q JOIN (VALUES {CONCEPT_ROWS}) AS v(phrase, place, concept) ON contains({FLAT('text')}, phrase)) SELECT q.query_id, coalesce(string_agg(concept, ', ' ORDER BY place), '') AS concepts FROM q LEFT JOIN c USING (query_id) GROUP BY q.query_id")
+def tx2_concepts(spark, sf):
+    return text.query_concepts(chinese_questions(spark, sf)).select("query_id", F.concat_ws(", ", "concepts").alias("concepts"))
+
+
+@R.query("tx3_chinese_scores", f"WITH {scores_sql(terms_sql(CHINESE_QUESTIONS, text.STOP_WORDS, text.FINANCE_TERMS, CHINESE_CONCEPTS), CHINESE_PAGES)} SELECT query_id, doc_id, round(lexical, 6) AS lexical, array_to_string(matched, ',') AS matched FROM lex")
+def tx3_chinese(spark, sf):
+    asked = chinese_questions(spark, sf)
+    pages = table(spark, sf, "documents").select("doc_id", in_chinese(F.col("text")).alias("text"))
+    found = text.lexical_scores(pages, text.query_terms(asked, concepts=CHINESE_CONCEPTS), asked, ["doc_id"])
+    return found.select("query_id", "doc_id", *six("lexical"), F.concat_ws(",", "matched").alias("matched"))
+
+
 def lexical(spark, sf):
     return text.lexical_scores(table(spark, sf, "documents").select("doc_id", "text"), terms(spark, sf), questions(spark, sf), ["doc_id"])
 
@@ -72,7 +130,7 @@ def hybrid(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     asked = vectors.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi")
     semantic = text.cosine_top_k(asked, vectors, 10).select("query_id", F.col("passage_id").alias("doc_id"), F.round("semantic", 12).alias("semantic"))
-    bonus = text.statement_bonus(questions(spark, sf), table(spark, sf, "documents"), ["doc_id"], "that", ["this", "with"])
+    bonus = text.statement_bonus(questions(spark, sf), table(spark, sf, "documents"), ["doc_id"], ["that"], [["this", "with"], ["une", "des"]])
     return text.hybrid_scores(lexical(spark, sf), semantic, ["doc_id"], bonus)
 
 
@@ -117,7 +175,7 @@ def tx6(spark, sf):
 
 SENTENCES = """string_split_regex(regexp_replace(replace(text, chr(160), ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+')"""
 EVIDENCE = f"""{HYBRID}, pg AS (SELECT r.*, d.text FROM res r JOIN documents d USING (doc_id)), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place)::INTEGER AS rank FROM pg),
-s0 AS (SELECT query_id, doc_id, place, rank, matched, semantic, unnest({SENTENCES}) AS raw, generate_subscripts({SENTENCES}, 1) AS i FROM ranked), s1 AS (SELECT *, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS s FROM s0), s2 AS (SELECT *, len(list_distinct(list_intersect(regexp_extract_all(lower(s), '[a-z0-9]+'), matched)))::INTEGER AS terms FROM s1 WHERE s <> ''),
+s0 AS (SELECT query_id, doc_id, place, rank, matched, semantic, unnest({SENTENCES}) AS raw, generate_subscripts({SENTENCES}, 1) AS i FROM ranked), s1 AS (SELECT *, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS s FROM s0), s2 AS (SELECT *, len(list_filter(matched, lambda t: contains(lower(s), t)))::INTEGER AS terms FROM s1 WHERE s <> ''),
 ev AS (SELECT query_id, doc_id AS page_number, rank, terms AS hits, semantic, CASE WHEN length(s) > 280 THEN rtrim(s[1:280]) || '…' ELSE s END AS excerpt FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY terms DESC, least(length(s), 220) DESC, i) AS n FROM s2 WHERE rank <= 3) WHERE n = 1),
 ans AS (SELECT query_id, count(*) AS evidence, bool_or(hits >= 2) OR coalesce(bool_or(semantic >= 0.6e0), false) AS is_supported FROM ev GROUP BY query_id),
 mk AS (SELECT *, CASE WHEN regexp_matches(lower(s), '\\bthis\\b') THEN 'this' WHEN regexp_matches(lower(s), '\\bthat\\b') THEN 'that' WHEN regexp_matches(lower(s), '\\bwith\\b') THEN 'with' END AS marker, CASE WHEN regexp_matches(lower(s), '\\bthis\\b') THEN 5 WHEN regexp_matches(lower(s), '\\b(that|with)\\b') THEN 3 END AS weight FROM s2 WHERE length(s) >= 40),
