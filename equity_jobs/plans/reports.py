@@ -271,26 +271,54 @@ def years(spark, sf):
 
 
 def pages(spark, sf):
-    """Five pages a report: a cover, income, balance (its last part on a page of its own for even companies) and cash flow."""
+    """Five pages a report: a cover, income, balance (its last row broken over two pages for even companies) and cash flow.
+
+    By company, statements have two columns, four in Chinese (the company's own beside the
+    consolidated ones) or six (before adjustments, adjustments and total of each year, the
+    header in one piece or broken).
+    """
     line = lambda *parts: F.concat_ws("\n", *(F.lit(p) if isinstance(p, str) else p for p in parts))
-    pair = lambda c: line(amount(F.col(c)), amount(F.col(f"{c}_p")))
     company, year = F.col("company"), F.col("period_year")
+    even, four, six_wide = company % 2 == 0, company % 3 == 1, company % 3 == 2
+    says = lambda english, chinese: F.when(four, chinese).otherwise(english)
+    spaced = lambda *parts: F.concat_ws(" ", *parts)
+    header = F.when(six_wide & even, line(*["Before adjusting", "items", "Adjusting", "items", "Total"] * 2)).when(six_wide, line(*["Before adjusting items", "Adjusting items", "Total"] * 2))
+
+    def rows(*labelled):
+        """Each label and its two totals in the company's layout."""
+        wide = lambda e: line(*(amount(x) for total, part in ((e["now"], 5), (e["before"], 7)) for x in (total - part, F.lit(part), total)))
+        beside = lambda e: line(spaced(amount(e["now"]), amount(e["before"])), spaced(amount(e["now"] + 1), amount(e["before"] + 2)))
+        own = F.array(*(F.struct(F.lit(label).alias("label") if isinstance(label, str) else label.alias("label"), now.cast("double").alias("now"), before.cast("double").alias("before")) for label, now, before in labelled))
+        return F.array_join(F.transform(own, lambda e: line(e["label"], F.when(four, beside(e)).when(six_wide, wide(e)).otherwise(line(amount(e["now"]), amount(e["before"]))))), "\n")
+
+    pair = lambda label, c: (label, F.col(c), F.col(f"{c}_p"))
+    part = lambda label, c, n: (label, F.floor(F.col(c) / n), F.floor(F.col(f"{c}_p") / n))
+    fixed = lambda label, now, before: (label, F.lit(now), F.lit(before))
     # some companies' equity or closing cash does not add up
-    gap = lambda a, b, off: amount(F.col(a) - F.col(b) + off)
-    equity = line("Total equity", gap("assets", "liabilities", F.when(company % 11 == 4, 9).otherwise(0)), gap("assets_p", "liabilities_p", F.lit(0)))
-    even = company % 2 == 0
-    plus = lambda c, n: amount(F.col(c) + n)
-    part = lambda c, n: line(*(amount(F.floor(F.col(x) / n)) for x in (c, f"{c}_p")))
+    equity = (F.col("assets") - F.col("liabilities") + F.when(company % 11 == 4, 9).otherwise(0), F.col("assets_p") - F.col("liabilities_p"))
     # even companies count the exchange effect in their net change
-    net = line(plus("ocf", F.when(even, -193).otherwise(-200)), plus("ocf_p", F.when(even, -109).otherwise(-100)))
-    closing = line(plus("ocf", F.when(company % 11 == 3, 812).otherwise(807)), plus("ocf_p", F.lit(891)))
+    net = (F.col("ocf") + F.when(even, -193).otherwise(-200), F.col("ocf_p") + F.when(even, -109).otherwise(-100))
+    closing = (F.col("ocf") + F.when(company % 11 == 3, 812).otherwise(807), F.col("ocf_p") + 891)
     weeks = lambda y: F.concat(F.when(y % 4 == 0, 53).otherwise(52).cast("string"), F.lit(" weeks"))
+    cash_unit = F.when(company % 8 == 5, "单位：千元").when(company % 7 != 3, "单位：元")
+    cash = line(
+        says("Cash flow statement", "合并及公司现金流量表"), cash_unit, header,
+        rows(
+            pair(says("Net cash from operating activities", "经营活动产生的现金流量净额"), "ocf"), fixed(says("Net cash from investing activities", "投资活动产生的现金流量净额"), -300, -200), fixed(says("Net cash from financing activities", "三、筹资活动产生的现金流量净额"), 100, 100),
+            fixed(says("Effect of exchange rate changes", "汇率变动对现金及现金等价物的影响"), 7, -9), (says("Net change in cash", "现金及现金等价物净增加额"), *net), fixed(says("Opening cash", "期初现金余额"), 1000, 1000), (says("Closing cash", "期末现金余额"), *closing),
+        ),
+    )
+    early = company % 26 == 6  # these begin their cash flow statement on the page where the balance sheet ends
+    # even companies' last row is broken after its label
+    last = rows((F.when(even, "3 / 5").otherwise(says("Total equity", "所有者权益合计")), *equity))
+    balance = rows(part(says("Total current assets", "流动资产合计"), "assets", 2), pair(says("Total assets", "资产总计"), "assets"), part(says("Total current liabilities", "流动负债合计"), "liabilities", 4), pair(says("Total liabilities", "负债合计"), "liabilities"))
+    income = rows(pair(line(says("1. Revenue", "一、营业收入"), says("3", "五(1)")), "revenue"), pair(says("Profit for\nthe year", "净利润"), "net_profit"))
     entries = [
-        (1, line("Annual report", F.col("period_year").cast("string"))),
-        (2, line("Consolidated income statement", "单位：元", weeks(year), weeks(F.when(company % 6 == 0, year).otherwise(year - 1)), "1. Revenue", "3", pair("revenue"), "Profit for", "the year", pair("net_profit"))),
-        (3, line("Consolidated balance sheet", "单位：元", "Total current assets", part("assets", 2), "Total assets", pair("assets"), "Total current liabilities", part("liabilities", 4), "Total liabilities", pair("liabilities"), F.when(~even, equity).otherwise("continued"))),
-        (4, F.when(even, equity).otherwise("notes")),
-        (5, line("Cash flow statement", F.when(F.col("company") % 8 == 5, "单位：千元").otherwise("单位：元"), "Net cash from operating activities", pair("ocf"), "Net cash from investing activities", "(300)", "(200)", "Net cash from financing activities", "100", "100", "Effect of exchange rate changes", "7", "(9)", "Net change in cash", net, "Opening cash", "1,000", "1,000", "Closing cash", closing)),
+        (1, line("Annual report", year.cast("string"))),
+        (2, line(says("Consolidated income statement", "合并及公司利润表"), "单位：元", weeks(year), weeks(F.when(company % 6 == 0, year).otherwise(year - 1)), header, income)),
+        (3, line(says("Consolidated balance sheet", "合并及公司资产负债表"), "单位：元", header, balance, F.when(even, says("Total equity", "所有者权益合计")).otherwise(last))),
+        (4, line(F.when(even, last).otherwise("notes"), F.when(early, cash))),
+        (5, F.when(early, "notes").otherwise(cash)),
     ]
     return years(spark, sf).select("doc_id", F.inline(F.array(*(F.struct(F.lit(n).cast("bigint").alias("page_number"), t.alias("text")) for n, t in entries))))
 
@@ -299,17 +327,21 @@ def figures(spark, sf):
     return statements.extract_statements(pages(spark, sf))
 
 
-FIGURES = """fig AS (SELECT doc_id, company, period_year, unnest([{'s': 'income', 'm': 'revenue', 'a': revenue, 'b': revenue_p, 'p': 2, 'e': 2}, {'s': 'income', 'm': 'net_profit', 'a': net_profit, 'b': net_profit_p, 'p': 2, 'e': 2}, {'s': 'balance', 'm': 'total_assets', 'a': assets, 'b': assets_p, 'p': 3, 'e': 3 + (company + 1) % 2},
-  {'s': 'balance', 'm': 'total_liabilities', 'a': liabilities, 'b': liabilities_p, 'p': 3, 'e': 3 + (company + 1) % 2}, {'s': 'balance', 'm': 'total_equity', 'a': assets - liabilities + CASE WHEN company % 11 = 4 THEN 9 ELSE 0 END, 'b': assets_p - liabilities_p, 'p': 3, 'e': 3 + (company + 1) % 2}, {'s': 'cash', 'm': 'operating_cash_flow', 'a': ocf, 'b': ocf_p, 'p': 5, 'e': 5},
-  {'s': 'balance', 'm': 'current_assets', 'a': floor(assets / 2), 'b': floor(assets_p / 2), 'p': 3, 'e': 3 + (company + 1) % 2}, {'s': 'balance', 'm': 'current_liabilities', 'a': floor(liabilities / 4), 'b': floor(liabilities_p / 4), 'p': 3, 'e': 3 + (company + 1) % 2},
-  {'s': 'cash', 'm': 'investing_cash_flow', 'a': -300, 'b': -200, 'p': 5, 'e': 5}, {'s': 'cash', 'm': 'financing_cash_flow', 'a': 100, 'b': 100, 'p': 5, 'e': 5}, {'s': 'cash', 'm': 'exchange_effect', 'a': 7, 'b': -9, 'p': 5, 'e': 5},
-  {'s': 'cash', 'm': 'net_change', 'a': ocf - CASE WHEN company % 2 = 0 THEN 193 ELSE 200 END, 'b': ocf_p - CASE WHEN company % 2 = 0 THEN 109 ELSE 100 END, 'p': 5, 'e': 5}, {'s': 'cash', 'm': 'opening_cash', 'a': 1000, 'b': 1000, 'p': 5, 'e': 5},
-  {'s': 'cash', 'm': 'closing_cash', 'a': ocf + CASE WHEN company % 11 = 3 THEN 812 ELSE 807 END, 'b': ocf_p + 891, 'p': 5, 'e': 5}]) AS f FROM y)"""
+# The figures as columns, and the checks worked out on them.
+WIDE = """w AS (SELECT *, assets - liabilities + CASE WHEN company % 11 = 4 THEN 9 ELSE 0 END AS equity, assets_p - liabilities_p AS equity_p, floor(assets / 2) AS cur_assets, floor(assets_p / 2) AS cur_assets_p, floor(liabilities / 4) AS cur_liabilities, floor(liabilities_p / 4) AS cur_liabilities_p,
+  -300 AS investing, -200 AS investing_p, 100 AS financing, 100 AS financing_p, 7 AS exchange, -9 AS exchange_p, ocf - CASE WHEN company % 2 = 0 THEN 193 ELSE 200 END AS net, ocf_p - CASE WHEN company % 2 = 0 THEN 109 ELSE 100 END AS net_p, 1000 AS opening, 1000 AS opening_p,
+  ocf + CASE WHEN company % 11 = 3 THEN 812 ELSE 807 END AS closing, ocf_p + 891 AS closing_p, 3 + (company + 1) % 2 AS balance_end, CASE WHEN company % 26 = 6 THEN 4 ELSE 5 END AS cash_page, CASE company % 3 WHEN 0 THEN 2 WHEN 1 THEN 4 ELSE 6 END AS columns FROM y)"""
+_entry = lambda s, m, c, p, e: f"{{'s': '{s}', 'm': '{m}', 'a': {c}, 'b': {c}_p, 'p': {p}, 'e': {e}}}"
+FIGURES = f"""{WIDE}, fig AS (SELECT doc_id, company, period_year, columns, unnest([{", ".join([_entry("income", "revenue", "revenue", 2, 2), _entry("income", "net_profit", "net_profit", 2, 2), *(_entry("balance", m, c, 3, "balance_end") for m, c in (("current_assets", "cur_assets"), ("total_assets", "assets"), ("current_liabilities", "cur_liabilities"), ("total_liabilities", "liabilities"), ("total_equity", "equity"))), *(_entry("cash", m, c, "cash_page", "cash_page") for m, c in (("operating_cash_flow", "ocf"), ("investing_cash_flow", "investing"), ("financing_cash_flow", "financing"), ("exchange_effect", "exchange"), ("net_change", "net"), ("opening_cash", "opening"), ("closing_cash", "closing")))])}]) AS f FROM w)"""
+_sections = lambda p, fx: f"abs(ocf{p} + investing{p} + financing{p} + {fx} - net{p}) <= 0.5"
+_inside = " AND ".join(f"{_sections(p, f'exchange{p}')} AND abs(opening{p} + net{p} - closing{p}) <= 0.5" for p in ("", "_p"))
+_after = " AND ".join(f"{_sections(p, '0')} AND abs(opening{p} + net{p} + exchange{p} - closing{p}) <= 0.5" for p in ("", "_p"))
+RECONCILED = f"{WIDE}, rec AS (SELECT *, abs(assets - liabilities - equity) <= 0.5 AND abs(assets_p - liabilities_p - equity_p) <= 0.5 AS balance_ok, ({_inside}) OR ({_after}) AS cash_ok FROM w)"
 
 
-@R.query("st2_extract_statements", f"WITH {YEARS}, {FIGURES} SELECT doc_id, f.s AS statement, f.m AS metric, f.a::DOUBLE AS current, f.b::DOUBLE AS previous, f.p::BIGINT AS start_page, f.e::BIGINT AS end_page FROM fig")
+@R.query("st2_extract_statements", f"WITH {YEARS}, {FIGURES} SELECT doc_id, f.s AS statement, f.m AS metric, f.a::DOUBLE AS current, f.b::DOUBLE AS previous, f.p::BIGINT AS start_page, f.e::BIGINT AS end_page, columns::INTEGER AS columns FROM fig")
 def st2(spark, sf):
-    return figures(spark, sf).select("doc_id", "statement", "metric", "current", "previous", "start_page", "end_page")
+    return figures(spark, sf).select("doc_id", "statement", "metric", "current", "previous", "start_page", "end_page", "columns")
 
 
 @R.query("st1_parse_numbers", f"WITH {YEARS} SELECT doc_id, revenue, net_profit, ocf, 0e0 AS dash, -153e0 AS wide, NULL::DOUBLE AS none FROM y")
@@ -322,26 +354,32 @@ def reconciled(spark, sf):
     return statements.reconcile(statements.wide(figures(spark, sf)))
 
 
-@R.query("st3_reconcile", f"WITH {YEARS} SELECT doc_id, company % 11 <> 4 AS balance_ok, company % 11 <> 3 AS cash_ok FROM y")
+@R.query("st3_reconcile", f"WITH {YEARS}, {RECONCILED} SELECT doc_id, balance_ok, cash_ok FROM rec")
 def st3(spark, sf):
     return reconciled(spark, sf).select("doc_id", "balance_ok", "cash_ok")
 
 
-TARGETS = """tg AS (SELECT company, period_year AS report_year, company * 10000 + period_year AS report_id FROM {vintages} WHERE accounting_basis = 'original')"""
+TARGETS = """tg AS (SELECT company, period_year AS report_year, company * 10000 + period_year AS report_id, CASE WHEN company % 17 = 2 THEN period_year + 1 ELSE period_year END AS titled, company % 19 <> 7 AS trusted FROM {vintages} WHERE accounting_basis = 'original')"""
+CHECKED = f"""{YEARS}, {RECONCILED}, {TARGETS}, checked AS (SELECT tg.company, tg.report_year, tg.report_id, CASE WHEN doc_id IS NULL THEN 0 ELSE 3 END AS statements, CASE WHEN doc_id IS NULL THEN 0 ELSE 10 END AS values,
+  concat_ws(',', CASE WHEN doc_id IS NULL THEN 'statements' END, CASE WHEN NOT coalesce(balance_ok, false) THEN 'balance' END, CASE WHEN NOT coalesce(cash_ok, false) THEN 'cash' END, CASE WHEN doc_id IS NULL OR tg.company % 8 = 5 OR tg.company % 7 = 3 THEN 'units' END,
+    CASE WHEN cash_page <= balance_end THEN 'pages' END, CASE WHEN doc_id IS NULL THEN 'values' END, CASE WHEN titled <> tg.report_year THEN 'title' END, CASE WHEN NOT trusted THEN 'source' END) AS checks FROM tg LEFT JOIN rec ON report_id = doc_id)"""
 
 
 def ready(spark, sf):
-    targets = view(spark, sf, "vintages").where("accounting_basis = 'original'").select("company", F.col("period_year").alias("report_year"), (F.col("company") * 10000 + F.col("period_year")).alias("report_id"))
+    company, year = F.col("company"), F.col("period_year")
+    title = F.concat(F.when(company % 17 == 2, year + 1).otherwise(year).cast("string"), F.lit("年年度报告"))
+    url = F.when(company % 19 == 7, "https://cninfo.com.cn.example.org/x").otherwise("https://www.cninfo.com.cn/x")
+    targets = view(spark, sf, "vintages").where("accounting_basis = 'original'").select("company", year.alias("report_year"), (company * 10000 + year).alias("report_id"), title.alias("title"), url.alias("url"), F.lit(5).alias("page_count"))
     return statements.readiness(reconciled(spark, sf), targets)
 
 
-@R.query("st4_report_readiness", f"WITH {YEARS}, {TARGETS} SELECT report_id, CASE WHEN doc_id IS NULL THEN 0 ELSE 3 END AS statements, CASE WHEN doc_id IS NULL OR tg.company % 8 = 5 OR tg.company % 11 IN (3, 4) THEN 'needs_review' ELSE 'ready_for_human_review' END AS status FROM tg LEFT JOIN y ON report_id = doc_id")
+@R.query("st4_report_readiness", f"WITH {CHECKED} SELECT report_id, statements, values, checks, CASE WHEN checks = '' THEN 'ready_for_human_review' ELSE 'needs_review' END AS status FROM checked")
 def st4(spark, sf):
-    return ready(spark, sf).select("report_id", "statements", "status")
+    return ready(spark, sf).select("report_id", "statements", "values", F.concat_ws(",", "checks").alias("checks"), "status")
 
 
-@R.query("st4_company_packages", f"""WITH {YEARS}, {TARGETS}, g AS (SELECT company, count(*) AS target, count(y.doc_id) AS processed, max(report_year) - min(report_year) + 1 = count(DISTINCT report_year) AS continuous FROM tg LEFT JOIN (SELECT doc_id FROM y) y ON report_id = doc_id GROUP BY company)
-SELECT company, target, processed, CASE WHEN company % 8 = 5 OR company % 11 IN (3, 4) THEN 0 ELSE processed END AS ready, continuous, CASE WHEN processed = 0 THEN 'not_started' WHEN processed < target THEN 'in_progress' WHEN continuous AND company % 8 <> 5 AND company % 11 NOT IN (3, 4) THEN 'ready' ELSE 'needs_review' END AS package_status FROM g""")
+@R.query("st4_company_packages", f"""WITH {CHECKED}, g AS (SELECT company, count(*) AS target, count(*) FILTER (statements > 0) AS processed, count(*) FILTER (checks = '') AS ready, max(report_year) - min(report_year) + 1 = count(DISTINCT report_year) AS continuous FROM checked GROUP BY company)
+SELECT company, target, processed, ready, continuous, CASE WHEN processed = 0 THEN 'not_started' WHEN processed < target THEN 'in_progress' WHEN continuous AND ready = target THEN 'ready' ELSE 'needs_review' END AS package_status FROM g""")
 def st4_packages(spark, sf):
     return statements.company_packages(ready(spark, sf)).select("company", "target", "processed", "ready", "continuous", "package_status")
 
@@ -357,10 +395,10 @@ def st6(spark, sf):
     return statements.metric_tools(statements.wide(figures(spark, sf))).select("doc_id", "tool", *six("value"), "unavailable", "warning")
 
 
-@R.query("j13_answer_key", f"WITH {YEARS} SELECT doc_id, 'revenue' AS metric, company % 4 <> 0 AS current_ok, true AS previous_ok, true AS unit_ok, company % 5 <> 0 AS page_ok FROM y")
+@R.query("j13_answer_key", f"WITH {YEARS} SELECT doc_id, 'revenue' AS metric, company % 4 <> 0 AS current_ok, company % 7 <> 1 AS previous_ok, company % 9 <> 2 AS unit_ok, company % 5 <> 0 AS page_ok FROM y")
 def j13(spark, sf):
     rows = years(spark, sf)
-    key = rows.select("doc_id", F.lit("revenue").alias("metric"), F.when(F.col("company") % 4 == 0, F.col("revenue") + 1).otherwise(F.col("revenue")).alias("expected_current"), F.col("revenue_p").alias("expected_previous"), F.lit("元").alias("expected_unit"), F.when(F.col("company") % 5 == 0, 9).otherwise(2).alias("expected_page"))
+    key = rows.select("doc_id", F.lit("revenue").alias("metric"), F.when(F.col("company") % 4 == 0, F.col("revenue") + 1).otherwise(F.col("revenue")).alias("expected_current"), F.when(F.col("company") % 7 == 1, F.col("revenue_p") - 1).otherwise(F.col("revenue_p")).alias("expected_previous"), F.when(F.col("company") % 9 == 2, "千元").otherwise("元").alias("expected_unit"), F.when(F.col("company") % 5 == 0, 9).otherwise(2).alias("expected_page"))
     return statements.check_answers(figures(spark, sf), key)
 
 
