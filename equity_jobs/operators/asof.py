@@ -79,21 +79,28 @@ def historical_snapshot(requests: DataFrame, bars: DataFrame, size: int = 251) -
 
 
 def later_outcomes(bars: DataFrame, horizons: tuple[int, ...] = (20, 60, 120)) -> DataFrame:
-    """WN12: for every session and horizon the later return, largest gain and deepest fall from a peak since; kept apart from features."""
-    session = Window.partitionBy(KEY).orderBy("trade_date")
-
-    def fall(path: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("low"))
-        step = lambda s, x: F.struct(F.greatest(s["peak"], x).alias("peak"), F.least(s["low"], x / F.greatest(s["peak"], x) - 1).alias("low"))
-        return F.aggregate(path, start, step, lambda s: s["low"])
+    """WN12: for every session and horizon the later return, largest gain and deepest fall from a peak since; kept apart from features.
 
+    A path's peak, low and deepest fall merge: the fall of two stretches in a row is the
+    deepest of either's and of the later low under the earlier peak. Sessions are cut into
+    blocks of one path's length; running values from the block's begin and towards its end
+    make any path from at most two stretches, so a row costs the same at every horizon.
+    """
+    rows = bars.select(KEY, "trade_date", "close").withColumn("_session", F.row_number().over(Window.partitionBy(KEY).orderBy("trade_date")))
+    for k in horizons:
+        rows = rows.withColumn(f"_block_{k}", F.floor((F.col("_session") - 1) / (k + 1)))
+        ahead, back = (Window.partitionBy(KEY, f"_block_{k}").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_session"), F.desc("_session")))
+        # from the block's begin up to here, and from here to its end
+        rows = rows.withColumns({f"_high_{k}": F.max("close").over(ahead), f"_low_{k}": F.min("close").over(ahead)}).withColumn(f"_fall_{k}", F.min(F.col("close") / F.col(f"_high_{k}") - 1).over(ahead))
+        rows = rows.withColumns({f"_peak_{k}": F.max("close").over(back), f"_floor_{k}": F.min("close").over(back)}).withColumn(f"_drop_{k}", F.min(F.col(f"_floor_{k}") / F.col("close") - 1).over(back))
+    session = Window.partitionBy(KEY).orderBy("_session")
     made = {}
     for k in horizons:
-        ahead = session.rowsBetween(0, k)
-        full = F.lead("trade_date", k).over(session)
+        there = lambda c, k=k: F.lead(c, k).over(session)
+        full, one = there("trade_date"), there(f"_block_{k}") == F.col(f"_block_{k}")
+        fall = F.when(one, F.col(f"_drop_{k}")).otherwise(F.least(F.col(f"_drop_{k}"), there(f"_fall_{k}"), there(f"_low_{k}") / F.col(f"_peak_{k}") - 1))
         made |= {
-            f"date_{k}": full, f"return_{k}": F.lead("close", k).over(session) / F.col("close") - 1,
-            f"gain_{k}": F.when(full.isNotNull(), F.max("close").over(ahead) / F.col("close") - 1), f"fall_{k}": F.when(full.isNotNull(), fall(F.collect_list("close").over(ahead))),
-            f"status_{k}": F.when(full.isNotNull(), "ok").otherwise("insufficient_future_data"),
+            f"date_{k}": full, f"return_{k}": there("close") / F.col("close") - 1, f"gain_{k}": F.when(full.isNotNull(), F.greatest(F.col(f"_peak_{k}"), there(f"_high_{k}")) / F.col("close") - 1),
+            f"fall_{k}": F.when(full.isNotNull(), fall), f"status_{k}": F.when(full.isNotNull(), "ok").otherwise("insufficient_future_data"),
         }
-    return bars.select(KEY, "trade_date", *(c.alias(n) for n, c in made.items()))
+    return rows.select(KEY, "trade_date", *(c.alias(n) for n, c in made.items()))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equity_jobs.functions.rules import allowed_url
+from equity_jobs.operators.ranking import ranked
 
 LEVELS = {"高": 3, "中": 2, "低": 1}
 
@@ -29,8 +30,8 @@ def radar_order() -> list[Column]:
 
 
 def rank_radar(rows: DataFrame, scan: list[str]) -> DataFrame:
-    """radar_rank within each scan."""
-    return rows.withColumn("radar_rank", F.row_number().over(Window.partitionBy(*scan).orderBy(*radar_order())))
+    """radar_rank within each scan; a scan of the whole market is ranked by many tasks."""
+    return ranked(rows, radar_order(), "radar_rank", scan).withColumn("radar_rank", F.col("radar_rank").cast("int"))
 
 
 def queue(radar: DataFrame, disclosures: DataFrame, as_of: Column, urgent_days: int = 2, recent_days: int = 7) -> DataFrame:
@@ -63,6 +64,6 @@ def order_columns() -> list[Column]:
 
 
 def rank_queue(rows: DataFrame, scan: list[str]) -> DataFrame:
-    """TK3: priority, triggers, days since the latest disclosure (none last), code."""
+    """TK3: priority, triggers, days since the latest disclosure (none last), code; ranked as in rank_radar()."""
     order = [F.asc("priority"), F.desc("trigger_count"), F.coalesce("latest.days_old", F.lit(10_000)).asc(), F.asc("code")]
-    return rows.withColumn("queue_rank", F.row_number().over(Window.partitionBy(*scan).orderBy(*order)))
+    return ranked(rows, order, "queue_rank", scan).withColumn("queue_rank", F.col("queue_rank").cast("int"))

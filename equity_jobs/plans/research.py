@@ -170,14 +170,19 @@ def wn11(spark, sf):
     return asof.historical_snapshot(requests(spark, sf), view(spark, sf, "bars")).select("instrument_id", "as_of", "effective", "close", *six("return_20", "return_250", "volatility", "max_drawdown"), "sessions")
 
 
+HORIZONS = (20, 60, 120)
+OUTCOME = """max(d) FILTER (k = #) AS date_#, round(max(close / start - 1) FILTER (k = #), 6) AS return_#, CASE WHEN max(k) >= # THEN round(max(close / start - 1) FILTER (k <= #), 6) END AS gain_#, CASE WHEN max(k) >= # THEN round(min(close / peak - 1) FILTER (k <= #), 6) END AS fall_#,
+    CASE WHEN max(k) >= # THEN 'ok' ELSE 'insufficient_future_data' END AS status_#"""
+
+
 @R.query(
     "wn12_later_outcomes",
-    """WITH num AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY trade_date) AS session FROM {bars}), path AS (SELECT b.instrument_id, b.trade_date, b.close AS start, n.session - b.session AS k, n.close, n.trade_date AS d, max(n.close) OVER (PARTITION BY b.instrument_id, b.trade_date ORDER BY n.session) AS peak FROM num b JOIN num n ON b.instrument_id = n.instrument_id AND n.session BETWEEN b.session AND b.session + 60)
-    SELECT instrument_id, trade_date, max(d) FILTER (k = 20) AS date_20, round(max(close / start - 1) FILTER (k = 20), 6) AS return_20, CASE WHEN max(k) >= 20 THEN round(max(close / start - 1) FILTER (k <= 20), 6) END AS gain_20, CASE WHEN max(k) >= 20 THEN round(min(close / peak - 1) FILTER (k <= 20), 6) END AS fall_20,
-    CASE WHEN max(k) >= 20 THEN 'ok' ELSE 'insufficient_future_data' END AS status_20, max(d) FILTER (k = 60) AS date_60, CASE WHEN max(k) >= 60 THEN round(min(close / peak - 1), 6) END AS fall_60 FROM path GROUP BY instrument_id, trade_date""",
+    f"""WITH num AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY trade_date) AS session FROM {{bars}}), path AS (SELECT b.instrument_id, b.trade_date, b.close AS start, n.session - b.session AS k, n.close, n.trade_date AS d, max(n.close) OVER (PARTITION BY b.instrument_id, b.trade_date ORDER BY n.session) AS peak FROM num b JOIN num n ON b.instrument_id = n.instrument_id AND n.session BETWEEN b.session AND b.session + 120)
+    SELECT instrument_id, trade_date, {", ".join(OUTCOME.replace("#", str(k)) for k in HORIZONS)} FROM path GROUP BY instrument_id, trade_date""",
 )
 def wn12(spark, sf):
-    return asof.later_outcomes(view(spark, sf, "bars"), (20, 60)).select("instrument_id", "trade_date", "date_20", *six("return_20", "gain_20", "fall_20"), "status_20", "date_60", *six("fall_60"))
+    made = [c for k in HORIZONS for c in (f"date_{k}", *six(f"return_{k}", f"gain_{k}", f"fall_{k}"), f"status_{k}")]
+    return asof.later_outcomes(view(spark, sf, "bars"), HORIZONS).select("instrument_id", "trade_date", *made)
 
 
 @R.query(
