@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -264,40 +263,6 @@ def top_results(scored: DataFrame, order: list[Column], k: int) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *order))).where(F.col("place") <= k)
 
 
-def cosine_top_k(queries: DataFrame, passages: DataFrame, k: int, block: int = 1024) -> DataFrame:
-    """TX5: query_id, passage_id and semantic (cosine; 0 for a zero vector) of the k best passages, ties to the smaller id.
-
-    queries and passages: id, vector. Blocks of queries meet blocks of passages, each pair
-    in a task of bounded size, and only each task's k best go on. A query is not its own passage.
-    """
-    count, other = queries.count(), passages.count()
-    parts, chunks = max(1, -(-count // block)), max(1, -(-other // (16 * block)))
-    left = queries.select("id", "vector", F.lit(True).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    right = passages.select("id", "vector", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("part"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"))
-
-    def unit(table: pa.Table) -> np.ndarray:
-        rows = np.array(table.column("vector").to_pylist(), np.float64)
-        norm = np.linalg.norm(rows, axis=1, keepdims=True)
-        return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
-
-    def search(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        a, b = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
-        out = [[], [], []]
-        if a.num_rows and b.num_rows:
-            scores, ids, names = unit(a) @ unit(b).T, b.column("id").to_numpy(), a.column("id").to_numpy()
-            scores[names[:, None] == ids[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
-            best = np.take_along_axis(scores, order, 1)
-            good = np.isfinite(best)
-            out = [np.broadcast_to(names[:, None], best.shape)[good], ids[order][good], best[good]]
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "passage_id": pa.array(out[1], pa.int64()), "semantic": pa.array(out[2], pa.float64())})
-
-    found = left.unionByName(right).groupBy("part", "chunk").applyInArrow(search, "query_id bigint, passage_id bigint, semantic double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("semantic", 12).desc(), "passage_id"))
-    return found.withColumn("place", place).where(F.col("place") <= k)
-
-
 # The router's trigger phrases in the order in which they are tried.
 DEEP = ["management promise", "management said", "guidance", "delivered on", "compare years", "across years", "contradiction", "contradict", "承诺", "兑现", "管理层", "指引", "跨年度", "多年", "矛盾", "去年说"]
 SCEPTICAL = ["what drove", "driver", "why", "risk", "quality", "cover its", "为什么", "原因", "风险", "质量", "偿债", "驱动"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from equity_jobs.operators import brief, evaluation, statements, text
+from equity_jobs.operators import brief, evaluation, statements, text, vectors
 from equity_jobs.plans.market import AS_OF, EVENTS, FEATURED, LIMITED, RADAR, radar_rows, six
 from equity_jobs.plans.registry import Registry
 from equity_jobs.plans.research import NORMAL, POINTS, WINDOWS, latest_points, windows
@@ -127,9 +127,9 @@ def tx3(spark, sf):
 
 
 def hybrid(spark, sf):
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    asked = vectors.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi")
-    semantic = text.cosine_top_k(asked, vectors, 10).select("query_id", F.col("passage_id").alias("doc_id"), F.round("semantic", 12).alias("semantic"))
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    asked = rows.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi")
+    semantic = vectors.cosine_top_k(asked, rows, 10).select("query_id", F.col("passage_id").alias("doc_id"), F.round("semantic", 12).alias("semantic"))
     bonus = text.statement_bonus(questions(spark, sf), table(spark, sf, "documents"), ["doc_id"], ["that"], [["this", "with"], ["une", "des"]])
     return text.hybrid_scores(lexical(spark, sf), semantic, ["doc_id"], bonus)
 
@@ -153,8 +153,8 @@ def tk8(spark, sf):
 
 @R.query("tx5_cosine_top_k", f"WITH c AS (SELECT a.vec_id AS query_id, b.vec_id AS passage_id, {COSINE} AS semantic FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, passage_id)::INTEGER AS place FROM c) SELECT query_id, passage_id, round(semantic, 6) AS semantic, place FROM k WHERE place <= 10")
 def tx5(spark, sf):
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return text.cosine_top_k(vectors.where("id % 50 = 0"), vectors, 10).select("query_id", "passage_id", *six("semantic"), "place")
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.cosine_top_k(rows.where("id % 50 = 0"), rows, 10).select("query_id", "passage_id", *six("semantic"), "place")
 
 
 def triggers():

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from equity_jobs.functions import rules
-from equity_jobs.operators import analogs, asof, bars, board, disclosures, fundamentals, identity, peers, radar, statements, text
+from equity_jobs.operators import analogs, asof, bars, board, disclosures, fundamentals, identity, peers, radar, statements, text, vectors
 from equity_jobs.sources import landed, sinks
 from equity_jobs.streaming import feed
 
@@ -226,6 +226,6 @@ def test_feed_stores_each_row_once(spark, tmp_path):
 
 
 def test_cosine_of_zero_vectors_and_blocks(spark):
-    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [2.0, 0.0]), (3, [-1.0, 0.0])], "id bigint, vector array<double>")
-    got = text.cosine_top_k(vectors, vectors, 3, block=1).collect()
+    table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [2.0, 0.0]), (3, [-1.0, 0.0])], "id bigint, vector array<double>")
+    got = vectors.cosine_top_k(table, table, 3, block=1).collect()
     assert {(r.query_id, r.passage_id): r.semantic for r in got if r.query_id == 0} == {(0, 2): 1.0, (0, 1): 0.0, (0, 3): -1.0}
