@@ -8,21 +8,70 @@ from pyspark.sql import functions as F
 KEY = "instrument_id"
 
 
+class Cutoffs:
+    """The distinct cut-off days of a table as an index by day: one entry for each day between the
+    first and the last, so it is bounded by the calendar (a few hundred thousand at most)."""
+
+    def __init__(self, cutoffs: DataFrame) -> None:
+        self.days = [r[0] for r in cutoffs.select("as_of").where("as_of is not null").distinct().orderBy("as_of").collect()]
+        self.count, self.first = len(self.days), self.days[0] if self.days else None
+        self.listed = F.split(F.lit(",".join(map(str, self.days))), ",").cast("array<date>")
+        offsets = {(d - self.first).days for d in self.days}
+        self.span = max(offsets, default=0)
+        ranks, seen = [], 0
+        for i in range(self.span + 1):
+            ranks.append(str(seen))
+            seen += i in offsets
+        self.ranks = F.split(F.lit(",".join(ranks)), ",").cast("array<int>")
+
+    def before(self, day: Column) -> Column:
+        """How many cut-offs are earlier than day, by one look into the index; null for null."""
+        if not self.days:
+            return F.when(day.isNotNull(), 0)
+        at = F.date_diff(day, F.lit(self.first))
+        return F.when(at <= 0, 0).when(at > self.span, self.count).otherwise(F.get(self.ranks, at))
+
+    def within(self, start: Column, end: Column | None = None) -> Column:
+        """The cut-offs from start on and before end (null: no end), as an array slice."""
+        low = self.before(start)
+        high = F.lit(self.count) if end is None else F.coalesce(self.before(end), F.lit(self.count))
+        return F.slice(self.listed, low + 1, F.greatest(high - low, F.lit(0))) if self.days else F.array().cast("array<date>")
+
+
 def point_in_time(records: DataFrame, cutoffs: DataFrame, published: str = "published_date") -> DataFrame:
-    """CL13: every record at every cut-off, accepted or excluded with the reason. cutoffs is a small dimension."""
-    reason = F.when(F.col(published).isNull(), "undated").when(F.col(published) > F.col("as_of"), "future")
-    return crossed(records, cutoffs).withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+    """CL13: the records accepted at each cut-off, with as_of: no more rows than are accepted.
+
+    Records meet a slice of the sorted cut-offs and not each of them. Undated records are
+    accepted nowhere; no cut-offs: no rows.
+    """
+    index = Cutoffs(cutoffs)
+    return records.drop("as_of").withColumn("as_of", F.explode(index.within(F.col(published))))
+
+
+def exclusions(records: DataFrame, cutoffs: DataFrame, published: str = "published_date") -> DataFrame:
+    """CL13's excluded records, each once: reason (undated or future) and how many of the first cut-offs exclude it."""
+    index = Cutoffs(cutoffs)
+    rows = records.withColumn("excluded_at", F.coalesce(index.before(F.col(published)), F.lit(index.count)))
+    return rows.withColumn("reason", F.when(F.col(published).isNull(), "undated").otherwise("future")).where("excluded_at > 0")
 
 
-def crossed(records: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """records with each of the cut-offs, as an array that is exploded: no join.
+def counts_as_of(records: DataFrame, cutoffs: DataFrame, keys: list[str], measures: dict[str, Column] | None = None, published: str = "published_date") -> DataFrame:
+    """CL13's counts: of every cut-off and key how many records are accepted, future and undated, and how many of the accepted fulfil each measure.
 
-    The array holds one date for each distinct cut-off, so it is bounded by the days of the
-    calendar (a few hundred thousand at most). Without cut-offs there are no rows.
+    Records are counted by the first cut-off that sees them; running totals give all
+    cut-offs, so rows are one a key and cut-off however many records there are.
     """
-    days = [r[0] for r in cutoffs.select("as_of").where("as_of is not null").distinct().orderBy("as_of").collect()]
-    listed = F.split(F.lit(",".join(map(str, days))), ",").cast("array<date>")
-    return records.withColumn("as_of", F.explode(listed)) if days else records.withColumn("as_of", F.lit(None).cast("date")).limit(0)
+    index = Cutoffs(cutoffs)
+    named = {"accepted": F.lit(True), **(measures or {})}
+    slot = F.coalesce(index.before(F.col(published)), F.lit(index.count))
+    marked = records.select(*keys, slot.alias("_slot"), F.col(published).isNull().cast("bigint").alias("undated"), *((F.col(published).isNotNull() & F.coalesce(c, F.lit(False))).cast("bigint").alias(n) for n, c in named.items()))
+    own = marked.groupBy(*keys, "_slot").agg(*(F.sum(c).alias(c) for c in ("undated", *named)))
+    begins = own.select(*keys).distinct().select(*keys, F.lit(0).alias("_slot"), *(F.lit(0).cast("bigint").alias(c) for c in ("undated", *named)))
+    own = own.unionByName(begins).groupBy(*keys, "_slot").agg(*(F.sum(c).alias(c) for c in ("undated", *named)))
+    whole, upto = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_slot")
+    totals = own.withColumns({"_all": F.sum("accepted").over(whole), "undated": F.sum("undated").over(whole), "_next": F.coalesce(F.lead("_slot").over(upto), F.lit(index.count)), **{c: F.sum(c).over(upto) for c in named}})
+    spread = F.slice(index.listed, F.col("_slot") + 1, F.col("_next") - F.col("_slot")) if index.days else F.array().cast("array<date>")
+    return totals.withColumn("as_of", F.explode(spread)).select("as_of", *keys, *named, (F.col("_all") - F.col("accepted")).alias("future"), "undated")
 
 
 def sessions_around(requests: DataFrame, bars: DataFrame) -> DataFrame:

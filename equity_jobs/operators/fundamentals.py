@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equity_jobs.functions.rules import allowed_url, finite, reasons
+from equity_jobs.operators.asof import Cutoffs, counts_as_of
 
 NATURAL_KEY = ["company", "period_year", "report_year", "published_date"]
 METRICS = ["revenue", "net_profit", "operating_cash_flow", "total_assets", "total_liabilities"]
@@ -48,22 +49,18 @@ def validate_grid(facts: DataFrame, companies: DataFrame, years: list[int]) -> D
 def select_as_of(vintages: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """WN9: of each cut-off, company and period the latest version published by then.
 
-    A version is valid from its publication until the next one's of the period, so the
-    cut-offs meet validity intervals and not all earlier versions.
+    A version is valid from its publication until the next one's of the period, and meets
+    the cut-offs in that interval alone. Undated versions are visible nowhere.
     """
-    from equity_jobs.operators.asof import crossed
-
     versions = Window.partitionBy("company", "period_year").orderBy("published_date", "report_year")
-    valid = vintages.withColumn("_until", F.lead("published_date").over(versions))
-    return crossed(valid, cutoffs).where((F.col("published_date") <= F.col("as_of")) & (F.col("_until").isNull() | (F.col("_until") > F.col("as_of")))).drop("_until")
+    valid = vintages.drop("as_of").where("published_date is not null").withColumn("_until", F.lead("published_date").over(versions))
+    return valid.withColumn("as_of", F.explode(Cutoffs(cutoffs).within(F.col("published_date"), F.col("_until")))).drop("_until")
 
 
 def vintage_counts(vintages: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """WN9's audit: visible, future and restated versions at each cut-off and company."""
-    from equity_jobs.operators.asof import crossed
-
-    seen = F.col("published_date") <= F.col("as_of")
-    return crossed(vintages, cutoffs).groupBy("as_of", "company").agg(F.count_if(seen).alias("available"), F.count_if(~seen).alias("future"), F.count_if(seen & (F.col("accounting_basis") == "restated")).alias("restated"))
+    counts = counts_as_of(vintages, cutoffs, ["company"], {"restated": F.col("accounting_basis") == "restated"})
+    return counts.select("as_of", "company", F.col("accepted").alias("available"), "future", "restated")
 
 
 def trend_points(selected: DataFrame) -> DataFrame:

@@ -214,8 +214,18 @@ def points(spark, sf):
 
 @R.query("cl13_point_in_time", "SELECT as_of, company, count(*) FILTER (published_date <= as_of) AS accepted, count(*) FILTER (published_date > as_of) AS excluded FROM {vintages}, {cutoffs} GROUP BY as_of, company")
 def cl13(spark, sf):
-    rows = asof.point_in_time(view(spark, sf, "vintages"), view(spark, sf, "cutoffs"))
-    return rows.groupBy("as_of", "company").agg(F.count_if("accepted").alias("accepted"), F.count_if(F.col("reason") == "future").alias("excluded"))
+    counts = asof.counts_as_of(view(spark, sf, "vintages"), view(spark, sf, "cutoffs"), ["company"])
+    return counts.select("as_of", "company", "accepted", F.col("future").alias("excluded"))
+
+
+@R.query("cl13_accepted_records", "SELECT as_of, company, period_year, report_year, published_date FROM {vintages}, {cutoffs} WHERE published_date <= as_of")
+def cl13_accepted(spark, sf):
+    return asof.point_in_time(view(spark, sf, "vintages"), view(spark, sf, "cutoffs")).select("as_of", "company", "period_year", "report_year", "published_date")
+
+
+@R.query("cl13_excluded_records", "SELECT company, period_year, report_year, count(*)::INTEGER AS excluded_at, 'future' AS reason FROM {vintages}, {cutoffs} WHERE published_date > as_of GROUP BY company, period_year, report_year")
+def cl13_excluded(spark, sf):
+    return asof.exclusions(view(spark, sf, "vintages"), view(spark, sf, "cutoffs")).select("company", "period_year", "report_year", "excluded_at", "reason")
 
 
 @R.query("wn9_latest_vintage", f"WITH {SELECTED} SELECT as_of, company, period_year, report_year, published_date, accounting_basis, revenue FROM sel")
