@@ -93,8 +93,3 @@ def keep_one(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     """The first row of each key by an explicit order, not an arbitrary one."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return frame.withColumn("_place", place).where("_place = 1").drop("_place")
-
-
-def reasons(*rules: tuple[str, Column]) -> Column:
-    """Names of the rules that a row breaks; a rule on a null counts as broken."""
-    return F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules)))

@@ -5,36 +5,101 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equity_jobs.functions.rules import allowed_url, finite, reasons
+from equity_jobs.functions.rules import allowed_url, exchange, finite
 from equity_jobs.operators.asof import Cutoffs, counts_as_of
+from equity_jobs.operators.constraints import Depends, Holds, Unique, broken, checked
 
 NATURAL_KEY = ["company", "period_year", "report_year", "published_date"]
 METRICS = ["revenue", "net_profit", "operating_cash_flow", "total_assets", "total_liabilities"]
 
 
+def _text(*columns: str) -> Column:
+    """Whether all of them say something."""
+    test = F.lit(True)
+    for c in columns:
+        test &= F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
+    return test
+
+
+def _positive(*columns: str) -> Column:
+    """Whether all of them are finite and above 0."""
+    test = F.lit(True)
+    for c in columns:
+        test &= F.coalesce(finite(F.col(c)) > 0, F.lit(False))
+    return test
+
+
+def _source(pdf: bool = False) -> Column:
+    url = F.trim("source_url")
+    secure = allowed_url(url) & F.lower(url).startswith("https://")
+    return secure & F.lower(F.try_parse_url(url, F.lit("PATH"))).endswith(".pdf") if pdf else secure
+
+
+def vintage_rules() -> list[Holds | Unique | Depends]:
+    """CL4: what a publication vintage must fulfil."""
+    return [
+        Holds("identity", _text("company_name"), F.col("company_name")), Holds("report_title", _text("report_title"), F.col("report_title")), Holds("source", _source(), F.col("source_url")), Holds("grade", F.col("evidence_grade") == "A", F.col("evidence_grade")),
+        Holds("status", F.col("verification_status") == "verified", F.col("verification_status")), Holds("basis", F.col("accounting_basis").isin("original", "restated", "reported"), F.col("accounting_basis")), Holds("period", F.col("period_year") <= F.col("report_year")),
+        Holds("amounts", _positive(*METRICS)), Holds("pages", _positive("summary_page", "balance_sheet_page")), Holds("balance", F.col("total_liabilities") <= F.col("total_assets")), Holds("published", F.year("published_date") > F.col("report_year"), F.col("published_date")),
+        Unique("unique", tuple(NATURAL_KEY)), Depends("one_name", ("company",), "company_name"),
+    ]
+
+
 def validate_vintages(rows: DataFrame) -> DataFrame:
-    """CL4: reject_reasons of every vintage, in the order of the rules; none: accepted."""
-    amounts = finite(F.col("revenue")).isNotNull() & (F.col("revenue") > 0) & (F.col("total_assets") > 0) & (F.col("total_liabilities") >= 0)
-    unique = F.count("*").over(Window.partitionBy(*NATURAL_KEY)) == 1
-    found = reasons(
-        ("identity", F.trim("company_name") != ""), ("source", allowed_url(F.col("source_url")) & F.col("source_url").startswith("https://")), ("grade", F.col("evidence_grade") == "A"),
-        ("status", F.col("verification_status") == "verified"), ("basis", F.col("accounting_basis").isin("original", "restated", "reported")), ("period", F.col("period_year") <= F.col("report_year")),
-        ("amounts", amounts), ("balance", F.col("total_liabilities") <= F.col("total_assets")), ("published", F.year("published_date") > F.col("report_year")), ("unique", F.col("_unique")),
-    )
-    return rows.withColumn("_unique", unique).withColumn("reject_reasons", found).drop("_unique")
+    """CL4: violations of every vintage, and their rules as reject_reasons; none: accepted."""
+    return checked(rows, NATURAL_KEY, vintage_rules()).withColumn("reject_reasons", broken())
+
+
+EXCHANGE_NAMES = {"SH": "上海证券交易所", "SZ": "深圳证券交易所", "BJ": "北京证券交易所"}
 
 
 def validate_catalogue(rows: DataFrame, today: Column) -> DataFrame:
-    """CL5: reject_reasons of catalogue rows: code, exchange and canonical code agree, a safe file name, verified, a full range, reviewed by today, no repeats."""
-    from equity_jobs.functions.rules import exchange
+    """CL5: violations and reject_reasons of catalogue rows: code, exchange, its name and the canonical code agree, a safe file name, verified, a full range, reviewed by today, nothing twice."""
+    named = F.coalesce(*(F.when(F.col("exchange") == code, F.lit(name)) for code, name in EXCHANGE_NAMES.items()))
+    rules = [
+        Holds("name", _text("company_name")), Holds("exchange", exchange(F.col("code")) == F.col("exchange"), F.col("exchange")), Holds("exchange_name", F.col("exchange_name") == named, F.col("exchange_name")), Holds("canonical", F.col("canonical_code") == F.concat_ws(".", "code", "exchange"), F.col("canonical_code")),
+        Holds("file", F.col("data_file").rlike(r"^[A-Za-z0-9_\-]+\.csv$"), F.col("data_file")), Holds("status", F.col("status") == "verified", F.col("status")), Holds("range", (F.col("start_year") > 0) & (F.col("start_year") <= F.col("end_year"))),
+        Holds("periods", F.col("verified_periods") == F.col("end_year") - F.col("start_year") + 1, F.col("verified_periods")), Holds("reviewed", F.col("reviewed_on") <= today, F.col("reviewed_on")),
+        Unique("unique_code", ("code",)), Unique("unique_canonical", ("canonical_code",)), Unique("unique_file", ("data_file",)),
+    ]
+    return checked(rows, ["company"], rules).withColumn("reject_reasons", broken())
+
+
+def validate_profiles(rows: DataFrame) -> DataFrame:
+    """CL5: violations and reject_reasons of industry profiles: all texts there, a six-digit code used once, a slug as group, an allowed https PDF with its page, grade A."""
+    texts = ["company_name", "classification_basis", "disclosed_industry", "peer_group_name", "source_title", "notes"]
+    rules = [
+        *(Holds(c, _text(c)) for c in texts), Holds("code", F.col("company_code").rlike("^[0-9]{6}$"), F.col("company_code")), Holds("group", F.col("peer_group_code").rlike("^[a-z][a-z0-9_]{2,63}$"), F.col("peer_group_code")), Holds("exchange", F.upper("exchange").isin("SH", "SZ", "BJ"), F.col("exchange")),
+        Holds("source", _source(pdf=True), F.col("source_url")), Holds("page", F.col("source_page") > 0, F.col("source_page")), Holds("reviewed", F.col("reviewed_on").isNotNull()), Holds("grade", F.col("evidence_grade") == "A", F.col("evidence_grade")), Unique("unique_code", ("company_code",)),
+    ]
+    return checked(rows, ["company_code"], rules).withColumn("reject_reasons", broken())
 
-    once = lambda c: F.count("*").over(Window.partitionBy(c)) == 1
-    found = reasons(
-        ("exchange", exchange(F.col("code")) == F.col("exchange")), ("canonical", F.col("canonical_code") == F.concat_ws(".", "code", "exchange")), ("file", F.col("data_file").rlike(r"^[A-Za-z0-9_\-]+\.csv$")),
-        ("status", F.col("status") == "verified"), ("periods", F.col("verified_periods") == F.col("end_year") - F.col("start_year") + 1), ("reviewed", F.col("reviewed_on") <= today),
-        ("unique_code", F.col("_code")), ("unique_file", F.col("_file")),
-    )
-    return rows.withColumns({"_code": once("code"), "_file": once("data_file")}).withColumn("reject_reasons", found).drop("_code", "_file")
+
+FACT_AMOUNTS = ["cost_of_sales", "inventory", "prior_year_inventory", "contract_liabilities", "prior_year_contract_liabilities"]
+FACT_PAGES = ["income_statement_page", "inventory_page", "contract_liabilities_page"]
+
+
+def validate_facts(rows: DataFrame, today: Column) -> DataFrame:
+    """CL6: violations and reject_reasons of supplementary facts (company, period_year); the grid they must cover is constraints.coverage()'s."""
+    rules = [
+        Holds("texts", _text("company_name", "report_title", "notes")), Holds("period", F.col("period_year") > 0), Holds("published", F.col("published_date") <= today, F.col("published_date")), Holds("source", _source(pdf=True), F.col("source_url")), Holds("grade", F.col("evidence_grade") == "A", F.col("evidence_grade")),
+        Holds("status", F.col("verification_status") == "verified", F.col("verification_status")), *(Holds(c, _positive(c), F.col(c)) for c in FACT_AMOUNTS), *(Holds(c, _positive(c), F.col(c)) for c in FACT_PAGES), Unique("unique", ("company", "period_year")),
+    ]
+    return checked(rows, ["company", "period_year"], rules).withColumn("reject_reasons", broken())
+
+
+CASE_IDENTITY = ["company_code", "company_name", "canonical_code", "period_year", "comparison_year", "report_title", "source_url", "source_page"]
+
+
+def validate_components(rows: DataFrame) -> DataFrame:
+    """CL6: violations and reject_reasons of bridge components: sound rows, one identity a case, no component twice in it, no other case of its company and years."""
+    rules = [
+        Holds("code", F.col("company_code").rlike("^[0-9]{6}$"), F.col("company_code")), Holds("texts", _text("company_name", "report_title", "component_code", "component_label")), Holds("canonical", F.upper("canonical_code").isin(F.concat_ws(".", "company_code", F.lit("SZ")), F.concat_ws(".", "company_code", F.lit("SH"))), F.col("canonical_code")),
+        Holds("source", _source(), F.col("source_url")), Holds("grade", F.col("evidence_grade") == "A", F.col("evidence_grade")), Holds("status", F.col("verification_status") == "verified", F.col("verification_status")), Holds("years", (F.col("comparison_year") > 0) & (F.col("comparison_year") < F.col("period_year"))),
+        Holds("page", F.col("source_page") > 0, F.col("source_page")), Holds("values", finite(F.col("current_value")).isNotNull() & finite(F.col("comparison_value")).isNotNull()), *(Depends(f"one_{c}", ("case_id",), c) for c in CASE_IDENTITY), Unique("unique_component", ("case_id", "component_code")),
+        Depends("one_case", ("company_code", "period_year", "comparison_year"), "case_id"),
+    ]
+    return checked(rows, ["case_id", "component_code"], rules).withColumn("reject_reasons", broken())
 
 
 def validate_grid(facts: DataFrame, companies: DataFrame, years: list[int]) -> DataFrame:
@@ -142,8 +207,18 @@ def pending_reports(reports: DataFrame, done: DataFrame, keys: list[str]) -> Dat
 
 
 def audit_catalogue(catalogue: DataFrame, vintages: DataFrame) -> DataFrame:
-    """AG9: declared coverage against the periods there are."""
-    found = vintages.groupBy("company").agg(F.sort_array(F.collect_set("period_year")).alias("years"), F.count("*").alias("vintages"))
+    """AG9: of each declared company its coverage against the periods there are, and whether all names agree.
+
+    names_ok: the vintages have one name, and it is the catalogue's. passed: complete and names_ok.
+    """
+    found = vintages.groupBy("company").agg(F.sort_array(F.collect_set("period_year")).alias("years"), F.count("*").alias("vintages"), F.min(F.coalesce("company_name", F.lit(""))).alias("_least"), F.max(F.coalesce("company_name", F.lit(""))).alias("_most"))
     rows = catalogue.join(found, "company", "left")
-    complete = F.coalesce(F.col("years") == F.sequence("start_year", "end_year"), F.lit(False))
-    return rows.select("company", "start_year", "end_year", F.coalesce("vintages", F.lit(0)).alias("vintages"), F.coalesce(F.size("years"), F.lit(0)).alias("periods"), complete.alias("complete"))
+    complete = F.coalesce((F.col("start_year") <= F.col("end_year")) & (F.col("years") == F.sequence("start_year", F.greatest("start_year", "end_year"))), F.lit(False))
+    names = F.coalesce((F.col("_least") == F.col("_most")) & (F.col("_least") == F.col("company_name")), F.lit(False))
+    out = rows.select("company", "start_year", "end_year", "verified_periods", F.coalesce("vintages", F.lit(0)).alias("vintages"), F.coalesce(F.size("years"), F.lit(0)).alias("periods"), complete.alias("complete"), names.alias("names_ok"))
+    return out.withColumn("passed", F.col("complete") & F.col("names_ok"))
+
+
+def catalogue_totals(audited: DataFrame) -> DataFrame:
+    """AG9's summary: companies, declared periods, vintages, and whether every check passed (null for no companies)."""
+    return audited.agg(F.count("*").alias("companies"), F.coalesce(F.sum("verified_periods"), F.lit(0)).alias("declared_periods"), F.coalesce(F.sum("vintages"), F.lit(0)).alias("vintages"), F.count_if(~F.col("passed")).alias("failed"), F.every("passed").alias("all_passed"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from equity_jobs.functions import rules
-from equity_jobs.operators import analogs, asof, disclosures, fundamentals, identity, peers
+from equity_jobs.operators import analogs, asof, constraints, disclosures, fundamentals, identity, peers
 from equity_jobs.operators import bars as B
 from equity_jobs.plans.market import EVENTS, FEATURED, LIMITED, featured, six
 from equity_jobs.plans.registry import Registry
@@ -258,47 +258,124 @@ def ag11(spark, sf):
 
 
 def candidates(spark, sf):
-    """Vintages with the identity and source columns of a governed file, some of them spoilt."""
+    """Vintages with the identity and source columns of a governed file, some of them spoilt, some twice."""
     c = F.col("company")
-    return view(spark, sf, "vintages").withColumns(
+    url = F.when(c % 13 == 0, "http://www.cninfo.com.cn/a").when(c % 13 == 1, "https://cninfo.com.cn.evil.org/a").otherwise("https://static.cninfo.com.cn/a.PDF")
+    name = F.concat(F.lit("C"), c.cast("string"))
+    rows = view(spark, sf, "vintages").withColumns(
         {
-            "company_name": F.when(c % 17 == 0, " ").otherwise(F.concat(F.lit("C"), c.cast("string"))), "source_url": F.when(c % 13 == 0, "http://www.cninfo.com.cn/a").when(c % 13 == 1, "https://cninfo.com.cn.evil.org/a").otherwise("https://static.cninfo.com.cn/a.PDF"),
+            "company_name": F.when(c % 17 == 0, " ").when((c % 21 == 4) & (F.col("accounting_basis") == "restated"), F.concat(name, F.lit(" new"))).otherwise(name), "source_url": url, "report_title": F.when(c % 23 == 1, "").otherwise(F.concat(F.col("report_year").cast("string"), F.lit("年年度报告"))),
             "evidence_grade": F.when(c % 7 == 0, "B").otherwise("A"), "verification_status": F.when(c % 5 == 0, "candidate").otherwise("verified"), "total_liabilities": F.when(c % 9 == 8, F.col("total_assets") * 2).otherwise(F.col("total_liabilities")),
+            "summary_page": F.when(c % 19 == 2, 0).otherwise(5), "balance_sheet_page": F.when(c % 19 != 3, 60),
         }
     )
+    return rows.unionByName(rows.where("company % 29 = 5 and accounting_basis = 'original'"))
 
 
-@R.query(
-    "cl4_validate_vintages",
-    """SELECT company, period_year, report_year, concat_ws(',', CASE WHEN company % 17 = 0 THEN 'identity' END, CASE WHEN company % 13 IN (0, 1) THEN 'source' END, CASE WHEN company % 7 = 0 THEN 'grade' END, CASE WHEN company % 5 = 0 THEN 'status' END, CASE WHEN NOT (revenue > 0) THEN 'amounts' END,
-    CASE WHEN company % 9 = 8 OR total_liabilities > total_assets THEN 'balance' END) AS reasons FROM {vintages}""",
-)
+CANDIDATES = """cand0 AS (SELECT * REPLACE (CASE WHEN company % 9 = 8 THEN total_assets * 2 ELSE total_liabilities END AS total_liabilities), CASE WHEN company % 17 = 0 THEN ' ' WHEN company % 21 = 4 AND accounting_basis = 'restated' THEN 'C' || company || ' new' ELSE 'C' || company END AS company_name, CASE WHEN company % 23 = 1 THEN '' ELSE report_year || '年年度报告' END AS report_title,
+  CASE WHEN company % 13 = 0 THEN 'http://www.cninfo.com.cn/a' WHEN company % 13 = 1 THEN 'https://cninfo.com.cn.evil.org/a' ELSE 'https://static.cninfo.com.cn/a.PDF' END AS source_url FROM {vintages}), cand1 AS (FROM cand0 UNION ALL FROM cand0 WHERE company % 29 = 5 AND accounting_basis = 'original'),
+cand2 AS (SELECT *, concat_ws('/', company, period_year, report_year, published_date) AS k FROM cand1),
+cand AS (SELECT *, count(*) OVER (PARTITION BY k) AS times, min({{'v': company_name, 'k': k}}) OVER (PARTITION BY company) AS fst, max({{'v': company_name, 'k': k}}) OVER (PARTITION BY company) AS lst FROM cand2),
+led AS (SELECT *, list_filter([CASE WHEN company % 17 = 0 THEN {{'rule': 'identity', 'value': company_name, 'partner': NULL::VARCHAR}} END, CASE WHEN company % 23 = 1 THEN {{'rule': 'report_title', 'value': report_title, 'partner': NULL}} END, CASE WHEN company % 13 IN (0, 1) THEN {{'rule': 'source', 'value': source_url, 'partner': NULL}} END,
+  CASE WHEN company % 7 = 0 THEN {{'rule': 'grade', 'value': 'B', 'partner': NULL}} END, CASE WHEN company % 5 = 0 THEN {{'rule': 'status', 'value': 'candidate', 'partner': NULL}} END, CASE WHEN NOT (revenue > 0 AND net_profit > 0 AND operating_cash_flow > 0 AND total_assets > 0 AND total_liabilities > 0) THEN {{'rule': 'amounts', 'value': NULL, 'partner': NULL}} END,
+  CASE WHEN company % 19 IN (2, 3) THEN {{'rule': 'pages', 'value': NULL, 'partner': NULL}} END, CASE WHEN total_liabilities > total_assets THEN {{'rule': 'balance', 'value': NULL, 'partner': NULL}} END, CASE WHEN times > 1 THEN {{'rule': 'unique', 'value': k, 'partner': k}} END,
+  CASE WHEN fst.v <> lst.v THEN {{'rule': 'one_name', 'value': company_name, 'partner': CASE WHEN company_name = fst.v THEN lst.k ELSE fst.k END}} END], lambda x: x IS NOT NULL) AS vs FROM cand)""".replace("{{", "{").replace("}}", "}")
+
+
+@R.query("cl4_validate_vintages", f"WITH {CANDIDATES} SELECT company, period_year, report_year, array_to_string(list_transform(vs, lambda x: x.rule), ',') AS reasons FROM led")
 def cl4(spark, sf):
     return fundamentals.validate_vintages(candidates(spark, sf)).select("company", "period_year", "report_year", F.concat_ws(",", "reject_reasons").alias("reasons"))
 
 
-CATALOGUE = """cat AS (SELECT i.instrument_id AS company, code, CASE WHEN instrument_id % 7 IN (0, 3) THEN 'SH' WHEN instrument_id % 7 = 4 THEN 'BJ' ELSE 'SZ' END AS exchange, CASE WHEN instrument_id % 8 = 0 THEN 'bad name.csv' ELSE 'f' || instrument_id::VARCHAR || '.csv' END AS data_file,
-  CASE WHEN instrument_id % 6 = 5 THEN 'draft' ELSE 'verified' END AS status, 1995 AS start_year, CASE WHEN instrument_id % 4 = 0 THEN 2001 ELSE 2000 END AS end_year, 7 AS verified_periods, CASE WHEN instrument_id % 9 = 0 THEN DATE '2030-01-01' ELSE DATE '2002-01-01' END AS reviewed_on FROM {identity} i)"""
+@R.query("cl4_violations", f"WITH {CANDIDATES}, u AS (SELECT company, period_year, report_year, unnest(vs) AS x FROM led) SELECT company, period_year, report_year, x.rule AS rule, x.value AS value, x.partner AS partner FROM u")
+def cl4_violations(spark, sf):
+    return constraints.ledger(fundamentals.validate_vintages(candidates(spark, sf)), ["company", "period_year", "report_year"])
+
+
+EXCHANGE_NAME = "CASE exchange " + " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in fundamentals.EXCHANGE_NAMES.items()) + " END"
+CATALOGUE = f"""cat0 AS (SELECT i.instrument_id AS company, code, CASE WHEN instrument_id % 15 = 7 THEN ' ' ELSE 'C' || instrument_id END AS company_name, CASE WHEN instrument_id % 7 IN (0, 3) THEN 'SH' WHEN instrument_id % 7 = 4 THEN 'BJ' ELSE 'SZ' END AS exchange, CASE WHEN instrument_id % 8 = 0 THEN 'bad name.csv' ELSE 'f' || instrument_id::VARCHAR || '.csv' END AS data_file,
+  CASE WHEN instrument_id % 6 = 5 THEN 'draft' ELSE 'verified' END AS status, 1995 AS start_year, CASE WHEN instrument_id % 4 = 0 THEN 2001 WHEN instrument_id % 12 = 1 THEN 1994 ELSE 2000 END AS end_year, 7 AS verified_periods, CASE WHEN instrument_id % 9 = 0 THEN DATE '2030-01-01' ELSE DATE '2002-01-01' END AS reviewed_on FROM {{identity}} i),
+cat AS (SELECT *, CASE WHEN company % 10 = 1 THEN '北交所' ELSE {EXCHANGE_NAME} END AS exchange_name, CASE WHEN company % 25 = 3 THEN 'X' ELSE code || '.' || exchange END AS canonical_code FROM cat0)"""
 
 
 def catalogue(spark, sf):
     i = F.col("instrument_id")
     rows = view(spark, sf, "identity").select(
-        i.alias("company"), "code", F.when((i % 7).isin(0, 3), "SH").when(i % 7 == 4, "BJ").otherwise("SZ").alias("exchange"), F.when(i % 8 == 0, "bad name.csv").otherwise(F.concat(F.lit("f"), i.cast("string"), F.lit(".csv"))).alias("data_file"),
-        F.when(i % 6 == 5, "draft").otherwise("verified").alias("status"), F.lit(1995).alias("start_year"), F.when(i % 4 == 0, 2001).otherwise(2000).alias("end_year"), F.lit(7).alias("verified_periods"), F.when(i % 9 == 0, day("2030-01-01")).otherwise(day("2002-01-01")).alias("reviewed_on"),
+        i.alias("company"), "code", F.when(i % 15 == 7, " ").otherwise(F.concat(F.lit("C"), i.cast("string"))).alias("company_name"), F.when((i % 7).isin(0, 3), "SH").when(i % 7 == 4, "BJ").otherwise("SZ").alias("exchange"), F.when(i % 8 == 0, "bad name.csv").otherwise(F.concat(F.lit("f"), i.cast("string"), F.lit(".csv"))).alias("data_file"),
+        F.when(i % 6 == 5, "draft").otherwise("verified").alias("status"), F.lit(1995).alias("start_year"), F.when(i % 4 == 0, 2001).when(i % 12 == 1, 1994).otherwise(2000).alias("end_year"), F.lit(7).alias("verified_periods"), F.when(i % 9 == 0, day("2030-01-01")).otherwise(day("2002-01-01")).alias("reviewed_on"),
     )
-    return rows.withColumn("canonical_code", F.concat_ws(".", "code", "exchange"))
+    named = F.coalesce(*(F.when(F.col("exchange") == e, F.lit(n)) for e, n in fundamentals.EXCHANGE_NAMES.items()))
+    return rows.withColumns({"exchange_name": F.when(F.col("company") % 10 == 1, "北交所").otherwise(named), "canonical_code": F.when(F.col("company") % 25 == 3, "X").otherwise(F.concat_ws(".", "code", "exchange"))})
 
 
 @R.query(
     "cl5_validate_catalogue",
-    f"""WITH {CATALOGUE} SELECT company, concat_ws(',', CASE WHEN company % 7 = 6 THEN 'exchange' END, CASE WHEN company % 8 = 0 THEN 'file' END, CASE WHEN status <> 'verified' THEN 'status' END, CASE WHEN end_year <> 2001 THEN 'periods' END, CASE WHEN reviewed_on > DATE '2026-01-01' THEN 'reviewed' END,
-    CASE WHEN count(*) OVER (PARTITION BY code) > 1 THEN 'unique_code' END, CASE WHEN count(*) OVER (PARTITION BY data_file) > 1 THEN 'unique_file' END) AS reasons FROM cat""",
+    f"""WITH {CATALOGUE} SELECT company, concat_ws(',', CASE WHEN company % 15 = 7 THEN 'name' END, CASE WHEN company % 7 = 6 THEN 'exchange' END, CASE WHEN company % 10 = 1 THEN 'exchange_name' END, CASE WHEN canonical_code = 'X' THEN 'canonical' END, CASE WHEN company % 8 = 0 THEN 'file' END, CASE WHEN status <> 'verified' THEN 'status' END,
+    CASE WHEN start_year > end_year THEN 'range' END, CASE WHEN end_year <> 2001 THEN 'periods' END, CASE WHEN reviewed_on > DATE '2026-01-01' THEN 'reviewed' END,
+    CASE WHEN count(*) OVER (PARTITION BY code) > 1 THEN 'unique_code' END, CASE WHEN count(*) OVER (PARTITION BY canonical_code) > 1 THEN 'unique_canonical' END, CASE WHEN count(*) OVER (PARTITION BY data_file) > 1 THEN 'unique_file' END) AS reasons FROM cat""",
 )
 def cl5(spark, sf):
     return fundamentals.validate_catalogue(catalogue(spark, sf), day("2026-01-01")).select("company", F.concat_ws(",", "reject_reasons").alias("reasons"))
 
 
+@R.query(
+    "cl5_industry_profiles",
+    """WITH p AS (SELECT company, CASE WHEN company % 14 = 3 THEN '000001' ELSE lpad(company::VARCHAR, 6, '0') END AS code FROM {peers}) SELECT company, concat_ws(',', CASE WHEN company % 11 = 2 THEN 'disclosed_industry' END, CASE WHEN company % 13 = 5 THEN 'notes' END, CASE WHEN company % 6 = 1 THEN 'group' END, CASE WHEN company % 8 = 3 THEN 'exchange' END,
+    CASE WHEN company % 7 IN (1, 2) THEN 'source' END, CASE WHEN company % 9 = 4 THEN 'page' END, CASE WHEN company % 10 = 6 THEN 'reviewed' END, CASE WHEN company % 12 = 8 THEN 'grade' END, CASE WHEN count(*) OVER (PARTITION BY code) > 1 THEN 'unique_code' END) AS reasons FROM p""",
+)
+def cl5_profiles(spark, sf):
+    c = F.col("company")
+    rows = view(spark, sf, "peers").select(
+        "company", F.when(c % 14 == 3, "000001").otherwise(F.lpad(c.cast("string"), 6, "0")).alias("company_code"), "company_name", F.lit("annual report").alias("classification_basis"), F.when(c % 11 == 2, F.lit(None).cast("string")).otherwise("liquor").alias("disclosed_industry"), F.when(c % 6 == 1, "Bad Group").otherwise("group_1").alias("peer_group_code"),
+        F.col("peer_group").alias("peer_group_name"), F.when(c % 8 == 3, "NY").otherwise("sh").alias("exchange"), F.when(c % 7 == 1, "https://static.cninfo.com.cn/a.html").when(c % 7 == 2, "https://example.org/a.pdf").otherwise("https://static.cninfo.com.cn/a.PDF").alias("source_url"), F.lit("report").alias("source_title"),
+        F.when(c % 9 == 4, 0).otherwise(12).alias("source_page"), F.when(c % 10 != 6, day("2002-01-01")).alias("reviewed_on"), F.when(c % 12 == 8, "B").otherwise("A").alias("evidence_grade"), F.when(c % 13 == 5, "  ").otherwise("n").alias("notes"),
+    )
+    return fundamentals.validate_profiles(rows).select("company", F.concat_ws(",", "reject_reasons").alias("reasons"))
+
+
+@R.query(
+    "cl6_supplementary_facts",
+    """WITH f0 AS (SELECT company, period_year, revenue FROM {vintages} WHERE accounting_basis = 'original'), f AS (FROM f0 UNION ALL FROM f0 WHERE company % 19 = 6) SELECT company, period_year, concat_ws(',', CASE WHEN company % 17 = 1 THEN 'texts' END, CASE WHEN company % 11 = 5 THEN 'published' END, CASE WHEN company % 7 = 4 THEN 'source' END, CASE WHEN company % 9 = 2 THEN 'grade' END, CASE WHEN company % 8 = 7 THEN 'status' END,
+    CASE WHEN company % 10 = 3 THEN 'inventory' END, CASE WHEN company % 12 = 5 THEN 'contract_liabilities' END, CASE WHEN company % 13 = 6 THEN 'inventory_page' END, CASE WHEN count(*) OVER (PARTITION BY company, period_year) > 1 THEN 'unique' END) AS reasons FROM f""",
+)
+def cl6_facts(spark, sf):
+    c, one = F.col("company"), F.col("revenue") / 8
+    rows = view(spark, sf, "vintages").where("accounting_basis = 'original'").select(
+        "company", "period_year", F.when(c % 17 == 1, "").otherwise("C").alias("company_name"), F.lit("report").alias("report_title"), F.lit("n").alias("notes"), F.when(c % 11 == 5, day("2030-01-01")).otherwise(F.col("published_date")).alias("published_date"), F.when(c % 7 == 4, "https://static.cninfo.com.cn/a").otherwise("https://static.cninfo.com.cn/a.pdf").alias("source_url"),
+        F.when(c % 9 == 2, F.lit(None).cast("string")).otherwise("A").alias("evidence_grade"), F.when(c % 8 == 7, "candidate").otherwise("verified").alias("verification_status"), one.alias("cost_of_sales"), F.when(c % 10 == 3, F.lit(float("nan"))).otherwise(one).alias("inventory"), one.alias("prior_year_inventory"),
+        F.when(c % 12 == 5, -one).otherwise(one).alias("contract_liabilities"), one.alias("prior_year_contract_liabilities"), F.lit(1).alias("income_statement_page"), F.when(c % 13 == 6, 0).otherwise(2).alias("inventory_page"), F.lit(3).alias("contract_liabilities_page"),
+    )
+    rows = rows.unionByName(rows.where("company % 19 = 6"))
+    return fundamentals.validate_facts(rows, day("2026-01-01")).select("company", "period_year", F.concat_ws(",", "reject_reasons").alias("reasons"))
+
+
+CASES = """cs0 AS (SELECT company, period_year, component, value, CASE WHEN company % 13 = 2 AND period_year = 1996 THEN company * 10000 + 1997 ELSE company * 10000 + period_year END AS case_id FROM {bridge}), cs AS (SELECT *, CASE WHEN company % 11 = 3 AND component LIKE 'R%' THEN 'other' ELSE 'C' || company END AS company_name FROM cs0)"""
+
+
+@R.query(
+    "cl6_bridge_components",
+    f"""WITH {CASES}, m AS (SELECT *, min(company_name) OVER w <> max(company_name) OVER w AS names, min(period_year) OVER w <> max(period_year) OVER w AS years, count(*) OVER (PARTITION BY case_id, component) > 1 AS twice, min(case_id) OVER v <> max(case_id) OVER v AS cases FROM cs WINDOW w AS (PARTITION BY case_id), v AS (PARTITION BY company, period_year))
+    SELECT case_id, component AS component_code, company, period_year, concat_ws(',', CASE WHEN company % 9 = 5 THEN 'canonical' END, CASE WHEN company % 6 = 2 THEN 'page' END, CASE WHEN names THEN 'one_company_name' END, CASE WHEN years THEN 'one_period_year' END, CASE WHEN years THEN 'one_comparison_year' END, CASE WHEN twice THEN 'unique_component' END, CASE WHEN cases THEN 'one_case' END) AS reasons FROM m""",
+)
+def cl6_components(spark, sf):
+    c, year = F.col("company"), F.col("period_year")
+    code = F.lpad(c.cast("string"), 6, "0")
+    rows = view(spark, sf, "bridge").select(
+        F.when((c % 13 == 2) & (year == 1996), c * 10000 + 1997).otherwise(c * 10000 + year).alias("case_id"), "company", code.alias("company_code"), F.when((c % 11 == 3) & F.col("component").startswith("R"), "other").otherwise(F.concat(F.lit("C"), c.cast("string"))).alias("company_name"),
+        F.concat(code, F.when(c % 9 == 5, ".NY").otherwise(".sh")).alias("canonical_code"), "period_year", (year - 1).alias("comparison_year"), F.lit("report").alias("report_title"), F.lit("https://www.sse.com.cn/a.pdf").alias("source_url"), F.when(c % 6 == 2, 0).otherwise(7).alias("source_page"),
+        F.col("component").alias("component_code"), F.col("component").alias("component_label"), F.col("value").alias("current_value"), F.lit(0.0).alias("comparison_value"), F.lit("A").alias("evidence_grade"), F.lit("verified").alias("verification_status"),
+    )
+    return fundamentals.validate_components(rows).select("case_id", "component_code", "company", "period_year", F.concat_ws(",", "reject_reasons").alias("reasons"))
+
+
+@R.query("cl6_coverage", """WITH f AS (SELECT DISTINCT company, period_year FROM {vintages} WHERE accounting_basis = 'original'), g AS (SELECT s_suppkey AS company, y.y AS period_year FROM supplier, (VALUES (1996), (1997), (1998)) AS y(y) WHERE s_suppkey % 4 <> 3)
+SELECT company, period_year, 'missing' AS status FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.company = g.company AND f.period_year = g.period_year) UNION ALL SELECT company, period_year, 'unexpected' FROM f WHERE NOT EXISTS (SELECT 1 FROM g WHERE f.company = g.company AND f.period_year = g.period_year)""")
+def cl6_coverage(spark, sf):
+    facts = view(spark, sf, "vintages").where("accounting_basis = 'original'")
+    expected = view(spark, sf, "peers").where("company % 4 <> 3").select("company", F.explode(F.array(*map(F.lit, (1996, 1997, 1998)))).alias("period_year"))
+    return constraints.coverage(facts, expected, ["company", "period_year"])
+
+
 @R.query("cl6_expected_grid", """WITH f AS (SELECT company, period_year, count(*) AS n, count(*) FILTER (NOT net_profit > 0) AS bad FROM {vintages} WHERE accounting_basis = 'original' GROUP BY company, period_year), g AS (SELECT s_suppkey AS company, y.y AS period_year FROM supplier, (VALUES (1996), (1997), (1998)) AS y(y) WHERE s_suppkey % 4 <> 3)
 SELECT coalesce(f.company, g.company) AS company, coalesce(f.period_year, g.period_year)::INTEGER AS period_year, CASE WHEN n IS NULL THEN 'missing' WHEN g.company IS NULL THEN 'unexpected' WHEN n > 1 THEN 'repeated' WHEN bad > 0 THEN 'bad_amount' ELSE 'ok' END AS status FROM f FULL JOIN g ON f.company = g.company AND f.period_year = g.period_year""")
 def cl6(spark, sf):
@@ -367,10 +444,24 @@ def j9(spark, sf):
     return fundamentals.pending_reports(rows, rows.where("company % 2 = 0 and report_year < 1998"), ["company", "report_year"])
 
 
-@R.query("ag9_audit_catalogue", f"""WITH {CATALOGUE}, f AS (SELECT company, list_sort(list(DISTINCT period_year)) AS years, count(*) AS vintages FROM {{vintages}} GROUP BY company)
-SELECT c.company, start_year, end_year, coalesce(vintages, 0) AS vintages, coalesce(len(years), 0)::INTEGER AS periods, coalesce(years = range(start_year, end_year + 1), false) AS complete FROM cat c LEFT JOIN f ON c.company = f.company""")
+AUDITED = f"""{CATALOGUE}, f AS (SELECT company, list_sort(list(DISTINCT period_year)) AS years, count(*) AS vintages, list_sort(list(DISTINCT CASE WHEN company % 18 = 4 AND accounting_basis = 'restated' THEN 'new' WHEN company % 14 = 9 THEN 'other' ELSE 'C' || company END)) AS names FROM {{vintages}} GROUP BY company),
+aud AS (SELECT c.company, start_year, end_year, verified_periods, coalesce(vintages, 0) AS vintages, coalesce(len(years), 0)::INTEGER AS periods, coalesce(years = range(start_year, end_year + 1), false) AS complete, coalesce(names = [company_name], false) AS names_ok FROM cat c LEFT JOIN f ON c.company = f.company)"""
+
+
+def audited(spark, sf):
+    c = F.col("company")
+    name = F.when((c % 18 == 4) & (F.col("accounting_basis") == "restated"), "new").when(c % 14 == 9, "other").otherwise(F.concat(F.lit("C"), c.cast("string")))
+    return fundamentals.audit_catalogue(catalogue(spark, sf), view(spark, sf, "vintages").withColumn("company_name", name))
+
+
+@R.query("ag9_audit_catalogue", f"WITH {AUDITED} SELECT *, complete AND names_ok AS passed FROM aud")
 def ag9(spark, sf):
-    return fundamentals.audit_catalogue(catalogue(spark, sf), view(spark, sf, "vintages"))
+    return audited(spark, sf)
+
+
+@R.query("ag9_totals", f"WITH {AUDITED} SELECT count(*) AS companies, sum(verified_periods)::BIGINT AS declared_periods, sum(vintages)::BIGINT AS vintages, count(*) FILTER (NOT (complete AND names_ok)) AS failed, bool_and(complete AND names_ok) AS all_passed FROM aud")
+def ag9_totals(spark, sf):
+    return fundamentals.catalogue_totals(audited(spark, sf))
 
 
 @R.query("cl12_currency_units", "SELECT company, report_year, revenue * CASE WHEN company % 10 = 2 AND report_year = 1997 THEN 1000 ELSE 1 END AS revenue_yuan, company % 10 = 9 AS unknown_unit FROM {vintages} WHERE accounting_basis = 'original' AND company % 10 <> 9 UNION ALL SELECT company, report_year, NULL, true FROM {vintages} WHERE accounting_basis = 'original' AND company % 10 = 9")
