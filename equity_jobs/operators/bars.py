@@ -23,12 +23,17 @@ def newest_first() -> WindowSpec:
     return Window.partitionBy("instrument_id").orderBy(F.desc("trade_date"))
 
 
-def validate_bars(raw: DataFrame) -> DataFrame:
-    """CL1: numbers that are none become null; consistent, positive bars stay; of a date the last one to arrive."""
+def marked_bars(raw: DataFrame) -> DataFrame:
+    """Numbers that are none become null; sound tells consistent, positive and dated bars."""
     cast = {c: finite(F.col(c)) for c in ("open", "high", "low", "close", "volume", "amount", "pct_change", "turnover")}
     sound = (F.col("high") >= F.greatest("open", "close")) & (F.col("low") <= F.least("open", "close")) & (F.least("open", "high", "low", "close") > 0) & (F.col("volume") >= 0)
     complete = F.col("open").isNotNull() & F.col("high").isNotNull() & F.col("low").isNotNull() & F.col("close").isNotNull() & F.col("trade_date").isNotNull()
-    return keep_one(raw.withColumns(cast).where(complete & sound), KEY, [F.desc("ingest_seq")]).drop("ingest_seq")
+    return raw.withColumns(cast).withColumn("sound", F.coalesce(complete & sound, F.lit(False)))
+
+
+def validate_bars(raw: DataFrame) -> DataFrame:
+    """CL1: numbers that are none become null; consistent, positive bars stay; of a date the last one to arrive."""
+    return keep_one(marked_bars(raw).where("sound").drop("sound"), KEY, [F.desc("ingest_seq")]).drop("ingest_seq")
 
 
 def ordinary_turnover(shares: DataFrame) -> DataFrame:

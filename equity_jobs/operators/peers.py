@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from equity_jobs.functions.rules import finite
+
 
 def common_periods(members: DataFrame, points: DataFrame) -> DataFrame:
     """Periods that every member of a group of two or more has, and which is the latest."""
@@ -36,16 +38,42 @@ def peer_scope(selections: DataFrame, profiles: DataFrame) -> DataFrame:
     return rows.agg(F.countDistinct("peer_group").alias("groups"), F.sort_array(F.collect_set("peer_group")).alias("group_names")).withColumn("same_group", F.col("groups") == 1)
 
 
-def enrich(points: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Points with audited facts of equal company, year and name; and what does not fit, with the reason.
+IDENTITY = ["company_name", "published_date", "report_title", "source_url"]
+
+
+def reconcile_facts(points: DataFrame, facts: DataFrame) -> DataFrame:
+    """Points and facts of a company and period side by side, with differs: every identity field on which they do not agree, and both values.
+
+    points and facts have company, period_year and the identity fields; _point and _fact
+    tell which side is there. Nulls agree with nulls alone.
+    """
+    right = facts.select("company", "period_year", *(F.col(c).alias(f"_{c}") for c in IDENTITY), *(c for c in facts.columns if c not in ("company", "period_year", *IDENTITY)), F.lit(True).alias("_fact"))
+    joined = points.withColumn("_point", F.lit(True)).join(right, ["company", "period_year"], "full_outer")
+    both = F.col("_point") & F.col("_fact")
+    pair = lambda c: F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("point_value"), F.col(f"_{c}").cast("string").alias("fact_value"))
+    return joined.withColumn("differs", F.array_compact(F.array(*(F.when(both & ~F.col(c).eqNullSafe(F.col(f"_{c}")), pair(c)) for c in IDENTITY))))
+
+
+def enrich(points: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points with the ratios of audited facts that agree with them; what does not fit, with the reason; and a ledger with one row a differing field.
 
-    facts: company, period_year, company_name, cost, inventory, prior_inventory.
+    facts: company, period_year, the identity fields, cost, inventory, prior_inventory,
+    contract_liabilities, prior_contract_liabilities. Ratios rest on positive amounts and a cost below revenue.
     """
-    joined = points.join(facts.withColumnRenamed("company_name", "_name"), ["company", "period_year"], "full_outer")
-    reason = F.when(F.col("_name").isNull(), "no_facts").when(F.col("company_name").isNull(), "no_point").when(F.col("company_name") != F.col("_name"), "name").when(~(F.col("cost") < F.col("revenue")), "cost")
-    marked = joined.withColumn("reason", reason)
-    ratios = {"gross_margin": 1 - F.try_divide("cost", "revenue"), "inventory_to_assets": F.try_divide("inventory", "total_assets"), "inventory_growth": F.try_divide(F.col("inventory") - F.col("prior_inventory"), F.col("prior_inventory")), "cash_conversion": F.try_divide("operating_cash_flow", "net_profit")}
-    return marked.where("reason is null").withColumns(ratios).drop("_name", "reason"), marked.where("reason is not null").select("company", "period_year", "reason")
+    rows = reconcile_facts(points, facts)
+    amounts = ["revenue", "net_profit", "operating_cash_flow", "total_assets", "cost", "inventory", "prior_inventory", "contract_liabilities", "prior_contract_liabilities"]
+    sound = F.lit(True)
+    for c in amounts:
+        sound &= F.coalesce(finite(F.col(c)) > 0, F.lit(False))
+    reason = F.when(F.col("_fact").isNull(), "no_facts").when(F.col("_point").isNull(), "no_point").when(F.size("differs") > 0, "identity").when(~sound, "amounts").when(~(F.col("cost") < F.col("revenue")), "cost")
+    marked = rows.withColumn("reason", reason)
+    change = lambda now, before: F.col(now) / F.col(before) - 1
+    ratios = {
+        "gross_margin": (F.col("revenue") - F.col("cost")) / F.col("revenue"), "inventory_to_assets": F.col("inventory") / F.col("total_assets"), "inventory_growth": change("inventory", "prior_inventory"), "contract_liabilities_to_revenue": F.col("contract_liabilities") / F.col("revenue"),
+        "contract_liabilities_growth": change("contract_liabilities", "prior_contract_liabilities"), "cash_conversion": F.col("operating_cash_flow") / F.col("net_profit"),
+    }
+    good = marked.where("reason is null").withColumns(ratios).drop("reason", "differs", "_point", "_fact", *(f"_{c}" for c in IDENTITY))
+    return good, marked.where("reason is not null").select("company", "period_year", "reason"), rows.select("company", "period_year", F.inline("differs"))
 
 
 def audit_identities(first: DataFrame, second: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:

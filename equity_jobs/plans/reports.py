@@ -508,12 +508,30 @@ def io4(spark, sf):
     return landed.parse_disclosures(payloads)
 
 
-@R.query("io5_merge_sources", "SELECT instrument_id, trade_date, CASE WHEN instrument_id % 3 = 0 THEN 'fallback' ELSE 'primary' END AS source, CASE WHEN instrument_id % 3 = 0 THEN close ELSE close + 1 END AS close FROM {bars} WHERE instrument_id % 3 = 0 OR trade_date >= DATE '1998-01-01'")
-def io5(spark, sf):
+# The primary source comes in two chunks that share half a year; some instruments' are all unsound, others' missing.
+SOURCES = """b0 AS (SELECT *, instrument_id % 3 = 0 OR instrument_id % 5 = 1 OR max(trade_date) OVER (PARTITION BY instrument_id) < DATE '1998-01-01' AS lost FROM {bars}), pri AS (SELECT instrument_id, trade_date, 1 AS chunk, 2 AS copies FROM {bars} WHERE instrument_id % 3 <> 0 AND trade_date BETWEEN DATE '1998-01-01' AND DATE '1999-12-31'
+  UNION ALL SELECT instrument_id, trade_date, 2, 1 FROM {bars} WHERE instrument_id % 3 <> 0 AND trade_date >= DATE '1999-07-01')"""
+
+
+def two_sources(spark, sf):
     rows = view(spark, sf, "bars").withColumn("ingest_seq", F.lit(1))
-    primary = rows.where("instrument_id % 3 <> 0 and trade_date >= date'1998-01-01'").withColumn("close", F.col("close") + 1)
-    late = primary.withColumns({"ingest_seq": F.lit(0), "close": F.lit(0.0)})
-    return landed.merge_sources(primary.unionByName(late), rows).select("instrument_id", "trade_date", "source", "close")
+    own = rows.where("instrument_id % 3 <> 0").withColumn("high", F.when(F.col("instrument_id") % 5 == 1, F.col("low") - 1).otherwise(F.col("high")))
+    first = own.where("trade_date between date'1998-01-01' and date'1999-12-31'").withColumns({"chunk": F.lit(1), "volume": F.col("volume") + 1})
+    second = own.where("trade_date >= date'1999-07-01'").withColumns({"chunk": F.lit(2), "volume": F.col("volume") + 2})
+    late = first.withColumns({"ingest_seq": F.lit(2), "close": F.lit(0.0)})  # arrives last and is unsound
+    return first.unionByName(second).unionByName(late), rows
+
+
+@R.query("io5_merge_sources", f"""WITH {SOURCES} SELECT instrument_id, trade_date, CASE WHEN lost THEN 'fallback' ELSE 'primary' END AS source, close, volume + CASE WHEN lost THEN 0 WHEN trade_date >= DATE '1999-07-01' THEN 2 ELSE 1 END AS volume FROM b0 WHERE lost OR trade_date >= DATE '1998-01-01'""")
+def io5(spark, sf):
+    return landed.merge_sources(*two_sources(spark, sf)).select("instrument_id", "trade_date", "source", "close", "volume")
+
+
+@R.query("io5_source_coverage", f"""WITH {SOURCES}, l AS (SELECT DISTINCT instrument_id, lost FROM b0), p AS (SELECT p.instrument_id, 'primary' AS source, chunk, sum(copies)::BIGINT AS rows, instrument_id % 5 <> 1 AS good, count(*) AS n, min(trade_date) AS lo, max(trade_date) AS hi, count(*) FILTER (chunk = 2 AND trade_date <= DATE '1999-12-31') AS again FROM pri p GROUP BY p.instrument_id, chunk)
+SELECT p.instrument_id, source, chunk, rows, CASE WHEN good THEN n ELSE 0 END AS sound, CASE WHEN good THEN lo END AS first_date, CASE WHEN good THEN hi END AS last_date, CASE WHEN good THEN n ELSE 0 END AS dates, CASE WHEN good THEN again ELSE 0 END AS overlap, NOT lost AS elected FROM p JOIN l USING (instrument_id)
+UNION ALL SELECT instrument_id, 'fallback', 0, count(*), count(*), min(trade_date), max(trade_date), count(*), 0, lost FROM b0 GROUP BY instrument_id, lost""")
+def io5_coverage(spark, sf):
+    return landed.source_coverage(*two_sources(spark, sf))
 
 
 @R.query("io6_audit_packages", """WITH p AS (SELECT company, period_year, report_year, chr(123) || '"accounting_basis":"' || accounting_basis || '","company":' || company || ',"notes":null,"period_year":' || period_year || ',"report_year":' || report_year || chr(125) AS payload FROM {vintages}) SELECT company, period_year, report_year, payload, sha256(payload) AS sha256 FROM p""")

@@ -502,32 +502,44 @@ def ag8_scope(spark, sf):
     return peers.peer_scope(rows.select(F.col("scope").alias("selection"), "company"), rows).withColumn("group_names", F.concat_ws(",", "group_names"))
 
 
-FACTS = "fct AS (SELECT v.company, v.period_year, CASE WHEN v.company % 9 = 4 THEN 'other' ELSE s_name END AS company_name, revenue * CASE WHEN v.company % 7 = 3 THEN 1.5e0 ELSE 0.5e0 END AS cost, revenue / 8 AS inventory, revenue / 10 AS prior_inventory FROM {vintages} v JOIN supplier ON v.company = s_suppkey WHERE accounting_basis = 'original' AND v.company % 5 <> 2)"
+FACTS = """fct AS (SELECT v.company, v.period_year, CASE WHEN v.company % 9 = 4 THEN 'other' ELSE s_name END AS company_name, CASE WHEN v.company % 8 = 1 THEN published_date + 1 ELSE published_date END AS published_date, CASE WHEN v.company % 12 = 5 THEN NULL ELSE v.report_year || '年年度报告' END AS report_title,
+  CASE WHEN v.company % 11 = 6 THEN 'https://www.sse.com.cn/b' ELSE 'https://www.sse.com.cn/a' END AS source_url, revenue * CASE WHEN v.company % 7 = 3 THEN 1.5e0 ELSE 0.5e0 END AS cost, revenue / 8 AS inventory, revenue / 10 AS prior_inventory, revenue / 4 AS contract_liabilities, revenue / CASE WHEN v.company % 13 = 7 THEN -5 ELSE 5 END AS prior_contract_liabilities FROM {vintages} v JOIN supplier ON v.company = s_suppkey WHERE accounting_basis = 'original' AND v.company % 5 <> 2)"""
 
 
 def enriched(spark, sf):
     names = view(spark, sf, "peers").select("company", "company_name")
-    c = F.col("company")
+    c, r, title = F.col("company"), F.col("revenue"), F.concat(F.col("report_year").cast("string"), F.lit("年年度报告"))
     facts = view(spark, sf, "vintages").where("accounting_basis = 'original' and company % 5 <> 2").join(names, "company").select(
-        "company", "period_year", F.when(c % 9 == 4, "other").otherwise(F.col("company_name")).alias("company_name"), (F.col("revenue") * F.when(c % 7 == 3, 1.5).otherwise(0.5)).alias("cost"), (F.col("revenue") / 8).alias("inventory"), (F.col("revenue") / 10).alias("prior_inventory"),
+        "company", "period_year", F.when(c % 9 == 4, "other").otherwise(F.col("company_name")).alias("company_name"), F.when(c % 8 == 1, F.date_add("published_date", 1)).otherwise(F.col("published_date")).alias("published_date"), F.when(c % 12 != 5, title).alias("report_title"),
+        F.when(c % 11 == 6, "https://www.sse.com.cn/b").otherwise("https://www.sse.com.cn/a").alias("source_url"), (r * F.when(c % 7 == 3, 1.5).otherwise(0.5)).alias("cost"), (r / 8).alias("inventory"), (r / 10).alias("prior_inventory"), (r / 4).alias("contract_liabilities"), (r / F.when(c % 13 == 7, -5).otherwise(5)).alias("prior_contract_liabilities"),
     )
-    return peers.enrich(latest_points(spark, sf).join(names, "company"), facts)
+    points_ = latest_points(spark, sf).join(names, "company").withColumns({"report_title": title, "source_url": F.lit("https://www.sse.com.cn/a")})
+    return peers.enrich(points_, facts)
 
 
-JOINED = f"{POINTS}, {FACTS}, pn AS (SELECT p.*, s_name AS company_name FROM pts p JOIN supplier ON p.company = s_suppkey WHERE as_of = DATE '2002-12-31')"
+JOINED = f"""{POINTS}, {FACTS}, pn AS (SELECT p.*, s_name AS company_name, p.report_year || '年年度报告' AS report_title, 'https://www.sse.com.cn/a' AS source_url FROM pts p JOIN supplier ON p.company = s_suppkey WHERE as_of = DATE '2002-12-31'),
+jn AS (SELECT coalesce(p.company, f.company) AS company, coalesce(p.period_year, f.period_year)::INTEGER AS period_year, p.company IS NOT NULL AS here, f.company IS NOT NULL AS there, p.* EXCLUDE (company, period_year), f.company_name AS f_name, f.published_date AS f_date, f.report_title AS f_title, f.source_url AS f_url, cost, inventory, prior_inventory, contract_liabilities, prior_contract_liabilities FROM pn p FULL JOIN fct f ON p.company = f.company AND p.period_year = f.period_year),
+df AS (SELECT *, here AND there AS paired, list_filter([CASE WHEN company_name IS DISTINCT FROM f_name THEN {{'f': 'company_name', 'a': company_name, 'b': f_name}} END, CASE WHEN published_date IS DISTINCT FROM f_date THEN {{'f': 'published_date', 'a': published_date::VARCHAR, 'b': f_date::DATE::VARCHAR}} END, CASE WHEN report_title IS DISTINCT FROM f_title THEN {{'f': 'report_title', 'a': report_title, 'b': f_title}} END,
+  CASE WHEN source_url IS DISTINCT FROM f_url THEN {{'f': 'source_url', 'a': source_url, 'b': f_url}} END], lambda x: x IS NOT NULL) AS diffs FROM jn),
+rs AS (SELECT *, CASE WHEN NOT there THEN 'no_facts' WHEN NOT here THEN 'no_point' WHEN len(diffs) > 0 THEN 'identity' WHEN NOT coalesce(revenue > 0 AND net_profit > 0 AND operating_cash_flow > 0 AND total_assets > 0 AND cost > 0 AND inventory > 0 AND prior_inventory > 0 AND contract_liabilities > 0 AND prior_contract_liabilities > 0, false) THEN 'amounts' WHEN NOT cost < revenue THEN 'cost' END AS reason FROM df)""".replace("{{", "{").replace("}}", "}")
+RATIOS = ["gross_margin", "inventory_to_assets", "inventory_growth", "contract_liabilities_to_revenue", "contract_liabilities_growth", "cash_conversion"]
 
 
-@R.query("j7_peer_enrichment", f"WITH {JOINED} SELECT p.company, p.period_year::INTEGER AS period_year, round(1 - cost / revenue, 6) AS gross_margin, round(inventory / total_assets, 6) AS inventory_to_assets, round((inventory - prior_inventory) / prior_inventory, 6) AS inventory_growth FROM pn p JOIN fct f ON p.company = f.company AND p.period_year = f.period_year WHERE p.company_name = f.company_name AND cost < revenue")
+@R.query("j7_peer_enrichment", f"WITH {JOINED} SELECT company, period_year, round((revenue - cost) / revenue, 6) AS gross_margin, round(inventory / total_assets, 6) AS inventory_to_assets, round(inventory / prior_inventory - 1, 6) AS inventory_growth, round(contract_liabilities / revenue, 6) AS contract_liabilities_to_revenue, round(contract_liabilities / prior_contract_liabilities - 1, 6) AS contract_liabilities_growth, round(operating_cash_flow / net_profit, 6) AS cash_conversion FROM rs WHERE reason IS NULL")
 def j7(spark, sf):
-    return enriched(spark, sf)[0].select("company", "period_year", *six("gross_margin", "inventory_to_assets", "inventory_growth"))
+    return enriched(spark, sf)[0].select("company", "period_year", *six(*RATIOS))
 
 
-@R.query("j7_peer_mismatches", f"""WITH {JOINED}, j AS (SELECT coalesce(p.company, f.company) AS company, coalesce(p.period_year, f.period_year)::INTEGER AS period_year, CASE WHEN f.company IS NULL THEN 'no_facts' WHEN p.company IS NULL THEN 'no_point' WHEN p.company_name <> f.company_name THEN 'name' WHEN NOT cost < revenue THEN 'cost' END AS reason
-FROM pn p FULL JOIN fct f ON p.company = f.company AND p.period_year = f.period_year) SELECT * FROM j WHERE reason IS NOT NULL""")
+@R.query("j7_peer_mismatches", f"WITH {JOINED} SELECT company, period_year, reason FROM rs WHERE reason IS NOT NULL")
 def j7_mismatch(spark, sf):
     return enriched(spark, sf)[1]
 
 
+@R.query("j7_field_ledger", f"WITH {JOINED}, u AS (SELECT company, period_year, unnest(diffs) AS x FROM df WHERE paired) SELECT company, period_year, x.f AS field, x.a AS point_value, x.b AS fact_value FROM u")
+def j7_ledger(spark, sf):
+    return enriched(spark, sf)[2]
+
+
 @R.query("j10_identity_audit", f"""WITH {CATALOGUE}, i AS (SELECT instrument_id AS company, code AS code2, CASE WHEN instrument_id % 3 = 0 THEN 'SH' WHEN instrument_id % 7 IN (0, 3) THEN 'SH' WHEN instrument_id % 7 = 4 THEN 'BJ' ELSE 'SZ' END AS exchange2 FROM {{identity}} WHERE instrument_id % 10 <> 5 UNION ALL SELECT 1000000, '600001', 'SH')
 SELECT coalesce(c.company, i.company) AS company, CASE WHEN i.company IS NULL THEN 'missing' WHEN c.company IS NULL THEN 'extra' WHEN code <> code2 AND exchange <> exchange2 THEN 'mismatch:code+exchange' WHEN code <> code2 THEN 'mismatch:code' WHEN exchange <> exchange2 THEN 'mismatch:exchange' ELSE 'ok' END AS status FROM cat c FULL JOIN i ON c.company = i.company""")
 def j10(spark, sf):

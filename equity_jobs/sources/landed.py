@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from equity_jobs.functions.rules import keep_one
+from equity_jobs.operators.bars import marked_bars
+
 # Localised headers and their canonical names.
 BAR_ALIASES = {"日期": "trade_date", "开盘": "open", "收盘": "close", "最高": "high", "最低": "low", "成交量": "volume", "成交额": "amount", "涨跌幅": "pct_change", "换手率": "turnover"}
 DIRECTORY_ALIASES = {"代码": "code", "股票代码": "code", "证券代码": "code", "名称": "name", "股票简称": "name", "证券简称": "name"}
@@ -61,10 +66,35 @@ def parse_disclosures(payloads: DataFrame) -> DataFrame:
     return rows.select("instrument_id", F.col("announcementId").try_cast("bigint").alias("announcement_id"), F.col("announcementTitle").alias("title"), day.alias("published_date"), url.alias("url"))
 
 
+def _sources(named: dict[str, DataFrame]) -> DataFrame:
+    """All rows with source, its rank, chunk (0 where there is none) and whether they are sound."""
+    parts = [(rows if "chunk" in rows.columns else rows.withColumn("chunk", F.lit(0))).withColumns({"source": F.lit(name), "_rank": F.lit(i)}) for i, (name, rows) in enumerate(named.items())]
+    return marked_bars(reduce(DataFrame.unionByName, parts))
+
+
+def _elected(marked: DataFrame) -> DataFrame:
+    """The first source of each instrument that has a sound row."""
+    return marked.where("sound").groupBy("instrument_id").agg(F.min("_rank").alias("_rank"))
+
+
 def merge_sources(primary: DataFrame, fallback: DataFrame) -> DataFrame:
-    """IO5: of each instrument the rows of the first source that has any, with its name; dates stay unique by arrival."""
-    both = primary.withColumns({"source": F.lit("primary"), "_rank": F.lit(0)}).unionByName(fallback.withColumns({"source": F.lit("fallback"), "_rank": F.lit(1)}))
-    best = F.min("_rank").over(Window.partitionBy("instrument_id"))
-    rows = both.withColumn("_best", best).where("_rank = _best")
-    order = Window.partitionBy("instrument_id", "trade_date").orderBy(F.desc("ingest_seq"))
-    return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_rank", "_best", "_n")
+    """IO5: of each instrument the sound rows of the first source that has any, with its name.
+
+    Rows are validated before the source is chosen, so a primary of unsound rows loses.
+    Of a date that chunks of one source share the later chunk counts, then the later row.
+    """
+    marked = _sources({"primary": primary, "fallback": fallback})
+    rows = marked.where("sound").join(_elected(marked), ["instrument_id", "_rank"])
+    return keep_one(rows, ["instrument_id", "trade_date"], [F.desc("chunk"), F.desc("ingest_seq")]).drop("_rank", "sound")
+
+
+def source_coverage(primary: DataFrame, fallback: DataFrame) -> DataFrame:
+    """IO5's evidence: of each instrument, source and chunk how many rows came, how many are sound, the sound dates, how many of them an earlier chunk has too, and whether the source was elected."""
+    marked = _sources({"primary": primary, "fallback": fallback})
+    keys = ["instrument_id", "_rank", "source", "chunk"]
+    dates = marked.where("sound").groupBy(*keys, "trade_date").agg(F.count("*").alias("n"))
+    again = F.min("chunk").over(Window.partitionBy("instrument_id", "_rank", "trade_date")) < F.col("chunk")
+    sound = dates.withColumn("_again", again).groupBy(*keys).agg(F.sum("n").alias("sound"), F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"), F.count("*").alias("dates"), F.count_if("_again").alias("overlap"))
+    rows = marked.groupBy(*keys).agg(F.count("*").alias("rows")).join(sound, keys, "left").join(_elected(marked).withColumn("_won", F.lit(True)), ["instrument_id", "_rank"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("instrument_id", "source", "chunk", "rows", zero("sound"), "first_date", "last_date", zero("dates"), zero("overlap"), F.coalesce("_won", F.lit(False)).alias("elected"))
