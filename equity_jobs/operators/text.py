@@ -219,7 +219,7 @@ def lexical_scores(passages: DataFrame, terms: DataFrame, questions: DataFrame,
     """
     han = F.col("term").rlike(f"[{HAN}]")
     asked = terms.where(~han).select("term").distinct()
-    counts = passages.select(*keys, F.explode(F.transform(words(F.col("text")), stem)).alias("term")).join(asked, "term", "left_semi").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    counts = passages.select(*keys, F.explode(words(F.col("text"))).alias("_word")).select(*keys, stem(F.col("_word")).alias("term")).join(asked, "term", "left_semi").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     counts = counts.unionByName(substring_counts(passages, terms, keys))
     total = F.sum("weight").over(Window.partitionBy("query_id"))
     weighted = terms.withColumn("total", total)
@@ -278,17 +278,21 @@ LIMITS = {"deep_investigation": (10, 5, 3), "skeptical_analysis": (6, 3, 2), "de
 
 def route(text: Column, deep: list[str] | None = None, sceptical: list[str] | None = None, metrics: dict[str, list[str]] | None = None, change: list[str] | None = None) -> dict[str, Column]:
     """TX6: mode, trigger, tool and limits of a question: the first trigger of the first list that has one."""
-    plain = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
     tools = {t: name for name, ts in (metrics or METRICS).items() for t in ts}
     lists = [("deep_investigation", deep or DEEP), ("skeptical_analysis", sceptical or SCEPTICAL), ("deterministic_metric", list(tools)), ("change_analysis", change or CHANGE)]
-    mode, trigger, tool = F.lit("quick_evidence"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, phrases in reversed(lists):
-        for phrase in reversed(phrases):
-            hit = F.contains(plain, F.lit(phrase))
-            mode, trigger = F.when(hit, name).otherwise(mode), F.when(hit, phrase).otherwise(trigger)
-            tool = F.when(hit, F.lit(tools[phrase] if name == "deterministic_metric" else None).cast("string")).otherwise(tool)
-    limit = lambda i: F.coalesce(*(F.when(mode == m, v[i]) for m, v in LIMITS.items()))
-    return {"mode": mode, "trigger": trigger, "tool": tool, "top_k": limit(0), "max_evidence": limit(1), "max_challenges": limit(2)}
+    names = ("mode", "trigger", "tool", "top_k", "max_evidence", "max_challenges")
+    null = F.lit(None).cast("string")
+
+    def entry(mode: str, phrase: str | None) -> Column:
+        tool = tools.get(phrase) if mode == "deterministic_metric" else None
+        values = [F.lit(mode), null if phrase is None else F.lit(phrase), null if tool is None else F.lit(tool), *map(F.lit, LIMITS[mode])]
+        return F.struct(*(v.alias(n) for n, v in zip(names, values, strict=True)))
+
+    listed = F.array(*(entry(mode, phrase) for mode, phrases in lists for phrase in phrases))
+    # an array of one, so that the question is made plain once and not for each phrase
+    plain = F.array(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")))
+    found = F.get(F.transform(plain, lambda p: F.coalesce(F.get(F.filter(listed, lambda t: F.contains(p, t["trigger"])), 0), entry("quick_evidence", None))), 0)
+    return {n: found[n] for n in names}
 
 
 def sentences(text: Column) -> Column:

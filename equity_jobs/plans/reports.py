@@ -38,16 +38,16 @@ def terms(spark, sf):
     return text.query_terms(questions(spark, sf), STOP, LEXICON, CONCEPTS)
 
 
-def in_chinese(column):
+def in_chinese(column, phrases=None):
     body = F.concat(F.lit(" "), column, F.lit(" "))
-    for word, phrase in CHINESE:
+    for word, phrase in phrases or CHINESE:
         body = F.replace(body, F.lit(word), F.lit(phrase))
     return body
 
 
-def in_chinese_sql(column):
+def in_chinese_sql(column, phrases=None):
     body = f"' ' || {column} || ' '"
-    for word, phrase in CHINESE:
+    for word, phrase in phrases or CHINESE:
         body = f"replace({body}, '{word}', '{phrase}')"
     return body
 
@@ -173,6 +173,25 @@ def tx6(spark, sf):
     return asked.withColumns(text.route(F.col("text"), **triggers())).select("conv_id", "turn", "mode", "trigger", "tool", "top_k", "max_evidence", "max_challenges")
 
 
+# What makes questions of user turns: words that become phrases of the router's own lists, and words that are none of them.
+ASKED = [
+    (" with ", " guidance "), (" mit ", "跨年度"), (" por ", " compare years "), (" that ", " what  drove "), (" für ", "为什么"), (" una ", " Quality "), (" are ", " net margin "), (" von ", "资产负债率"), (" los ", " revenue growth "), (" dans ", "流动比率"),
+    (" this ", " increase "), (" sur ", "变化"), (" del ", " total liabilities "),
+]
+OWN = [(t, "deep_investigation", None) for t in text.DEEP] + [(t, "skeptical_analysis", None) for t in text.SCEPTICAL] + [(t, "deterministic_metric", m) for m, ts in text.METRICS.items() for t in ts] + [(t, "change_analysis", None) for t in text.CHANGE]
+_case = lambda pick: "CASE " + " ".join(f"WHEN contains(p, '{t}') THEN {pick(t, m, o)}" for t, m, o in OWN)
+
+
+@R.query(
+    "tx6_own_triggers",
+    f"""WITH q AS (SELECT conv_id, turn, trim(regexp_replace(lower({in_chinese_sql('text', ASKED)}), '\\s+', ' ', 'g')) AS p FROM conversations WHERE role = 'user'), r AS (SELECT conv_id, turn, {_case(lambda t, m, o: f"'{m}'")} ELSE 'quick_evidence' END AS mode, {_case(lambda t, m, o: f"'{t}'")} END AS trigger, {_case(lambda t, m, o: 'NULL' if o is None else f"'{o}'")} END AS tool FROM q)
+    SELECT conv_id, turn, mode, trigger, tool, {LIMIT(0)} AS top_k, {LIMIT(1)} AS max_evidence, {LIMIT(2)} AS max_challenges FROM r""",
+)
+def tx6_own(spark, sf):
+    asked = table(spark, sf, "conversations").where("role = 'user'").withColumn("text", in_chinese(F.col("text"), ASKED))
+    return asked.withColumns(text.route(F.col("text"))).select("conv_id", "turn", "mode", "trigger", "tool", "top_k", "max_evidence", "max_challenges")
+
+
 SENTENCES = """string_split_regex(regexp_replace(replace(text, chr(160), ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+')"""
 EVIDENCE = f"""{HYBRID}, pg AS (SELECT r.*, d.text FROM res r JOIN documents d USING (doc_id)), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place)::INTEGER AS rank FROM pg),
 s0 AS (SELECT query_id, doc_id, place, rank, matched, semantic, unnest({SENTENCES}) AS raw, generate_subscripts({SENTENCES}, 1) AS i FROM ranked), s1 AS (SELECT *, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS s FROM s0), s2 AS (SELECT *, len(list_filter(matched, lambda t: contains(lower(s), t)))::INTEGER AS terms FROM s1 WHERE s <> ''),
@@ -324,7 +343,7 @@ def pages(spark, sf):
 
 
 def figures(spark, sf):
-    return statements.extract_statements(pages(spark, sf))
+    return statements.extract_statements(written(pages(spark, sf), "pages"))  # rendered once, read for titles and for texts
 
 
 # The figures as columns, and the checks worked out on them.
