@@ -30,7 +30,6 @@ BLOCK = 512  # symbols walked in a row before the states are handed on
 LANES = 8192  # blocks walked at once
 TOGETHER = 1 << 20  # symbols of texts whose blocks are walked together
 USUAL = 4000  # characters up to which labelled texts are learned first
-LETTER = re.compile(r"[^\W\d_]")
 BETWEEN = re.compile(r"[\W\d_]+")
 UNIFORM_BITS = 6.0  # what symbols drawn evenly from 64 would take
 CHANCE_BITS = 160.0  # what chance may add to a text, however short
@@ -205,7 +204,7 @@ def _counted(model: LanguageModel, coded: list[np.ndarray]) -> np.ndarray:
 
 def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float], list[float], list[int]]:
     """Language, score, bits per symbol and symbols of every text; "und", 0, infinity and 0 where nothing can be said."""
-    known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model.languages else []
+    known = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model.languages else []
     langs, scores, rates, lengths = ["und"] * len(texts), [0.0] * len(texts), [float("inf")] * len(texts), [0] * len(texts)
     if known:
         counts, sizes = phrases(model, [texts[i] for i in known])

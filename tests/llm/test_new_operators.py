@@ -284,3 +284,12 @@ def test_one_long_conversation(spark):
     assert edits.where("conv_id = 1").groupBy("edit").count().count() >= 2
     found = {r.conv_id: r for r in repair.summary(edits).collect()}
     assert found[1].illegal == 0 and found[1].cost == 6 and found[2].audit == "KI"
+
+
+def test_numeric_symbols_are_no_letters(spark):
+    from equity_jobs.llm import langid
+
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de")], "doc_id bigint, text string, lang string")
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(["½", "²³ ①", "12 _", "", None, "é", "½ Katze"])], "doc_id bigint, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(asked, langid.learn(docs)).collect()}
+    assert [got[i] for i in range(5)] == [("und", 0.0)] * 5 and "und" not in (got[5][0], got[6][0])
