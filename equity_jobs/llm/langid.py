@@ -10,8 +10,9 @@ symbols. The automata become one table state x symbol -> next state, in which a
 transition leads to where the new phrase begins and carries a flag, so that parsing is a
 table walk which numpy does for thousands of blocks of text and all languages at once.
 Blocks are first walked as if a phrase began with each; then those that the block before
-enters in another state are walked again from there, until both walks meet. The phrases
-are those of the whole text.
+enters in another state are walked again from there, until both walks meet. Repetitive
+text, in which they may never meet, is walked block after block; a block that comes again in
+the same state is looked up. The phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ BREAK = 0  # what is no letter
 BLOCK = 512  # symbols walked in a row before the states are handed on
 LANES = 8192  # blocks walked at once
 TOGETHER = 1 << 20  # symbols of texts whose blocks are walked together
+ROUNDS = 4  # rounds of walks from other states, before what is left is walked block after block
 USUAL = 4000  # characters up to which labelled texts are learned first
 BETWEEN = re.compile(r"[\W\d_]+")
 UNIFORM_BITS = 6.0  # what symbols drawn evenly from 64 would take
@@ -150,6 +152,25 @@ def _rewalk(model: LanguageModel, lanes: np.ndarray, first: np.ndarray, second:
     return more, end
 
 
+def _chained(model: LanguageModel, lanes: np.ndarray, entry: int, out: np.ndarray, entered: np.ndarray, total: np.ndarray) -> None:
+    """The blocks of one text walked in order from the entry state, as far as a block is entered in
+    another state than before; out, entered and total (the phrases that a block begins) are brought up to date."""
+    table, known = memoryview(model.table), {}
+    for b in range(len(lanes)):
+        if entered[b] != entry:
+            key = (lanes[b].tobytes(), entry)
+            if key not in known:
+                state, count = entry, 0
+                for symbol in lanes[b].tolist():
+                    state = table[state + symbol]
+                    count += state & 1
+                    state >>= 1
+                known[key] = (count, state)
+            entered[b] = entry
+            total[b], out[b] = known[key]
+        entry = int(out[b])
+
+
 def phrases(model: LanguageModel, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """By text and language the number of phrases of the whole text, and by text the number of symbols."""
     coded = [model.symbols[_letters(t)] for t in texts]
@@ -184,21 +205,29 @@ def _counted(model: LanguageModel, coded: list[np.ndarray]) -> np.ndarray:
     if not count:
         return total
     follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1  # blocks with one before them in their text
+    ends = np.cumsum(blocks)
     for k, (own, out) in enumerate(zip(np.concatenate(count, 1), np.concatenate(end, 1), strict=True)):
         own, out = own.astype(np.int64), out.astype(np.int64)
-        plain = out.copy()  # where the walk from a new phrase ends
-        more = np.zeros(len(own), np.int64)
+        plain, begun = out.copy(), own.copy()  # where the walk from a new phrase ends, and its phrases
         entered = np.full(len(own), model.roots[k], np.int64)
         todo = follows
-        while len(todo):  # more than once only where walks do not meet within a block
+        for _ in range(ROUNDS):  # more than once only where walks do not meet within a block
             todo = todo[out[todo - 1] != entered[todo]]
+            if not len(todo):
+                break
             entered[todo] = out[todo - 1]
-            more[todo], met = _rewalk(model, lanes[todo], np.full(len(todo), model.roots[k], np.int64), entered[todo])
+            more, met = _rewalk(model, lanes[todo], np.full(len(todo), model.roots[k], np.int64), entered[todo])
+            begun[todo] = own[todo] + more
             now = np.where(met < 0, plain[todo], met)
             changed = todo[now != out[todo]] + 1
             out[todo] = now
             todo = np.intersect1d(changed, follows)
-        total[:, k] = np.bincount(owner, own + more, len(coded)).astype(np.int64)
+        todo = todo[out[todo - 1] != entered[todo]]
+        texts, starts = np.unique(owner[todo], return_index=True)
+        for text, b in zip(texts.tolist(), todo[starts].tolist(), strict=True):
+            span = slice(b, ends[text])
+            _chained(model, lanes[span], int(out[b - 1]), out[span], entered[span], begun[span])
+        total[:, k] = np.bincount(owner, begun, len(coded)).astype(np.int64)
     return total
 
 
@@ -218,10 +247,12 @@ def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], l
     return langs, scores, rates, lengths
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 8) -> LanguageModel:
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 8, characters: int = 1 << 17) -> LanguageModel:
     """A model from a bounded sample of labelled rows: of each language at most docs_per_language
-    distinct texts, learned whole. Texts of USUAL characters come before longer ones, then
-    those whose hashes are lowest.
+    distinct texts, and of those together at most `characters`. Texts of USUAL characters come
+    before longer ones, then those whose hashes are lowest. The text at which a language has
+    its characters is learned up to there, those after it are not. A language takes some 160
+    bytes of table a character (21 MB at most), in the driver and in every task.
 
     Rows with a null text or language are left out; repeated rows count once; other
     columns are not read. No rows: a model of no languages.
@@ -234,9 +265,11 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
         return build({})
     wanted = rows.withColumn("mark", F.xxhash64("text")).where(F.col("mark").isin([m for _, m in chosen]))
     samples: dict[str, list[str]] = {}
-    for row in wanted.groupBy("lang", "mark").agg(F.min("text").alias("text")).orderBy("lang", "mark").collect():
+    one = F.min("text").alias("text")  # of a language and mark
+    for row in wanted.groupBy("lang", "mark").agg(one).select("lang", "mark", F.substring("text", 1, characters).alias("text")).orderBy("lang", "mark").collect():
         if (row.lang, row.mark) in chosen:
-            samples.setdefault(row.lang, []).append(row.text)
+            own = samples.setdefault(row.lang, [])
+            own.append(row.text[: characters - sum(map(len, own))])
     return build(samples)
 
 
@@ -255,7 +288,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     what texts of two known languages take (5 at most), so mixed texts stay.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # bounded by languages x docs_per_language texts
+    sent = spark.sparkContext.broadcast(model)  # bounded by languages x characters
     source = docs.select(*(docs[c] for c in docs.columns)) if keep else docs.select(docs[id_col].alias(id_col), docs[text_col].alias(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
