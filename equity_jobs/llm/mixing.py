@@ -4,15 +4,17 @@ A classifier trained on a labelled table predicts every document's domain poster
 two-way model a domain: this domain or one of those after it. A
 projected gradient then fits nonnegative document rates so that the expected tokens of
 each domain, sum(rate x tokens x posterior), meet the targets in the least squares sense,
-at rates as near 1 as that allows. At the optimum a rate is 1 less a combination of the
-document's posteriors, projected on 0 and above, so one number a domain describes all
-rates. Each step is one aggregate: the gradient (a sum a domain) and the curvature of the
-documents with a rate above 0 (domains x domains), which sets the step's length and
-direction; the rates themselves are an expression and are never gathered.
+at rates as near 1 as that allows, and none above a bound. At the optimum a rate is 1 less a
+combination of the document's posteriors, projected on 0 to the bound, so one number a domain
+describes all rates. Each step is one aggregate: the gradient (a sum a domain) and the curvature
+of the documents with a rate between 0 and the bound (domains x domains), which sets the step's
+length and direction; the rates themselves are an expression and are never gathered. What
+no rates within the bound can meet is given as the residual of each domain.
 """
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,29 +110,39 @@ def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int
     return Classifier(names, PipelineModel([*shaper.stages, *models]))
 
 
-def rate(posteriors: Column, prices: list[float]) -> Column:
-    """The rate of a document: 1 less its posteriors' prices, and never below 0."""
-    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.get(posteriors, i) * float(y) for i, y in enumerate(prices)), F.lit(0.0)))
+MOST = 16.0  # the rate that no document exceeds, unless a caller says otherwise
 
 
-def fit_rates(members: DataFrame, targets: list[float], kept: list[bool] | None = None, pull: float = 1e-2, tolerance: float = 1e-7, rounds: int = 100) -> tuple[list[float], list[float]]:
+def _free(posteriors: Column, prices: list[float]) -> Column:
+    """1 less the posteriors' prices: the rate before it is projected."""
+    return F.lit(1.0) - sum((F.get(posteriors, i) * float(y) for i, y in enumerate(prices)), F.lit(0.0))
+
+
+def rate(posteriors: Column, prices: list[float], most: float = MOST) -> Column:
+    """The rate of a document: 1 less its posteriors' prices, projected on 0 to `most`."""
+    return F.least(F.lit(float(most)), F.greatest(F.lit(0.0), _free(posteriors, prices)))
+
+
+def fit_rates(members: DataFrame, targets: list[float], kept: list[bool] | None = None, pull: float = 1e-2, tolerance: float = 1e-7, rounds: int = 100, most: float = MOST) -> tuple[list[float], list[float]]:
     """The prices that give the rates, and how far each domain's tokens are from their target.
 
     members: tokens and p. targets: the share of each domain. kept: domains that must not
     shrink; the total is then so large that their natural tokens fit into their targets.
-    The rates r minimise sum((S_d - aim_d)^2 / share_d) + pull x sum(tokens x (r - 1)^2),
-    tokens and sums being shares of all there are. Steps end when the gradient of every
-    price is below the tolerance; a step that does not lower the objective is halved.
-    No tokens: no prices; raises if `rounds` aggregates do not reach the tolerance.
+    The rates r, from 0 to `most` (1 at least), minimise sum((S_d - aim_d)^2 / share_d) + pull x
+    sum(tokens x (r - 1)^2), tokens and sums being shares of all there are. Steps end when the
+    gradient of every price is below the tolerance, or after `rounds` aggregates; a step that
+    does not lower the objective is halved, so the prices are always the best so far. No
+    tokens: no prices.
     """
     size = len(targets)
     p = [F.get("p", i) for i in range(size)]
 
     def sums(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        r = rate(F.col("p"), prices.tolist())
+        z, r = _free(F.col("p"), prices.tolist()), rate(F.col("p"), prices.tolist(), most)
         flat = [F.sum(F.col("tokens") * r * x) for x in p]
-        flat += [F.sum(F.when(r > 0, F.col("tokens") * p[i] * p[j])) for i in range(size) for j in range(i, size)]
-        row = members.agg(*(F.coalesce(c, F.lit(0.0)).alias(f"s{n}") for n, c in enumerate([*flat, F.sum(F.col("tokens") * r * r)]))).first()
+        flat += [F.sum(F.when((r > 0) & (r < most), F.col("tokens") * p[i] * p[j])) for i in range(size) for j in range(i, size)]
+        # r (2 z - r) is twice the integral of the projection, r^2 within the bounds
+        row = members.agg(*(F.coalesce(c, F.lit(0.0)).alias(f"s{n}") for n, c in enumerate([*flat, F.sum(F.col("tokens") * r * (2 * z - r))]))).first()
         curve = np.zeros((size, size))
         curve[np.triu_indices(size)] = row[size:-1]
         return np.array(row[:size]), np.maximum(curve, curve.T), row[-1]
@@ -156,11 +168,11 @@ def fit_rates(members: DataFrame, targets: list[float], kept: list[bool] | None
         if value(tried, after[2]) <= now - 1e-4 * float(slope @ step) or np.abs(step).max() < 1e-12:
             prices, (had, curve, square), step = tried, after, None
             now = value(prices, square)
-    raise ArithmeticError(f"the mixing rates did not reach {tolerance} in {rounds} rounds: {slope}")
+    return prices.tolist(), (had / total - aim).tolist()
 
 
-def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], kept: list[str] | None = None, sample: int = 8000) -> tuple[DataFrame, list[str]]:
-    """doc_id, tokens, p and rate of every document, and the names of the domains in p.
+def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], kept: list[str] | None = None, sample: int = 8000, most: float = MOST) -> tuple[DataFrame, list[str]]:
+    """doc_id, tokens, p and rate (0 to `most`) of every document, and the names of the domains in p.
 
     docs: doc_id, text. tokens are runs of non-space characters. Null and empty texts have no tokens, and a rate like
     any other. Domains that targets do not name aim at nothing; with no label at all every
@@ -172,8 +184,9 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], kept: li
     if classifier.model is None:
         return members.withColumn("rate", F.lit(1.0)), classifier.domains
     aim = [targets.get(d, 0.0) for d in classifier.domains]
-    prices, _ = fit_rates(members, aim, [d in (kept or []) for d in classifier.domains])
-    return members.withColumn("rate", rate(F.col("p"), prices)), classifier.domains
+    prices, off = fit_rates(members, aim, [d in (kept or []) for d in classifier.domains], most=most)
+    logging.getLogger(__name__).info("tokens above target, as shares of all: %s", dict(zip(classifier.domains, off, strict=False)))
+    return members.withColumn("rate", rate(F.col("p"), prices, most)), classifier.domains
 
 
 def copies(mixed: DataFrame, domains: list[str], kept: list[str]) -> DataFrame:

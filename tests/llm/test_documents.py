@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import struct
 
 import numpy as np
@@ -277,6 +278,24 @@ def test_phrases_are_those_of_the_whole_text(monkeypatch, block):
         assert counts[:, k].tolist() == [greedy(known, langid._letters(t).tobytes()) for t in texts]
 
 
+def test_repetitive_texts_take_one_walk():
+    model = langid.build({"a": ["z" * 600 + "the king and the queen"], "b": ["abcabcab" * 40 + " der mann"]})
+    texts = ["z" * 1_000_000, "abc" * 333_333, "y" * 1_000_000, "zzzzzzy" * 100_000]
+    begun = time.perf_counter()
+    counts, _ = langid.phrases(model, texts)
+    assert time.perf_counter() - begun < 15
+    known = [langid._letters(t).tobytes() for t in ("z" * 600 + "the king and the queen", "abcabcab" * 40 + " der mann")]
+    for text, own in zip(texts, counts.tolist(), strict=True):
+        assert own == [greedy(k, text.encode()) for k in known]
+
+
+def test_labelled_texts_are_learned_up_to_their_characters(spark):
+    table = spark.createDataFrame([(i, "ab" * 3000, "x") for i in range(3)] + [(9, "cd" * 100 + "e" * 9000, "y")], "doc_id bigint, text string, lang string")
+    model = langid.learn(table, characters=1000)
+    assert np.allclose(2**model.phrase_bits, 1000)
+    assert langid.predict(model, ["cdcd"])[0] == ["y"]
+
+
 def test_rejection_needs_evidence(spark):
     english = "the quick brown fox jumps over the lazy dog and then the king walked with the queen to the town "
     model = langid.build({"en": [english]})
@@ -351,18 +370,36 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
-def dense_rates(tokens, p, aim, natural, pull):
+def dense_rates(tokens, p, aim, natural, pull, most=np.inf):
     """Plain projected gradient with momentum over all rates, in memory."""
     share, weight = np.maximum(natural, 1e-6), tokens / tokens.sum()
     rates = ahead = np.ones(len(tokens))
     for n in range(60_000):
         slope = p @ (((weight * ahead) @ p - aim) / share) + pull * (ahead - 1)
-        after = np.maximum(0, ahead - slope / (1 + pull))
+        after = np.clip(ahead - slope / (1 + pull), 0, most)
         speed = (1 - np.sqrt(pull)) / (1 + np.sqrt(pull))
         rates, ahead = after, after + speed * (after - rates)
     return rates
 
 
+def test_rates_are_bounded(spark):
+    draw = np.random.default_rng(12)
+    rare = draw.random(300) < 0.02
+    p = np.where(rare[:, None], [0.9, 0.1], [1e-4, 1 - 1e-4])
+    tokens = draw.integers(1, 50, 300).astype(float)
+    members = spark.createDataFrame([(float(t), x.tolist()) for t, x in zip(tokens, p, strict=True)], "tokens double, p array<double>")
+    natural = tokens @ p / tokens.sum()
+    for aim, most in (([0.6, 0.4], 4.0), ([0.6, 0.4], 16.0), ([1.0, 0.0], 4.0)):
+        prices, off = mixing.fit_rates(members, aim, most=most)
+        got = np.array([r.rate for r in members.select(mixing.rate(members["p"], prices, most).alias("rate")).collect()])
+        assert got.min() >= 0 and got.max() <= most
+        dense = dense_rates(tokens, p, np.array(aim), natural, 1e-2, most)
+        assert np.abs(got - dense).max() < 1e-3
+        assert np.abs((tokens * got) @ p / tokens.sum() - aim - off).max() < 1e-6
+    prices, off = mixing.fit_rates(members, [0.6, 0.4], [True, True], rounds=1)  # ends with the best so far
+    assert np.isfinite(prices).all() and np.isfinite(off).all()
+
+
 def test_mixing(spark, docs, none):
     made = [(i, " ".join(("nasty" if i % 4 == 0 else "fine" if i % 4 < 3 else "%%% ###") for _ in range(5 + i % 7))) for i in range(200)]
     table = spark.createDataFrame(made, "doc_id bigint, text string")
