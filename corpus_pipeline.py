@@ -19,18 +19,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest id; repeated rows go,
-    documents without an id stay. Links are those of operator 8 and all pairs whose sets of
+    """Keeps of each group of near-duplicates the document with the smallest id; of an id's several
+    rows the one that sorts first stays, documents without an id stay. Links are those of operator 8 and all pairs whose sets of
     five-word shingles have a similarity of 0.8 or more, most of which are over 4 bits apart."""
     docs = docs.select(COLUMNS)
     near = simhash.near_duplicates(docs).select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     links = near.unionByName(resemblance.similar_links(docs))
     later = components(links).where("node <> root").select(F.col("node").alias("doc_id"))
-    return docs.where("doc_id is not null").join(later, "doc_id", "left_anti").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    first = docs.where("doc_id is not null").join(later, "doc_id", "left_anti").groupBy("doc_id").agg(F.min(F.struct(COLUMNS[1:])).alias("row"))
+    return first.select("doc_id", "row.*").unionByName(docs.where("doc_id is null"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret in every text (operator 10); n_chars follows the text."""
+    """Replaces every secret in every text (operator 10); n_chars follows the text. Null texts and
+    repeated rows stay as they are; no rows: no rows."""
     docs = docs.select(COLUMNS)
     return secret_scan.redact(docs, secret_scan.learn(written(secret_scan.scan(docs), "secret-candidates")))
 
@@ -43,13 +45,14 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     docs = docs.select(COLUMNS)
     mixed, domains = mixing.mix(docs, mixing.domain_of(table(spark, sf_dir, "labels")), queries.MIX_TARGETS, queries.MIX_KEPT)
-    often = mixing.copies(mixed, domains, queries.MIX_KEPT).dropDuplicates(["doc_id"])
+    often = mixing.copies(mixed, domains, queries.MIX_KEPT).groupBy("doc_id").agg(F.max("copies").alias("copies"))
     taken = docs.join(often, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1))).where("copies > 0")
     return taken.select(*COLUMNS, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes and decodes every document that is left (operator 2)."""
+    """Encodes and decodes every document that is left (operator 2), one row a row: a null text is
+    empty, repeats and null ids stay; no rows: no rows."""
     return pieces.round_trip(docs, queries.model_path())
 
 
