@@ -12,7 +12,8 @@ points are over radius(i) apart (separation), and every point lies within radius
 parent in level i (covering), radii being halves of each other.
 
 Scores are integers of any size. They are summed in double precision where that is exact;
-otherwise a double with an error bound finds the candidates and Python's integers rank them.
+otherwise a double with an error bound, which goes with the lengths of the two vectors, finds
+the candidates and Python's integers rank them.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ LEAF = 128  # points that are compared at once
 EXACT = float(1 << 53)  # integers up to here are exact in double precision
 WHOLE = float(1 << 46)  # from here on every double times 64 is an integer
 LONGEST = (1 << 63) - 1
+TINY = 2.0**-1074  # what a product that is too small for full precision may be off by
+FINITE = 500  # components up to this power of two have finite products
+THIN = 8  # a level whose balls would hold fewer points than this on average prunes nothing
 
 
 def quantised(vector: Column) -> Column:
@@ -56,12 +60,18 @@ def sortable(score: int) -> bytes:
     return body.to_bytes(4, "big") + (abs(score) if score >= 0 else (1 << 8 * size) - 1 - abs(score)).to_bytes(size, "big")
 
 
-def net_levels(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, float, np.ndarray]]]:
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """Lengths along the last axis, and no less than they are where squares are too small for full precision."""
+    return np.sqrt((vectors**2).sum(-1) + vectors.shape[-1] * TINY)
+
+
+def net_levels(points: np.ndarray, fewest: int = 1) -> tuple[np.ndarray, np.ndarray, list[tuple[int, float, np.ndarray]]]:
     """order: points, each the farthest from those before it. gap: how far that is.
     levels: from the top, how many points of the order form the level, its radius, and the
     place in the order of each point's nearest of them.
 
-    The levels end where every distinct point is in the net. Repeated points have gap 0.
+    The levels end where every distinct point is in the net, or before the first whose balls
+    would hold fewer than `fewest` points on average. Repeated points have gap 0.
     """
     n = len(points)
     first = int(np.argmin(((points - points.mean(0)) ** 2).sum(1)))
@@ -74,6 +84,8 @@ def net_levels(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[i
         radius /= 2
         while near.max() > radius:
             nxt = int(np.argmax(near))
+            if (len(order) + 1) * fewest > max(n, 1) and fewest > 1:
+                return np.array(order), np.array(gap), levels
             far = np.sqrt(((points - points[nxt]) ** 2).sum(1))
             closer = far < near
             order.append(nxt)
@@ -98,13 +110,13 @@ class Node:
 
 def cover_tree(points: np.ndarray) -> Node:
     """The cover tree of net_levels(). A node of LEAF points or fewer is not split; children of
-    one point each, as where a level takes in most points at once, are compared LEAF at a
-    time under the covering radius of their bundle."""
-    order, _, levels = net_levels(points)
+    one point each, and the points of a node below which a level would take in nearly all at
+    once, are compared LEAF at a time under the covering radius of their bundle."""
+    order, _, levels = net_levels(points, THIN)
 
     def node(level: int, centre: int, index: np.ndarray) -> Node:
         own = points[index]
-        made = Node(points[centre], float(np.sqrt(((own - points[centre]) ** 2).sum(1)).max()), index)
+        made = Node(points[centre], float(lengths(own - points[centre]).max()), index)
         if len(index) <= LEAF or level + 1 == len(levels) or made.radius == 0:
             return made if len(index) <= LEAF else bundled(made)
         of = levels[level + 1][2][index]
@@ -121,17 +133,23 @@ def cover_tree(points: np.ndarray) -> Node:
         away = ((points[whole_.points] - whole_.centre) ** 2).sum(1)
         parts = np.array_split(whole_.points[np.argsort(away, kind="stable")], -(-len(away) // LEAF))
         if len(parts) > 1:
-            whole_.children = [Node(whole_.centre, float(np.sqrt(((points[p] - whole_.centre) ** 2).sum(1).max())), p) for p in parts]
+            whole_.children = [Node(whole_.centre, float(lengths(points[p] - whole_.centre).max()), p) for p in parts]
         return whole_
 
     return node(0, order[0], np.arange(len(points)))
 
 
+def error(a: np.ndarray, b: np.ndarray, slack: float, dim: int) -> np.ndarray:
+    """How far the scores of vectors of lengths a and b may be from the true ones."""
+    return slack * np.outer(a, b) + 2 * dim * TINY if slack else np.zeros((len(a), len(b)))
+
+
 class Search:
     """The k best data points of each query, by integer score, then by smaller id.
 
-    slack: how far a score in double precision may be from the true one; where it is above
-    0, all that may be among the k best are kept, for exact ranking.
+    slack: how far a score in double precision may be from the true one, as a share of the two
+    lengths' product. Where it is above 0, all that may be among the k best are kept, for
+    exact ranking; scores are then the least that they may be.
     """
 
     def __init__(self, queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, slack: float = 0.0) -> None:
@@ -139,14 +157,16 @@ class Search:
         self.worst = bounds.astype(np.float64)  # a score that the k-th best reaches at least
         self.scores = np.full((len(queries), k), -np.inf)
         self.best = np.full((len(queries), k), np.iinfo(np.int64).max)
-        self.near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # with slack: query, data point, score
+        self.near: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # with slack: query, data point, the most that the score may be
+        self.held, self.room = 0, 1 << 20  # rows of near, and at how many those that fell behind go
         self.pairs = 0  # compared
         self.total = len(queries) * len(data)
+        self.sizes = lengths(queries), lengths(data)
 
     def bound(self, q: Node, d: Node) -> float:
-        a, b = np.linalg.norm(q.centre), np.linalg.norm(d.centre)
+        a, b = float(lengths(q.centre)), float(lengths(d.centre))
         most = float(q.centre @ d.centre) + q.radius * b + d.radius * a + q.radius * d.radius
-        return most + 1e-9 * (1e-300 + abs(most) + a * b + q.radius * b + d.radius * a) + 2 * self.slack
+        return most + (1e-9 + 2 * self.slack) * (a + q.radius) * (b + d.radius) + 4 * len(q.centre) * TINY
 
     def visit(self, q: Node, d: Node) -> None:
         todo = [(q, d, self.bound(q, d))]
@@ -166,19 +186,34 @@ class Search:
         scores = self.queries[rows] @ self.data[columns].T
         ids = self.ids[columns]
         scores[self.query_ids[rows][:, None] == ids[None, :]] = -np.inf
-        reach = scores >= (self.worst[rows] - 2 * self.slack)[:, None]
+        most = scores
+        if self.slack:
+            off = error(self.sizes[0][rows], self.sizes[1][columns], self.slack, self.data.shape[1])
+            scores, most = scores - off, scores + off
+        reach = most >= self.worst[rows][:, None]
         hit = np.flatnonzero(reach.any(1))
         if not len(hit):
             return
         if self.slack:
-            at, column = np.nonzero(reach & np.isfinite(scores))
-            self.near.append((rows[at], columns[column], scores[at, column]))
+            at, column = np.nonzero(reach & np.isfinite(most))
+            self.near.append((rows[at], columns[column], most[at, column]))
+            self.held += len(at)
         rows, scores = rows[hit], scores[hit]
         merged = np.concatenate([self.scores[rows], scores], 1)
         names = np.concatenate([self.best[rows], np.broadcast_to(ids, scores.shape)], 1)
         order = np.lexsort((names, -merged), axis=1)[:, : self.k]
         self.scores[rows], self.best[rows] = np.take_along_axis(merged, order, 1), np.take_along_axis(names, order, 1)
         self.worst[rows] = np.maximum(self.worst[rows], self.scores[rows, -1])
+        if self.held > self.room:
+            self.near = [self.abreast()]
+            self.held = len(self.near[0][0])
+            self.room = max(2 * self.held, 1 << 20)
+
+    def abreast(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of near that may still be among their query's k best."""
+        row, column, most = (np.concatenate(c) for c in zip(*self.near, strict=True))
+        kept = most >= self.worst[row]
+        return row[kept], column[kept], most[kept]
 
     def ranked(self, unit: float) -> tuple[list[int], list[int], list[int]]:
         """query id, data id and exact score of the k best. Scores in double precision are in units of `unit`."""
@@ -189,9 +224,7 @@ class Search:
         out: tuple[list[int], list[int], list[int]] = ([], [], [])
         if not self.near:
             return out
-        row, column, score = (np.concatenate(c) for c in zip(*self.near, strict=True))
-        kept = score >= self.worst[row] - 2 * self.slack
-        row, column = row[kept], column[kept]
+        row, column, _ = self.abreast()
         for r in np.unique(row).tolist():
             query = self.exact_queries(r)
             scored = sorted((-sum(x * y for x, y in zip(query, self.exact_data(c), strict=True)), int(self.ids[c])) for c in column[row == r].tolist())
@@ -238,16 +271,16 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: s
     size = valid.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     count, dim, largest = size[0], max(size[1] or 1, 1), float(size[2] or 0)
     wide = largest >= WHOLE or (64 * largest) ** 2 * dim >= EXACT
-    # a power of two by which components are divided: they stay exact, and their products finite
-    shrink = 2.0 ** np.frexp(largest)[1] if wide else 1.0
-    slack = 4.0 * dim * dim * 2.0**-52 if wide else 0.0
+    # powers of two by which components go down: they stay exact, and their products finite
+    down = max(int(np.frexp(largest)[1]) - FINITE, 0)
+    slack = 2.0 * dim * 2.0**-52 if wide else 0.0
     unit = 4096.0  # (64 x) (64 y)
-    scaled = lambda points: points / shrink if wide else points
+    scaled = lambda points: np.ldexp(points, -down) if down else points
     known = valid.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     sampled = scaled(_padded([r.v for r in known], dim))
     sampled_ids = np.array([r.id for r in known], np.int64)
     pivots = _pivots(sampled, min(cells, -(-count // block))) if count else sampled
-    pivot_squares = (pivots**2).sum(1)
+    pivot_squares, pivot_lengths = (pivots**2).sum(1), lengths(pivots)
 
     def assign(batches):  # noqa: ANN001, ANN202
         for batch in batches:
@@ -255,13 +288,13 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: s
             vecs = _padded(batch.column("v").to_pylist(), dim)
             own = scaled(vecs)
             cell = np.argmin(pivot_squares - 2 * own @ pivots.T, axis=1)
-            away = np.sqrt(((own - pivots[cell]) ** 2).sum(1))
+            away = lengths(own - pivots[cell])
             bound = np.full(len(ids), -np.inf)
             asks = np.flatnonzero(ids % every == 0)
             if len(asks) and len(sampled) > k:
-                scores = own[asks] @ sampled.T
+                scores = own[asks] @ sampled.T - error(lengths(own[asks]), lengths(sampled), slack, dim)
                 scores[ids[asks][:, None] == sampled_ids] = -np.inf
-                bound[asks] = np.partition(scores, -k, axis=1)[:, -k] - slack
+                bound[asks] = np.partition(scores, -k, axis=1)[:, -k]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([v.astype("<f8").tobytes() for v in vecs], pa.binary()), pa.array(cell), pa.array(away), pa.array(ids % every == 0), pa.array(bound)], names=["id", "v", "cell", "away", "asks", "bound"])
 
     placed = written(valid.mapInArrow(assign, "id bigint, v binary, cell bigint, away double, asks boolean, bound double"), "vectors")
@@ -280,9 +313,9 @@ def top_k(vectors: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: s
             room = query_block - need if blocks[cell][1] == 1 else 0
 
     def reach(q: int, d: int) -> bool:
-        a, b = np.sqrt(pivot_squares[q]), np.sqrt(pivot_squares[d])
-        most = float(pivots[q] @ pivots[d]) + stats[q].q_radius * b + stats[d].radius * a + stats[q].q_radius * stats[d].radius
-        return most + 1e-6 * (1 + abs(most)) + 2 * slack >= stats[q].q_bound
+        a, b, r, s = pivot_lengths[q], pivot_lengths[d], stats[q].q_radius, stats[d].radius
+        most = float(pivots[q] @ pivots[d]) + r * b + s * a + r * s
+        return most + (1e-9 + 2 * slack) * (a + r) * (b + s) + 4 * dim * TINY >= stats[q].q_bound
 
     meets = [(q, d) for q in blocks for d in stats if reach(q, d)]  # at most cells x cells
     chunks = {d: -(-r.n // block) for d, r in stats.items()}

@@ -6,6 +6,7 @@ import hashlib
 import io
 import math
 import re
+import time
 from fractions import Fraction
 
 import duckdb
@@ -166,6 +167,35 @@ def test_cover_tree_keeps_its_invariants():
     below(covertree.cover_tree(points))
 
 
+@pytest.mark.parametrize("large", [1e9, 1e200, 1.7e308])
+def test_one_large_component_leaves_other_pairs_on_the_fast_path(large):
+    draw = np.random.default_rng(11)
+    data = np.floor(64 * draw.normal(size=(800, 64))) / 64
+    data[17, 5] = large
+    down = max(int(np.frexp(large)[1]) - covertree.FINITE, 0)
+    points = np.ldexp(data, -down)
+    queries, ids = np.arange(0, 800, 20), np.arange(800)
+    run = covertree.Search(points[queries], queries, np.full(40, -np.inf), points, ids, 20, 2.0 * 64 * 2.0**-52)
+    run.exact_queries, run.exact_data = lambda r: covertree.whole(data[queries[r]]), lambda c: covertree.whole(data[c])
+    run.visit(covertree.cover_tree(points[queries]), covertree.cover_tree(points))
+    assert len(run.abreast()[0]) < 0.05 * run.total
+    want = []
+    for q in queries.tolist():
+        own = covertree.whole(data[q])
+        scored = sorted((-sum(x * y for x, y in zip(own, covertree.whole(data[c]), strict=True)), c) for c in range(800) if c != q)
+        want += [(q, c, -s) for s, c in scored[:20]]
+    assert list(zip(*run.ranked(4096.0), strict=True)) == want
+
+
+def test_levels_of_few_points_are_left_out():
+    points = np.random.default_rng(12).normal(size=(4096, 64))
+    begun = time.perf_counter()
+    covertree.cover_tree(points)
+    assert time.perf_counter() - begun < 1.0
+    order, _, levels = covertree.net_levels(points, covertree.THIN)
+    assert len(order) * covertree.THIN <= 4096 and levels[-1][0] <= len(order)
+
+
 def test_share_of_pairs_pruned():
     draw = np.random.default_rng(10)
     centres = draw.normal(size=(20, 16)) * 50
