@@ -13,7 +13,8 @@ def find_analogs(selected: DataFrame, events: DataFrame, top: int = 3, least: fl
 
     The score is the weighted mean of the signals' Jaccard index and of the closeness of
     those numbers that both have; without a signal or a number there is none. Only fired
-    events meet, so an instrument's pairs are few.
+    events meet, so an instrument's pairs are few. Scores that are equal to nine digits tie,
+    whatever the order of their sums; the later analog goes first.
     """
     signals = F.array_compact(F.array(F.when(F.col("limit_up"), "涨停候选"), F.when(F.col("volume_ratio") >= 2, "明显放量"), F.when(F.col("high_turnover"), "普通换手率高位")))
     columns = ["instrument_id", "trade_date", *NUMBERS]
@@ -36,5 +37,5 @@ def find_analogs(selected: DataFrame, events: DataFrame, top: int = 3, least: fl
     known = sum((c.isNotNull().cast("int") for c in close), F.lit(0))
     score = (jaccard * signal_weight + sum((F.coalesce(c, F.lit(0.0)) * number_weight for c in close), F.lit(0.0))) / (signal_weight + known * number_weight)
     rows = pairs.select(F.col("s.instrument_id").alias("instrument_id"), F.col("s.trade_date").alias("event_date"), F.col("c.trade_date").alias("analog_date"), F.when(known >= 1, score).alias("score"), (known + 1).alias("components"), F.array_sort(F.array_intersect("s.signals", "c.signals")).alias("shared")).where(F.col("score") >= least)
-    order = Window.partitionBy("instrument_id", "event_date").orderBy(F.desc("score"), F.desc("analog_date"))
+    order = Window.partitionBy("instrument_id", "event_date").orderBy(F.round("score", 9).desc(), F.desc("analog_date"))
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)

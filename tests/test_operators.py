@@ -128,6 +128,15 @@ def test_analogs_are_strictly_earlier_and_need_a_number(spark):
     assert [(r.event_date, r.analog_date, round(r.score, 9), r.components) for r in got] == [(d[1], d[0], 1.0, 3)]
 
 
+def test_analogs_tie_at_nine_digits(spark):
+    schema = "instrument_id bigint, trade_date date, daily_return double, volume_ratio double, turnover_percentile double, limit_up boolean, high_turnover boolean"
+    d = [dt.date(2024, 1, i) for i in range(1, 6)]
+    # the first is nearer by 1e-12 only, so the three tie and the later ones go first
+    rows = spark.createDataFrame([(1, d[0], 0.1 - 1e-12, None, None, True, False), (1, d[1], 0.1 - 2e-12, None, None, True, False), (1, d[2], 0.1 - 3e-12, None, None, True, False), (1, d[3], 0.1, None, None, True, False)], schema)
+    got = analogs.find_analogs(rows.where(F.col("trade_date") == d[3]), rows).collect()
+    assert [r.analog_date for r in sorted(got, key=lambda r: r.place)] == [d[2], d[1], d[0]]
+
+
 def test_vintages_are_visible_only_once_published(spark):
     rows = spark.createDataFrame([(1, 2020, 2020, dt.date(2021, 3, 31), "original", 100.0, 0.0, -5.0, 200.0, 50.0), (1, 2020, 2021, dt.date(2022, 4, 1), "restated", 110.0, 10.0, 5.0, 210.0, 50.0), (1, 2022, 2022, dt.date(2023, 3, 31), "original", 220.0, 20.0, 5.0, 300.0, 50.0)], "company bigint, period_year int, report_year int, published_date date, accounting_basis string, revenue double, net_profit double, operating_cash_flow double, total_assets double, total_liabilities double")
     cuts = spark.createDataFrame([(dt.date(2020, 1, 1),), (dt.date(2021, 3, 31),), (dt.date(2023, 12, 31),)], "as_of date")
