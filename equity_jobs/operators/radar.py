@@ -25,8 +25,8 @@ def signal_states(activity: DataFrame) -> DataFrame:
 
 
 def radar_order() -> list[Column]:
-    """TK2: triggers, limit flag, ratio and percentile (nulls last), code."""
-    return [F.desc("trigger_count"), F.desc("limit_up"), F.coalesce("volume_ratio", F.lit(-1.0)).desc(), F.coalesce("turnover_percentile", F.lit(-1.0)).desc(), F.asc("code")]
+    """TK2: triggers, limit flag, ratio and percentile (nulls last), code; several instruments may have one code, so instrument_id last."""
+    return [F.desc("trigger_count"), F.desc("limit_up"), F.coalesce("volume_ratio", F.lit(-1.0)).desc(), F.coalesce("turnover_percentile", F.lit(-1.0)).desc(), F.asc("code"), F.asc("instrument_id")]
 
 
 def rank_radar(rows: DataFrame, scan: list[str]) -> DataFrame:
@@ -64,6 +64,6 @@ def order_columns() -> list[Column]:
 
 
 def rank_queue(rows: DataFrame, scan: list[str]) -> DataFrame:
-    """TK3: priority, triggers, days since the latest disclosure (none last), code; ranked as in rank_radar()."""
-    order = [F.asc("priority"), F.desc("trigger_count"), F.coalesce("latest.days_old", F.lit(10_000)).asc(), F.asc("code")]
+    """TK3: priority, triggers, days since the latest disclosure (none last), code, instrument_id; ranked as in rank_radar()."""
+    order = [F.asc("priority"), F.desc("trigger_count"), F.coalesce("latest.days_old", F.lit(10_000)).asc(), F.asc("code"), F.asc("instrument_id")]
     return ranked(rows, order, "queue_rank", scan).withColumn("queue_rank", F.col("queue_rank").cast("int"))

@@ -93,3 +93,10 @@ def test_a_batch_does_not_read_the_store(spark, tmp_path):
         os.remove(f)
     land(spark, place, [(1, 2, "回购", DAY, URL), (1, 3, "合同", DAY, URL)])
     assert read(spark, place) == [(1, "合同", DAY)]
+
+
+def test_equal_codes_are_ranked_by_instrument(spark):
+    rows = [(i, 1, False, 2.0, 0.5, "600001", "now", "P2", None) for i in range(2000, 0, -1)]
+    table = spark.createDataFrame(rows, "instrument_id bigint, trigger_count int, limit_up boolean, volume_ratio double, turnover_percentile double, code string, scan string, priority string, latest struct<days_old int>").repartition(5)
+    for rank, name in ((radar.rank_radar, "radar_rank"), (radar.rank_queue, "queue_rank")):
+        assert {r["instrument_id"]: r[name] for r in rank(table, ["scan"]).collect()} == {i: i for i in range(1, 2001)}
