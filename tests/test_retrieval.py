@@ -1,5 +1,6 @@
 """Terms and scores of Chinese, English and mixed questions against a brute-force version."""
 
+import random
 import re
 
 import pytest
@@ -85,3 +86,19 @@ def test_balance_sheet_scopes(spark):
     pages = spark.createDataFrame([(1, "Group balance sheet\nnon-current\nliabilities net assets"), (2, "非流动负债合计 负债合计 所有者权益合计"), (3, "负债合计"), (4, None)], "doc_id bigint, text string")
     wanted, holds, size = text.statement_bonus(asked, pages, ["doc_id"])
     assert {r[0] for r in wanted.collect()} == {1, 2} and {r[0] for r in holds.collect()} == {1, 2} and size == 0.25
+
+
+def test_block_scores_keep_ties_and_copies(spark):
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randrange(1, 9))) for _ in range(40)]
+    pages = spark.createDataFrame([(i, texts[i % 40]) for i in range(600)], "doc_id bigint, text string").repartition(5)
+    asked = spark.createDataFrame([(i, texts[i % 7]) for i in range(21)], "query_id bigint, text string")
+    terms = text.query_terms(asked, [], {}, {})
+    whole = text.lexical_scores(pages, terms, asked, ["doc_id"])
+    assert "_word" not in whole._jdf.queryExecution().toString()  # no row a (question, passage, term)
+    rows = {(r.query_id, r.doc_id): (round(r.lexical, 9), r.matched) for r in whole.collect()}
+    wanted = {q: {(q, d) for _, d in sorted((-s, d) for (p, d), (s, _) in rows.items() if p == q)[:3]} for q in range(21)}
+    found = {(r.query_id, r.doc_id): (round(r.lexical, 9), r.matched) for r in text.lexical_scores(pages, terms, asked, ["doc_id"], 3).collect()}
+    assert found.items() <= rows.items() and all(w <= found.keys() for w in wanted.values())
+    assert len(found) < len(rows) / 4
