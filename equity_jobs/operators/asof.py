@@ -127,15 +127,18 @@ def historical_snapshot(requests: DataFrame, bars: DataFrame, size: int = 251) -
     )
 
 
-def later_outcomes(bars: DataFrame, horizons: tuple[int, ...] = (20, 60, 120)) -> DataFrame:
+def later_outcomes(bars: DataFrame, horizons: tuple[int, ...] = (20, 60, 120), parts: int | None = None) -> DataFrame:
     """WN12: for every session and horizon the later return, largest gain and deepest fall from a peak since; kept apart from features.
 
     A path's peak, low and deepest fall merge: the fall of two stretches in a row is the
     deepest of either's and of the later low under the earlier peak. Sessions are cut into
     blocks of one path's length; running values from the block's begin and towards its end
     make any path from at most two stretches, so a row costs the same at every horizon.
+    All windows sort their task's rows at once, so parts, the number of tasks, should grow with the bars.
     """
-    rows = bars.select(KEY, "trade_date", "close").withColumn("_session", F.row_number().over(Window.partitionBy(KEY).orderBy("trade_date")))
+    rows = bars.select(KEY, "trade_date", "close")
+    rows = rows if parts is None else rows.repartition(parts, KEY)
+    rows = rows.withColumn("_session", F.row_number().over(Window.partitionBy(KEY).orderBy("trade_date")))
     for k in horizons:
         rows = rows.withColumn(f"_block_{k}", F.floor((F.col("_session") - 1) / (k + 1)))
         ahead, back = (Window.partitionBy(KEY, f"_block_{k}").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_session"), F.desc("_session")))

@@ -100,3 +100,9 @@ def test_equal_codes_are_ranked_by_instrument(spark):
     table = spark.createDataFrame(rows, "instrument_id bigint, trigger_count int, limit_up boolean, volume_ratio double, turnover_percentile double, code string, scan string, priority string, latest struct<days_old int>").repartition(5)
     for rank, name in ((radar.rank_radar, "radar_rank"), (radar.rank_queue, "queue_rank")):
         assert {r["instrument_id"]: r[name] for r in rank(table, ["scan"]).collect()} == {i: i for i in range(1, 2001)}
+
+
+def test_outcomes_are_dealt_to_the_given_tasks(spark):
+    table = spark.createDataFrame([(i, DAY + dt.timedelta(days=j), float(1 + (i * 7 + j) % 5)) for i in range(40) for j in range(30)], "instrument_id bigint, trade_date date, close double")
+    whole, dealt = asof.later_outcomes(table, (5,)), asof.later_outcomes(table, (5,), parts=13)
+    assert dealt.rdd.getNumPartitions() == 13 and sorted(whole.collect()) == sorted(dealt.collect())
