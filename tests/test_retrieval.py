@@ -102,3 +102,9 @@ def test_block_scores_keep_ties_and_copies(spark):
     found = {(r.query_id, r.doc_id): (round(r.lexical, 9), r.matched) for r in text.lexical_scores(pages, terms, asked, ["doc_id"], 3).collect()}
     assert found.items() <= rows.items() and all(w <= found.keys() for w in wanted.values())
     assert len(found) < len(rows) / 4
+
+
+def test_chunks_leave_before_all_are_made(spark):
+    pages = spark.createDataFrame([(1, i, f"{'a' * 50}\n{'b' * 50}") for i in range(40)], "doc_id bigint, page_number bigint, text string").coalesce(1)
+    whole = text.chunk_pages(pages, 60, 0)
+    assert sorted(whole.collect()) == sorted(text.chunk_pages(pages, 60, 0, held=120).collect()) and whole.count() == 80
