@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equity_jobs.llm import langid, mixing, pieces, queries, resemblance, secret_scan, simhash
-from equity_jobs.llm.common import table, written
+from equity_jobs.llm.common import relieve, table, written
 from equity_jobs.llm.components import components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,9 +22,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps of each group of near-duplicates the document with the smallest id; of an id's several
     rows the one that sorts first stays, documents without an id stay. Links are those of operator 8 and all pairs whose sets of
     five-word shingles have a similarity of 0.8 or more, most of which are over 4 bits apart."""
+    relieve(spark)
     docs = docs.select(COLUMNS)
     near = simhash.near_duplicates(docs).select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
     links = near.unionByName(resemblance.similar_links(docs))
+    relieve(spark)
     later = components(links).where("node <> root").select(F.col("node").alias("doc_id"))
     first = docs.where("doc_id is not null").join(later, "doc_id", "left_anti").groupBy("doc_id").agg(F.min(F.struct(COLUMNS[1:])).alias("row"))
     return first.select("doc_id", "row.*").unionByName(docs.where("doc_id is null"))
@@ -33,6 +35,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret in every text (operator 10); n_chars follows the text. Null texts and
     repeated rows stay as they are; no rows: no rows."""
+    relieve(spark)
     docs = docs.select(COLUMNS)
     return secret_scan.redact(docs, secret_scan.learn(written(secret_scan.scan(docs), "secret-candidates")))
 
@@ -43,6 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Documents most likely of a clean domain stay at least once; those of the toxic domain,
     whose target is nothing, go as their rate falls to nothing. Documents without an id stay.
     """
+    relieve(spark)
     docs = docs.select(COLUMNS)
     mixed, domains = mixing.mix(docs, mixing.domain_of(table(spark, sf_dir, "labels")), queries.MIX_TARGETS, queries.MIX_KEPT)
     often = mixing.copies(mixed, domains, queries.MIX_KEPT).groupBy("doc_id").agg(F.max("copies").alias("copies"))
@@ -53,6 +57,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document that is left (operator 2), one row a row: a null text is
     empty, repeats and null ids stay; no rows: no rows."""
+    relieve(spark)
     return pieces.round_trip(docs, queries.model_path())
 
 

@@ -25,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equity_jobs.llm.common import written
+from equity_jobs.llm.common import relieve, written
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -179,6 +179,7 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], kept: li
     rate is 1. Repeated rows have equal rates; other columns are not read.
     """
     classifier = train(docs, domains, sample)
+    relieve(docs.sparkSession)
     tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")).cast("double")
     members = written(classifier.posteriors(docs.select("doc_id", "text")).select("doc_id", tokens.alias("tokens"), "p"), "mixing-posteriors")
     if classifier.model is None:

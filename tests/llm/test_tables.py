@@ -247,3 +247,15 @@ def test_pipeline_equals_brute_force(spark):
         ids = library.encode(docs[r.doc_id], add_bos=True, add_eos=True)
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_the_driver_collects_between_stages(spark):
+    """Spark's cleaner and the plans' classes wait for the driver's JVM, which seldom collects by itself."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(5)
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        before = full()
+        stage(spark, docs, sf)
+        assert full() > before
