@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 KEY = "instrument_id"
 
@@ -107,24 +110,48 @@ def evidence_chain(events: DataFrame, disclosures: DataFrame, window_days: int =
     return items.where(F.col("place") <= top), summary.withColumn("status", status)
 
 
+def _window_metrics(closes: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Volatility and deepest fall of the windows of size closes that end at these places; nan where there is none."""
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(size, np.nan), closes]), size)
+    volatility, fall = np.full(len(ends), np.nan), np.full(len(ends), np.nan)
+    for at in range(0, len(ends), 1024):  # a bounded matrix of windows
+        own = windows[ends[at : at + 1024] + 1]
+        fall[at : at + 1024] = np.fmin.reduce(own / np.fmax.accumulate(own, axis=1) - 1, axis=1)
+        change = own[:, 1:] / own[:, :-1] - 1
+        known = (~np.isnan(change)).sum(1)
+        off = change - (np.nansum(change, axis=1) / np.maximum(known, 1))[:, None]
+        variance = np.nansum(off * off, axis=1) / np.maximum(known - 1, 1)
+        volatility[at : at + 1024] = np.where(known >= 2, np.sqrt(variance) * np.sqrt(250.0), np.nan)
+    return volatility, fall
+
+
 def historical_snapshot(requests: DataFrame, bars: DataFrame, size: int = 251) -> DataFrame:
     """WN11: metrics of the last `size` sessions up to each requested date; volatility and drawdown stay inside them.
 
-    A request finds its session's number, and meets the sessions of its window by blocks
-    of size sessions: an equi-join on (instrument, block) with at most two blocks a request.
+    Bars and requests of an instrument meet in one task, at most one of each a day; numpy looks back
+    from each request's session, so rows are never multiplied by the window's length and
+    only bars and requests are shuffled.
     """
-    numbered = bars.withColumn("session", F.row_number().over(Window.partitionBy(KEY).orderBy("trade_date")))
-    asked = sessions_around(requests, bars).where("effective is not null").select(KEY, "as_of", "effective")
-    asked = asked.join(numbered.select(KEY, F.col("trade_date").alias("effective"), F.col("session").alias("last")), [KEY, "effective"])
-    block = lambda c: F.floor(c / size)
-    asked = asked.withColumn("_block", F.explode(F.array_distinct(F.array(block(F.col("last")), block(F.greatest(F.col("last") - size + 1, F.lit(1)))))))
-    rows = asked.join(numbered.select(KEY, "session", "close", block(F.col("session")).alias("_block")), [KEY, "_block"]).where(F.col("session").between(F.col("last") - size + 1, F.col("last")))
-    window = Window.partitionBy(KEY, "as_of").orderBy("session")
-    rows = rows.withColumns({"_ret": F.col("close") / F.lag("close").over(window) - 1, "_down": F.col("close") / F.max("close").over(window.rowsBetween(Window.unboundedPreceding, 0)) - 1, "_back": F.col("last") - F.col("session")})
-    at = lambda k: F.max(F.when(F.col("_back") == k, F.col("close")))
-    return rows.groupBy(KEY, "as_of", "effective").agg(
-        at(0).alias("close"), *((at(0) / at(k) - 1).alias(f"return_{k}") for k in (20, 60, size - 1)), F.when(F.count("_ret") >= 2, F.stddev_samp("_ret") * F.sqrt(F.lit(250.0))).alias("volatility"), F.min("_down").alias("max_drawdown"), F.count("*").alias("sessions"),
-    )
+    steps = (20, 60, size - 1)
+    numbers = ["close", *(f"return_{k}" for k in steps), "volatility", "max_drawdown"]
+    schema = StructType([*requests.select(KEY, "as_of").schema.fields, *StructType.fromDDL(f"effective date, {', '.join(f'{n} double' for n in numbers)}, sessions bigint").fields])
+
+    def look_back(own: pa.Table, asked: pa.Table) -> pa.Table:
+        own = own.sort_by("trade_date")
+        days = own.column("trade_date").to_numpy().astype("datetime64[D]")
+        closes = own.column("close").to_numpy().astype(np.float64)
+        wanted = np.unique(asked.column("as_of").to_numpy().astype("datetime64[D]"))
+        last = np.searchsorted(days, wanted, "right") - 1
+        wanted, last = wanted[last >= 0], last[last >= 0]
+        ends, place = np.unique(last, return_inverse=True)
+        volatility, fall = _window_metrics(closes, ends, size)
+        past = [np.where(last >= k, closes[last] / closes[np.maximum(last - k, 0)] - 1, np.nan) for k in steps]
+        keys = pa.repeat(asked.column(KEY)[0], len(last)) if len(last) else asked.column(KEY).slice(0, 0).combine_chunks()
+        made = [pa.array(v, pa.float64(), mask=np.isnan(v)) for v in (closes[last], *past, volatility[place], fall[place])]
+        return pa.Table.from_arrays([keys, pa.array(wanted), pa.array(days[last]), *made, pa.array(np.minimum(last + 1, size))], names=schema.names)
+
+    held = bars.where("trade_date is not null").select(KEY, "trade_date", F.col("close").cast("double").alias("close"))
+    return held.groupBy(KEY).cogroup(requests.where(f"as_of is not null and {KEY} is not null").select(KEY, "as_of").groupBy(KEY)).applyInArrow(look_back, schema)
 
 
 def later_outcomes(bars: DataFrame, horizons: tuple[int, ...] = (20, 60, 120), parts: int | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 import os
 import random
+import statistics
 
 from pyspark.sql import functions as F
 
@@ -106,3 +107,28 @@ def test_outcomes_are_dealt_to_the_given_tasks(spark):
     table = spark.createDataFrame([(i, DAY + dt.timedelta(days=j), float(1 + (i * 7 + j) % 5)) for i in range(40) for j in range(30)], "instrument_id bigint, trade_date date, close double")
     whole, dealt = asof.later_outcomes(table, (5,)), asof.later_outcomes(table, (5,), parts=13)
     assert dealt.rdd.getNumPartitions() == 13 and sorted(whole.collect()) == sorted(dealt.collect())
+
+
+def test_snapshots_equal_brute_force(spark):
+    draw = random.Random(8)
+    closes = {i: [round(draw.uniform(1, 9), 2) if draw.random() < 0.9 else None for _ in range(n)] for i, n in ((1, 97), (2, 3), (3, 1), (4, 60))}
+    table = spark.createDataFrame([(i, DAY + dt.timedelta(days=2 * j), c) for i, own in closes.items() for j, c in enumerate(own)], "instrument_id bigint, trade_date date, close double").repartition(5)
+    asked = [(i, DAY + dt.timedelta(days=draw.randint(-5, 210))) for i in (1, 2, 3, 4, 5) for _ in range(40)]
+    requests = spark.createDataFrame([*asked, *asked, (1, None), (None, DAY)], "instrument_id bigint, as_of date")
+    size = 62
+    out = asof.historical_snapshot(requests, table, size)
+    assert "Generate" not in out._jdf.queryExecution().toString()  # no request meets its sessions row by row
+    rows = out.collect()
+    got = {(r.instrument_id, r.as_of): r for r in rows}
+    assert len(got) == len(rows) and set(got) == {(i, d) for i, d in asked if i in closes and d >= DAY}
+    for (i, day), r in got.items():
+        last = min((day - DAY).days // 2, len(closes[i]) - 1)
+        own = closes[i][max(0, last - size + 1) : last + 1]
+        back = lambda k, own=own: own[-1] / own[-1 - k] - 1 if len(own) > k and None not in (own[-1], own[-1 - k]) else None
+        change = [b / a - 1 for a, b in zip(own, own[1:], strict=False) if None not in (a, b)]
+        falls = [c / max(x for x in own[: n + 1] if x is not None) - 1 for n, c in enumerate(own) if c is not None]
+        assert (r.effective, r.close, r.sessions, r.max_drawdown) == (DAY + dt.timedelta(days=2 * last), own[-1], len(own), min(falls, default=None))
+        assert (r.return_20, r.return_60, r.return_61) == (back(20), back(60), back(61))
+        want = statistics.stdev(change) * 250**0.5 if len(change) >= 2 else None
+        assert r.volatility is None if want is None else abs(r.volatility - want) < 1e-9
+    assert asof.historical_snapshot(requests, table.limit(0)).count() == asof.historical_snapshot(requests.limit(0), table).count() == 0
