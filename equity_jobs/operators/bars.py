@@ -57,13 +57,6 @@ def moving_average(column: str, size: int) -> Column:
     return F.when(F.count(column).over(window) == size, F.avg(column).over(window))
 
 
-def volume_ratio(size: int = 20) -> Column:
-    """WN2: volume over the exact median of the sessions before it, once there are enough and it is positive."""
-    window = by_session().rowsBetween(-size, -1)
-    median = F.percentile("volume", 0.5).over(window)
-    return F.when((F.count("volume").over(window) == size) & (median > 0), F.col("volume") / median)
-
-
 def daily_return() -> tuple[Column, Column]:
     """WN4: the provider's change in percent if there is one, else close over the last close; and which it is."""
     before = F.lag("close").over(by_session())
@@ -71,17 +64,20 @@ def daily_return() -> tuple[Column, Column]:
     return value, F.when(F.col("pct_change").isNotNull(), "provider").when(before.isNotNull(), "close")
 
 
-def features(bars: DataFrame) -> DataFrame:
-    """WN1-WN5 and the session numbers of validated bars."""
+def features(bars: DataFrame, averages: bool = True, ranks: tuple[str, ...] = ("volume", "turnover")) -> DataFrame:
+    """WN1-WN5 and the session numbers of validated bars.
+
+    The ratio of WN2 (20 sessions) and the ranks of WN3 come from numpy, an instrument at a
+    time: a rolling percentile in SQL sorts its window anew for each row. What Spark
+    does not use behind that step it cannot leave out, so a caller that needs no
+    averages and drawdown, or fewer ranks, says so.
+    """
     change, basis = daily_return()
-    windowed = bars.withColumns(
-        {
-            "session": F.row_number().over(by_session()), "sessions_back": F.row_number().over(newest_first()), "daily_return": change, "return_basis": basis,
-            "ma5": moving_average("close", 5), "ma20": moving_average("close", 20), "ma60": moving_average("close", 60), "volume_ratio": volume_ratio(),
-            "drawdown": F.col("close") / F.max("close").over(by_session().rowsBetween(Window.unboundedPreceding, 0)) - 1,
-        }
-    )
-    return with_prior_percentiles(windowed, ["volume", "turnover"])
+    made = {"session": F.row_number().over(by_session()), "sessions_back": (F.count(F.lit(1)).over(by_session().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.row_number().over(by_session()) + 1).cast("int"), "daily_return": change, "return_basis": basis}
+    if averages:
+        made |= {f"ma{n}": moving_average("close", n) for n in (5, 20, 60)}
+        made |= {"drawdown": F.col("close") / F.max("close").over(by_session().rowsBetween(Window.unboundedPreceding, 0)) - 1}
+    return with_prior_percentiles(bars.withColumns(made), list(ranks), ratios={"volume": 20})
 
 
 def market_metrics(bars: DataFrame, steps: tuple[int, ...] = (20, 60, 250)) -> DataFrame:

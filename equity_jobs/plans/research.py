@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from equity_jobs.functions import rules
 from equity_jobs.operators import analogs, asof, constraints, disclosures, fundamentals, identity, peers
 from equity_jobs.operators import bars as B
-from equity_jobs.plans.market import EVENTS, FEATURED, LIMITED, featured, six
+from equity_jobs.plans.market import EVENTS, FEATURED, LIMITED, signalled, six
 from equity_jobs.plans.registry import Registry
 from equity_jobs.plans.views import duck, view
 from equity_jobs.sources.shared import written
@@ -141,7 +141,7 @@ hits AS (SELECT e.instrument_id, e.event_date, announcement_id, title, date_diff
 
 def fired(spark, sf):
     """All events, written: joins that read them twice compute the features once."""
-    return written(B.activity_events(featured(spark, sf), view(spark, sf, "identity"), top=None), "events")
+    return written(B.activity_events(signalled(spark, sf), view(spark, sf, "identity"), top=None), "events")
 
 
 @R.query("j3_evidence_chain", f"WITH {CHAIN}, k AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, event_date ORDER BY gap, title, announcement_id)::INTEGER AS place FROM hits) SELECT instrument_id, event_date, announcement_id, gap, CASE WHEN gap = 0 THEN 'same_day' ELSE 'before' END AS relation, place FROM k WHERE place <= 5")
