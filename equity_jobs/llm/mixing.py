@@ -15,17 +15,19 @@ no rates within the bound can meet is given as the residual of each domain.
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equity_jobs.llm.common import relieve, written
+from equity_jobs.llm.form import shape
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -43,16 +45,52 @@ class Classifier:
     model: PipelineModel | None  # None where labels are of one domain or none
 
     def posteriors(self, docs: DataFrame) -> DataFrame:
-        """docs with p, an array of the posteriors in the order of domains."""
-        if self.model is None:
-            return docs.withColumn("p", F.array(*(F.lit(1.0 / len(self.domains)) for _ in self.domains)))
-        scored = self.model.transform(_shaped(docs))
-        taken = scored.withColumns({f"_t{i}": F.get(vector_to_array(f"_q{i}"), 1) for i in range(len(self.domains) - 1)})
-        rest, p = F.lit(1.0), []
-        for i in range(len(self.domains) - 1):
-            p.append(rest * F.col(f"_t{i}"))
-            rest = rest * (1.0 - F.col(f"_t{i}"))
-        return taken.withColumn("p", F.array(*p, rest)).select(*docs.columns, "p")
+        """doc_id, tokens and p, an array of the posteriors in the order of domains, of every row of docs (doc_id, text).
+
+        The same as the pipeline model's own transform gives, from one pass over a text's bytes: spark.ml's takes
+        strings, counts and vectors from one column to the next.
+        """
+        rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        even = np.full(len(self.domains), 1.0 / len(self.domains))
+        # at most `features` words
+        learned = docs.sparkSession.sparkContext.broadcast(self._weights()) if self.model else None
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, weights, shift = learned.value if learned else ({}, np.zeros((2, 0)), np.zeros(0))
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    tokens, held, counts, form = [], [], [], []
+                    for raw in part.column("text").to_pylist():
+                        tokens.append(float(len(raw.split())))
+                        if learned:
+                            own, marks, repeats = shape(raw)
+                            known = [n for n in map(words.get, own) if n is not None]
+                            held += known
+                            counts.append(len(known))
+                            form.append((marks, repeats))
+                    if learned:
+                        owner, held = np.repeat(np.arange(len(counts)), counts), np.array(held, np.int64)
+                        margin = np.array(form) @ weights[-2:] + shift
+                        margin += np.stack([np.bincount(owner, w[held], len(counts)) for w in weights.T], 1)
+                        with np.errstate(over="ignore"):
+                            taken = 1.0 / (1.0 + np.exp(-margin))
+                        rest = np.cumprod(1.0 - taken, 1)
+                        p = np.hstack([taken, np.ones((len(taken), 1))])
+                        p[:, 1:] *= rest
+                    else:
+                        p = np.tile(even, (len(tokens), 1))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(tokens, pa.float64()), lists], names=["doc_id", "tokens", "p"])
+
+        return rows.mapInArrow(run, f"doc_id {kind}, tokens double, p array<double>")
+
+    def _weights(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+        """The words' numbers, a row of weights a word and, at the end, for marks and repetition (a column a model), and the intercepts."""
+        words, _, *models = self.model.stages
+        weights = np.stack([m.coefficients.toArray() for m in models], 1)
+        return {w.encode(): n for n, w in enumerate(words.vocabulary)}, weights, np.array([m.intercept for m in models])
 
 
 def repetition(text: Column, width: int = 100) -> Column:
@@ -97,15 +135,17 @@ def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int
         CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=features, minDF=min(seen, sum(sizes.values())), binary=True),
         VectorAssembler(inputCols=["_tf", "_marks", "_repeats"], outputCol="_features"),
     ]
-    # at most `sample` rows: each partition ships a gradient of all features in every round
-    shaper = Pipeline(stages=words).fit(rows.coalesce(6))
-    shaped = shaper.transform(rows.coalesce(6)).select("domain", "_features")
+    # at most `sample` rows: each partition ships a gradient of all features in every round, and more than
+    # five ship it by a second stage
+    shaper = Pipeline(stages=words).fit(rows.coalesce(3))
+    shaped = shaper.transform(rows.coalesce(3)).select("domain", "_features")
     models = []
     for i, name in enumerate(names[:-1]):
         two_way = LogisticRegression(
             featuresCol="_features", labelCol="_label", predictionCol=f"_d{i}", probabilityCol=f"_q{i}", rawPredictionCol=f"_r{i}",
             family="binomial", regParam=ridge, maxIter=rounds, standardization=False,
         )
+        relieve(docs.sparkSession)
         models.append(two_way.fit(shaped.where(F.col("domain").isin(names[i:])).withColumn("_label", (F.col("domain") == name).cast("double"))))
     return Classifier(names, PipelineModel([*shaper.stages, *models]))
 
@@ -135,16 +175,28 @@ def fit_rates(members: DataFrame, targets: list[float], kept: list[bool] | None
     tokens: no prices.
     """
     size = len(targets)
-    p = [F.get("p", i) for i in range(size)]
+    rows, names = members.select("tokens", "p"), [f"s{n}" for n in range(size + size * (size + 1) // 2 + 1)]
+    upper = np.triu_indices(size)
 
     def sums(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        z, r = _free(F.col("p"), prices.tolist()), rate(F.col("p"), prices.tolist(), most)
-        flat = [F.sum(F.col("tokens") * r * x) for x in p]
-        flat += [F.sum(F.when((r > 0) & (r < most), F.col("tokens") * p[i] * p[j])) for i in range(size) for j in range(i, size)]
-        # r (2 z - r) is twice the integral of the projection, r^2 within the bounds
-        row = members.agg(*(F.coalesce(c, F.lit(0.0)).alias(f"s{n}") for n, c in enumerate([*flat, F.sum(F.col("tokens") * r * (2 * z - r))]))).first()
+        # by numpy: prices in an expression are constants of its code, which each step would compile anew
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = np.zeros(len(names))
+            for batch in batches:
+                tokens = batch.column("tokens").to_numpy(zero_copy_only=False).astype(float)
+                p = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                z = 1.0 - p @ prices
+                r = np.clip(z, 0.0, most)
+                between = np.where((r > 0) & (r < most), tokens, 0.0)
+                own[:size] += (tokens * r) @ p
+                own[size:-1] += ((p * between[:, None]).T @ p)[upper]
+                # r (2 z - r) is twice the integral of the projection, r^2 within the bounds
+                own[-1] += tokens @ (r * (2 * z - r))
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in own], names=names)
+
+        row = rows.mapInArrow(run, ", ".join(f"{n} double" for n in names)).agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names)).first()
         curve = np.zeros((size, size))
-        curve[np.triu_indices(size)] = row[size:-1]
+        curve[upper] = row[size:-1]
         return np.array(row[:size]), np.maximum(curve, curve.T), row[-1]
 
     prices = np.zeros(size)
@@ -180,8 +232,8 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], kept: li
     """
     classifier = train(docs, domains, sample)
     relieve(docs.sparkSession)
-    tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")).cast("double")
-    members = written(classifier.posteriors(docs.select("doc_id", "text")).select("doc_id", tokens.alias("tokens"), "p"), "mixing-posteriors")
+    members = written(classifier.posteriors(docs.select("doc_id", "text")), "mixing-posteriors")
+    relieve(docs.sparkSession)
     if classifier.model is None:
         return members.withColumn("rate", F.lit(1.0)), classifier.domains
     aim = [targets.get(d, 0.0) for d in classifier.domains]
