@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equity_jobs.llm.common import checkpointed
+from equity_jobs.llm.common import checkpointed, relieve
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,3 +31,4 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now
+        relieve(links.sparkSession)

@@ -26,7 +26,7 @@ from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equity_jobs.llm.common import relieve, written
+from equity_jobs.llm.common import relieve, relieved, written
 from equity_jobs.llm.form import shape
 
 
@@ -137,7 +137,8 @@ def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int
     ]
     # at most `sample` rows: each partition ships a gradient of all features in every round, and more than
     # five ship it by a second stage
-    shaper = Pipeline(stages=words).fit(rows.coalesce(3))
+    with relieved(docs.sparkSession):
+        shaper = Pipeline(stages=words).fit(rows.coalesce(3))
     shaped = shaper.transform(rows.coalesce(3)).select("domain", "_features")
     models = []
     for i, name in enumerate(names[:-1]):
@@ -146,7 +147,8 @@ def train(docs: DataFrame, domains: DataFrame, sample: int = 8000, features: int
             family="binomial", regParam=ridge, maxIter=rounds, standardization=False,
         )
         relieve(docs.sparkSession)
-        models.append(two_way.fit(shaped.where(F.col("domain").isin(names[i:])).withColumn("_label", (F.col("domain") == name).cast("double"))))
+        with relieved(docs.sparkSession):
+            models.append(two_way.fit(shaped.where(F.col("domain").isin(names[i:])).withColumn("_label", (F.col("domain") == name).cast("double"))))
     return Classifier(names, PipelineModel([*shaper.stages, *models]))
 
 
@@ -237,7 +239,8 @@ def mix(docs: DataFrame, domains: DataFrame, targets: dict[str, float], kept: li
     if classifier.model is None:
         return members.withColumn("rate", F.lit(1.0)), classifier.domains
     aim = [targets.get(d, 0.0) for d in classifier.domains]
-    prices, off = fit_rates(members, aim, [d in (kept or []) for d in classifier.domains], most=most)
+    with relieved(docs.sparkSession):
+        prices, off = fit_rates(members, aim, [d in (kept or []) for d in classifier.domains], most=most)
     logging.getLogger(__name__).info("tokens above target, as shares of all: %s", dict(zip(classifier.domains, off, strict=False)))
     return members.withColumn("rate", rate(F.col("p"), prices, most)), classifier.domains
 
